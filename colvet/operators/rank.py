@@ -119,3 +119,14 @@ def delong_unpaired_stat(a1: str, v1: str, n1: str, a2: str, v2: str, n2: str):
     t = (F.col(a1) - F.col(a2)) / F.sqrt(s)
     df = s * s / (F.col(v1) ** 2 / (F.col(n1) - 1) + F.col(v2) ** 2 / (F.col(n2) - 1))
     return t, df
+
+
+def cliffs_delta(values: DataFrame) -> DataFrame:
+    """Cliff's delta (2*AUC-1) of late against early values, per numeric feature:
+    the window plays the label, every non-null row counts."""
+    groups = (values.where(F.col("vnum").isNotNull())
+                    .groupBy("feature", F.col("vnum").alias("score"))
+                    .agg(F.sum(F.when(F.col("window") == "late", F.col("n")).otherwise(0)).alias("pos"),
+                         F.sum(F.when(F.col("window") == "early", F.col("n")).otherwise(0)).alias("neg")))
+    a = auc_delong(groups, ["feature"], bounded=False)
+    return a.select("feature", (2 * F.col("auc") - 1).alias("cliffs_delta"), "n")

@@ -240,3 +240,40 @@ def pipeline(frame: str = "events", bins: int = 10, max_levels: int = 20,
     if woe:
         s += woe_sql()
     return s
+
+
+def auc_sql(groups: str, keys, name: str = "auc", z: float = 1.959963984540054) -> str:
+    """DeLong AUC from a (keys, score, pos, neg) CTE; mirrors ``rank.auc_delong``."""
+    k = ", ".join(keys)
+    kv = ", ".join(f"v.{x}" for x in keys)
+    return f""",
+{name}_pl AS (
+  SELECT {k}, score, pos, neg,
+         coalesce(sum(neg) OVER wb, 0) AS neg_below, coalesce(sum(pos) OVER wb, 0) AS pos_below,
+         sum(pos) OVER wa AS pt, sum(neg) OVER wa AS nt, count(*) OVER wa AS n_scores
+  FROM {groups} WHERE pos + neg > 0
+  WINDOW wb AS (PARTITION BY {k} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         wa AS (PARTITION BY {k})),
+{name}_v AS (
+  SELECT *, (neg_below::DOUBLE + neg::DOUBLE / 2.0::DOUBLE) / nt::DOUBLE AS v10,
+            ((pt - pos_below - pos)::DOUBLE + pos::DOUBLE / 2.0::DOUBLE) / pt::DOUBLE AS v01
+  FROM {name}_pl),
+{name}_a AS (SELECT {k}, sum(pos * v10) / max(pt)::DOUBLE AS auc, max(pt) AS pt, max(nt) AS nt,
+                    max(n_scores) AS n_scores FROM {name}_v GROUP BY {k}),
+{name}_s AS (SELECT {kv}, sum(v.pos * (v.v10 - a.auc) * (v.v10 - a.auc)) AS sx,
+                    sum(v.neg * (v.v01 - a.auc) * (v.v01 - a.auc)) AS sy
+             FROM {name}_v v JOIN {name}_a a USING ({k}) GROUP BY {kv}),
+{name}_0 AS (
+  SELECT {k}, CASE WHEN pt > 0 AND nt > 0 AND n_scores >= 2 THEN auc END AS auc,
+         CASE WHEN pt > 1 AND nt > 1 AND n_scores >= 2
+              THEN sx / ((pt - 1) * pt)::DOUBLE + sy / ((nt - 1) * nt)::DOUBLE END AS var,
+         pt + nt AS n, pt AS pos_total, nt AS neg_total
+  FROM {name}_a JOIN {name}_s USING ({k})),
+{name} AS (
+  SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, auc - {z!r}::DOUBLE * sqrt(var))) AS lower,
+            greatest(0.0::DOUBLE, least(1.0::DOUBLE, auc + {z!r}::DOUBLE * sqrt(var))) AS upper
+  FROM {name}_0)"""
+
+
+def r4(x: str) -> str:
+    return f"(round_even(({x}) * 1e4::DOUBLE, 0) / 1e4::DOUBLE)"

@@ -1,10 +1,15 @@
 """One audit's shared intermediates, built lazily from a frame.
 
-``prepare`` wires frame -> windows -> VALUES -> binning -> CELLS. Only the four
-window edges are computed eagerly (they become literals, so the window filter
-is pushed into the Parquet scan); everything else stays a lazy plan. With
-``persist=True`` VALUES and the binning are kept (memory, then disk) because
-several audits read them; a lost block is recomputed from lineage.
+``prepare`` wires frame -> windows -> VALUES -> binning -> CELLS. The four
+window edges are computed first (they become literals, so the window filter is
+pushed into the Parquet scan).
+
+VALUES is the one reduction whose size follows the data (distinct values per
+feature); several audits read it, so it is persisted (memory, then disk; a
+lost block is recomputed from lineage). Everything after it -- the binning,
+CELLS, WoE -- is bounded by features x bins, and is checkpointed to the
+reliable checkpoint folder so later plans start from a small table instead of
+repeating the whole lineage in every branch.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from ..operators import binning as B
 from ..operators import windows as Wn
 from ..operators import woe as W
 from ..policy import AUDIT_HOLDOUT, AUDIT_TRAIN
+from ..session import cut_lineage
 from ..sources.frames import FrameSpec, load_frame
 from . import suffstats as S
 
@@ -32,7 +38,7 @@ class Audit:
     win: Wn.Windows
     bins: int = 10
     max_levels: int = 20
-    persist: bool = False
+    persist: bool = True
     features: tuple = field(default_factory=tuple)
 
     @cached_property
@@ -47,16 +53,18 @@ class Audit:
     @cached_property
     def binning(self) -> DataFrame:
         b = B.fit(self.values, self.spec, self.features or None, self.bins, self.max_levels)
-        return b.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else b
+        return cut_lineage(b) if self.persist else b
 
     @cached_property
     def cells(self) -> DataFrame:
-        return S.cells_table(self.values, self.binning)
+        c = S.cells_table(self.values, self.binning)
+        return cut_lineage(c) if self.persist else c
 
     @cached_property
     def woe(self) -> DataFrame:
         full = W.complete_cells(self.cells, self.binning, ["early", "late"])
-        return W.woe_table(full)
+        w = W.woe_table(full)
+        return cut_lineage(w) if self.persist else w
 
     def woe_of(self, window: str) -> DataFrame:
         return self.woe.where(F.col("window") == F.lit(window))
@@ -71,7 +79,7 @@ class Audit:
 
 def prepare(spark: SparkSession, sf_dir: str, frame: str = "events", bins: int = 10,
             max_levels: int = 20, train=AUDIT_TRAIN, holdout=AUDIT_HOLDOUT,
-            persist: bool = False, features=()) -> Audit:
+            persist: bool = True, features=()) -> Audit:
     df, spec = load_frame(spark, sf_dir, frame)
     win = Wn.time_windows(df, spec.time, train, holdout)
     return Audit(spark, spec, df, win, bins, max_levels, persist, tuple(features))
