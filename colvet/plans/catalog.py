@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_woe", "q_tc")
+MODULES = ("q_woe", "q_tc", "q_describe")
 
 
 def load():
