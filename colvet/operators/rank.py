@@ -66,7 +66,8 @@ def auc_delong(groups: DataFrame, keys, score: str = "score", bounded: bool = Tr
         F.sum(F.col("neg") * (F.col("v01") - F.col("auc")) ** 2).alias("sy"))
     out = first.join(second, keys)
     P, N = F.col("pos_total"), F.col("neg_total")
-    var = F.col("sx") / ((P - 1) * P) + F.col("sy") / ((N - 1) * N)
+    Pd, Nd = P.cast("double"), N.cast("double")
+    var = F.col("sx") / ((Pd - 1) * Pd) + F.col("sy") / ((Nd - 1) * Nd)
     ok = (P > 0) & (N > 0) & (F.col("n_scores") >= 2)
     z = norm_ppf(1 - (1 - conf_level) / 2)
     out = out.select(*keys,
@@ -96,21 +97,23 @@ def somers_d(values: DataFrame, by=()) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, p: str, out: str, family=()) -> DataFrame:
-    """Benjamini-Hochberg within each family; null p-values stay null and are
-    not counted. A family is one scan (one row per column), so the window holds
-    a schema-sized number of rows."""
+    """Benjamini-Hochberg within each family, in one pass.
+
+    ``m`` counts only non-null p-values; nulls sort last, so they never enter
+    the running minimum taken from the largest rank down, and stay null. A
+    family is one scan (one row per column): the window holds a schema-sized
+    number of rows.
+    """
     fam = list(family)
-    nn = df.where(F.col(p).isNotNull())
-    w_m = Window.partitionBy(*fam) if fam else Window.partitionBy()
-    w_r = Window.partitionBy(*fam).orderBy(F.col(p).asc()) if fam else Window.orderBy(F.col(p).asc())
-    ranked = (nn.withColumn("_m", F.count(F.lit(1)).over(w_m))
-                .withColumn("_r", F.row_number().over(w_r))
-                .withColumn("_raw", F.col(p) * F.col("_m") / F.col("_r")))
-    w_c = (Window.partitionBy(*fam) if fam else Window.partitionBy()) \
-        .orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    adj = ranked.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(w_c))) \
-                .drop("_m", "_r", "_raw")
-    return adj.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    base = Window.partitionBy(*fam) if fam else Window.partitionBy()
+    order = base.orderBy(F.col(p).asc_nulls_last())
+    t = (df.withColumn("_m", F.count(p).over(base))
+           .withColumn("_r", F.row_number().over(order))
+           .withColumn("_raw", F.col(p) * F.col("_m") / F.col("_r")))
+    down = base.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return (t.withColumn(out, F.when(F.col(p).isNotNull(),
+                                     F.least(F.lit(1.0), F.min("_raw").over(down))))
+             .drop("_m", "_r", "_raw"))
 
 
 def delong_unpaired_stat(a1: str, v1: str, n1: str, a2: str, v2: str, n2: str):

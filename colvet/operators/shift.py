@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..plans.cumulative import cumulative
 from ..policy import PSI_EPS, DSPolicy
+from ..session import cut_lineage
 from . import rank as R
 from . import woe as W
 
@@ -151,7 +152,7 @@ def scan(audit, policy: DSPolicy = DSPolicy(), labels: DataFrame | None = None)
     rep = rep.select(F.col("feature").alias("column"), "psi", "psi_null_q99", "p_perm",
                      "null_share_ref", "null_share_cur", "null_share_delta", "psi_excl_null",
                      "top_bucket", F.coalesce(F.col("degenerate"), F.lit("")).alias("note"))
-    rep = R.bh_adjust(rep, "p_perm", "p_perm_bh")
+    rep = R.bh_adjust(cut_lineage(rep), "p_perm", "p_perm_bh")
     return rep.withColumn("psi_over_null", F.col("psi") / F.col("psi_null_q99"))
 
 
@@ -287,6 +288,6 @@ def marginal_tests(fw: DataFrame, columns, id_col: str, n_sub: int = 5000, nboot
                              "cvm_stat": [cvm0], "cvm_p": [(1 + ge_cvm) / (nboot + 1)]})
 
     schema = "column string, ad_stat double, ad_p double, cvm_stat double, cvm_p double"
-    out = samp.select("feature", "window", "x").groupBy("feature").applyInPandas(run, schema)
+    out = cut_lineage(samp.select("feature", "window", "x").groupBy("feature").applyInPandas(run, schema))
     out = R.bh_adjust(out, "ad_p", "ad_p_bh")
     return R.bh_adjust(out, "cvm_p", "cvm_p_bh")

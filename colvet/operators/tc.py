@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.dist import p_t_two_sided
 from ..plans.pipeline import Audit
 from ..policy import TCPolicy
+from ..session import cut_lineage
 from . import rank as R
 from . import woe as W
 
@@ -133,7 +134,7 @@ def feature_report(a: Audit, policy: TCPolicy = TCPolicy(), with_p: bool = True)
 
 def scan(a: Audit, policy: TCPolicy = TCPolicy()) -> DataFrame:
     """Full scan: BH over the DeLong p-values, verdict and ``unstable`` flag."""
-    rep = feature_report(a, policy, with_p=True)
+    rep = cut_lineage(feature_report(a, policy, with_p=True))
     rep = R.bh_adjust(rep, "p_delong", "p_delong_bh")
     drop = (2 * F.col("auc_train") - 1) - (2 * F.col("auc_holdout") - 1)
     sig = F.col("p_delong_bh").isNotNull() & (F.col("p_delong_bh") < policy.alpha)

@@ -266,7 +266,7 @@ def auc_sql(groups: str, keys, name: str = "auc", z: float = 1.959963984540054)
 {name}_0 AS (
   SELECT {k}, CASE WHEN pt > 0 AND nt > 0 AND n_scores >= 2 THEN auc END AS auc,
          CASE WHEN pt > 1 AND nt > 1 AND n_scores >= 2
-              THEN sx / ((pt - 1) * pt)::DOUBLE + sy / ((nt - 1) * nt)::DOUBLE END AS var,
+              THEN sx / ((pt::DOUBLE - 1) * pt::DOUBLE) + sy / ((nt::DOUBLE - 1) * nt::DOUBLE) END AS var,
          pt + nt AS n, pt AS pos_total, nt AS neg_total
   FROM {name}_a JOIN {name}_s USING ({k})),
 {name} AS (
