@@ -22,6 +22,17 @@ TARGET_ROWS_PER_BUCKET = 2_000_000
 GRID = 1024
 
 
+def _as_number(df: DataFrame, col: str):
+    """A double that sorts like ``col`` (timestamps and dates by their epoch count)."""
+    t = df.schema[col].dataType.simpleString()
+    c = F.col(col)
+    if t.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if t == "date":
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
 def _bucket_bounds(df: DataFrame, keys: list, order: str) -> DataFrame:
     """Per key, the value bounds cutting it into buckets of about TARGET rows.
 
@@ -43,7 +54,7 @@ def _bucket_bounds(df: DataFrame, keys: list, order: str) -> DataFrame:
                                                  for k in keys))
         sketch = (df.join(F.broadcast(wanted), keys, "left_semi").groupBy(*keys)
                     .agg(F.count(F.lit(1)).alias("_cnt"),
-                         F.percentile_approx(F.col(order).cast("double"), probs, 10000).alias("_q"))
+                         F.percentile_approx(_as_number(df, order), probs, 10000).alias("_q"))
                     .collect())
         for r in sketch:
             n_buckets = max(1, min(grid, -(-int(r["_cnt"]) // target)))
@@ -72,7 +83,7 @@ def cumulative(df: DataFrame, keys, order: str, weights) -> DataFrame:
     # Bounded by (keys x grid): schema-sized, safe to broadcast.
     b = (df.join(F.broadcast(bounds), keys, "left")
            .withColumn("_bkt", F.coalesce(
-               F.size(F.filter("_bounds", lambda x: x < F.col(order).cast("double"))),
+               F.size(F.filter("_bounds", lambda x: x < _as_number(df, order))),
                F.lit(0)))
            .drop("_bounds"))
 

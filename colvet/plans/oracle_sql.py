@@ -27,7 +27,8 @@ frame AS (
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)""",
     "lines": """
 frame AS (
-  SELECT (epoch_us(l.l_shipdate) // 1000000)::BIGINT AS t,
+  SELECT (epoch_us(l.l_shipdate) // 1000000)::BIGINT AS t, l.l_orderkey, l.l_partkey,
+         datediff('day', o.o_orderdate::DATE, l.l_shipdate::DATE)::DOUBLE AS days_since_order,
          CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END AS y, o.o_custkey,
          l.l_quantity::DOUBLE AS l_quantity, l.l_extendedprice::DOUBLE AS l_extendedprice,
          l.l_discount::DOUBLE AS l_discount, l.l_tax::DOUBLE AS l_tax,

@@ -124,6 +124,9 @@ def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(c, o.o_custkey == c.c_custkey, "inner")
            .select(F.xxhash64(*lcols).alias("row_id"),
                    unix_seconds("l_shipdate").alias("t"),
+                   F.col("l_orderkey"), F.col("l_partkey"),
+                   F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
+                    .cast("double").alias("days_since_order"),
                    (F.col("l_returnflag") == F.lit("R")).cast("int").alias("y"),
                    F.col("o_custkey"),
                    F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double"),
