@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_woe", "q_tc", "q_describe", "q_shift", "q_segment", "q_catms", "q_frame", "q_rddm")
+MODULES = ("q_woe", "q_tc", "q_describe", "q_shift", "q_segment", "q_catms", "q_frame", "q_rddm", "q_contract")
 
 
 def load():
