@@ -156,7 +156,7 @@ def directionless_auc(audit, seg_vals: DataFrame, policy: SQPolicy = SQPolicy())
 def scan(audit, policy: SQPolicy = SQPolicy()) -> DataFrame:
     spec = audit.spec
     sv = segment_values(audit)
-    sv = sv.persist()
+    sv = cut_lineage(sv)
     seg_cells = S.cells_table(sv, audit.binning, by=("seg",))
     tests = cut_lineage(cmh_bd(strata(audit, seg_cells), policy))
     auc = cut_lineage(directionless_auc(audit, sv, policy))

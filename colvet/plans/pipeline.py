@@ -5,11 +5,12 @@ window edges are computed first (they become literals, so the window filter is
 pushed into the Parquet scan).
 
 VALUES is the one reduction whose size follows the data (distinct values per
-feature); several audits read it, so it is persisted (memory, then disk; a
-lost block is recomputed from lineage). Everything after it -- the binning,
-CELLS, WoE -- is bounded by features x bins, and is checkpointed to the
-reliable checkpoint folder so later plans start from a small table instead of
-repeating the whole lineage in every branch.
+feature); every audit reads it, so it is written once to the reliable
+checkpoint folder (shared storage on a cluster: it survives executor loss, and
+later plans start from it instead of from the raw scan and joins). Everything
+after it -- the binning, CELLS, WoE -- is bounded by features x bins and is
+checkpointed the same way, so plans stay small and each branch reads a table
+instead of repeating the lineage.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +48,7 @@ class Audit:
     @cached_property
     def values(self) -> DataFrame:
         v = S.values_table(self.fw, self.spec, self.features or None)
-        return v.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else v
+        return cut_lineage(v) if self.persist else v
 
     @cached_property
     def binning(self) -> DataFrame:
