@@ -59,3 +59,9 @@ def leading_digit(x: str | Column):
     k = F.floor(F.log10(x))
     scaled = F.when(k >= 0, x / F.pow(F.lit(10.0), k)).otherwise(x * F.pow(F.lit(10.0), -k))
     return F.floor(scaled).cast("int")
+
+
+def safe_corr(a: str, b: str):
+    """Pearson correlation that is null (not an ANSI division error) when a
+    column is constant."""
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))

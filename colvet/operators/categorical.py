@@ -67,12 +67,12 @@ def cramers_v(cont: DataFrame, min_rows: int = 50) -> DataFrame:
     t = m.join(chi, k)
     n, r, c = F.col("nn").cast("double"), F.col("r"), F.col("c")
     ok = (F.col("nn") >= min_rows) & (r >= 2) & (c >= 2)
-    raw = F.sqrt((F.col("chi2") / n) / F.least(r - 1, c - 1))
-    phi2 = F.greatest(F.lit(0.0), F.col("chi2") / n - (r - 1) * (c - 1) / (n - 1))
-    rt = r - (r - 1) * (r - 1) / (n - 1)
-    ct = c - (c - 1) * (c - 1) / (n - 1)
+    raw = F.sqrt(F.try_divide(F.col("chi2") / n, F.least(r - 1, c - 1)))
+    phi2 = F.greatest(F.lit(0.0), F.col("chi2") / n - F.try_divide((r - 1) * (c - 1), n - 1))
+    rt = r - F.try_divide((r - 1) * (r - 1), n - 1)
+    ct = c - F.try_divide((c - 1) * (c - 1), n - 1)
     denom = F.least(rt - 1, ct - 1)
-    v = F.when(denom > 0, F.sqrt(phi2 / denom))
+    v = F.when(denom > 0, F.sqrt(F.try_divide(phi2, denom)))
     return t.select(*k, F.col("nn").cast("long").alias("n"), F.col("r").cast("long").alias("r"),
                     F.col("c").cast("long").alias("c"), F.when(ok, F.col("chi2")).alias("chi2"),
                     F.when(ok, ((r - 1) * (c - 1)).cast("long")).alias("df"),

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import safe_corr
 from ..functions.dist import norm_cdf, norm_ppf
 from ..session import cut_lineage
 from .binning import type7_quantiles
@@ -45,7 +46,7 @@ def block_corr(rows: DataFrame, block: str, columns) -> DataFrame:
     if not pairs:
         return spark.createDataFrame([], "block string, a string, b string, r double, n long")
     agg = imp.agg(F.count(F.lit(1)).alias("_n"),
-                  *[(F.corr(a, b) if a != b else F.lit(1.0)).alias(f"{a}\u0001{b}") for a, b in pairs])
+                  *[(safe_corr(a, b) if a != b else F.lit(1.0)).alias(f"{a}\u0001{b}") for a, b in pairs])
     out = agg.select(F.col("_n").alias("n"), F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}\u0001{b}`").alias("r")) for a, b in pairs])))
     out = out.select(F.lit(block).alias("block"), "a", "b", "r", "n")

@@ -26,13 +26,13 @@ def benford(frame: DataFrame, spec: FrameSpec, column: str = "value", with_p: bo
     d = digits.join(counts, "digit", "left").fillna(0, ["n"])
     w = Window.partitionBy()
     d = d.select("digit", "n",
-                 (F.col("n") / F.sum("n").over(w)).alias("observed"),
+                 F.try_divide(F.col("n"), F.sum("n").over(w)).alias("observed"),
                  F.log10(F.lit(1.0) + F.lit(1.0) / F.col("digit")).alias("expected"),
                  F.sum("n").over(w).alias("_tot"))
     d = d.select("*",
                  F.avg(F.abs(F.col("observed") - F.col("expected"))).over(w).alias("mad"),
-                 F.sum((F.col("n") - F.col("_tot") * F.col("expected")) ** 2
-                       / (F.col("_tot") * F.col("expected"))).over(w).alias("chi2")).drop("_tot")
+                 F.sum(F.try_divide((F.col("n") - F.col("_tot") * F.col("expected")) ** 2,
+                                    F.col("_tot") * F.col("expected"))).over(w).alias("chi2")).drop("_tot")
     if with_p:
         d = d.withColumn("p_value", p_chi2(F.col("chi2"), F.lit(8.0)))
     return d

@@ -39,8 +39,8 @@ def placements(groups: DataFrame, keys, score: str = "score", bounded: bool = Tr
         ns = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scores"))
         g = g.join(ns, keys)
     P, N = F.col("pos_total"), F.col("neg_total")
-    return (g.withColumn("v10", (F.col("neg_below") + F.col("neg") / 2.0) / N)
-             .withColumn("v01", ((P - F.col("pos_below") - F.col("pos")) + F.col("pos") / 2.0) / P))
+    return (g.withColumn("v10", F.try_divide(F.col("neg_below") + F.col("neg") / 2.0, N))
+             .withColumn("v01", F.try_divide((P - F.col("pos_below") - F.col("pos")) + F.col("pos") / 2.0, P)))
 
 
 def auc_delong(groups: DataFrame, keys, score: str = "score", bounded: bool = True,
@@ -57,7 +57,7 @@ def auc_delong(groups: DataFrame, keys, score: str = "score", bounded: bool = Tr
         return out.drop("_k0")
     pl = placements(groups.where((F.col("pos") + F.col("neg")) > 0), keys, score, bounded)
     first = pl.groupBy(*keys).agg(
-        (F.sum(F.col("pos") * F.col("v10")) / F.first("pos_total")).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("v10")), F.first("pos_total")).alias("auc"),
         F.first("pos_total").alias("pos_total"), F.first("neg_total").alias("neg_total"),
         F.first("n_scores").alias("n_scores"))
     back = pl.join(first.select(*keys, "auc"), keys)
@@ -67,7 +67,7 @@ def auc_delong(groups: DataFrame, keys, score: str = "score", bounded: bool = Tr
     out = first.join(second, keys)
     P, N = F.col("pos_total"), F.col("neg_total")
     Pd, Nd = P.cast("double"), N.cast("double")
-    var = F.col("sx") / ((Pd - 1) * Pd) + F.col("sy") / ((Nd - 1) * Nd)
+    var = F.try_divide(F.col("sx"), (Pd - 1) * Pd) + F.try_divide(F.col("sy"), (Nd - 1) * Nd)
     ok = (P > 0) & (N > 0) & (F.col("n_scores") >= 2)
     z = norm_ppf(1 - (1 - conf_level) / 2)
     out = out.select(*keys,
@@ -119,8 +119,8 @@ def bh_adjust(df: DataFrame, p: str, out: str, family=()) -> DataFrame:
 def delong_unpaired_stat(a1: str, v1: str, n1: str, a2: str, v2: str, n2: str):
     """t statistic and Welch-type degrees of freedom of two independent AUCs."""
     s = F.col(v1) + F.col(v2)
-    t = (F.col(a1) - F.col(a2)) / F.sqrt(s)
-    df = s * s / (F.col(v1) ** 2 / (F.col(n1) - 1) + F.col(v2) ** 2 / (F.col(n2) - 1))
+    t = F.try_divide(F.col(a1) - F.col(a2), F.sqrt(s))
+    df = F.try_divide(s * s, F.try_divide(F.col(v1) ** 2, F.col(n1) - 1) + F.try_divide(F.col(v2) ** 2, F.col(n2) - 1))
     return t, df
 
 

@@ -75,26 +75,27 @@ def cmh_bd(tables: DataFrame, policy: SQPolicy = SQPolicy(), with_p: bool = True
                  (r1 * r2 * c1 * c2 / (F.col("nn") * F.col("nn") * (F.col("nn") - 1))).alias("v11"),
                  r1.alias("r1"), c1.alias("c1"), c2.alias("c2"))
     mh = u.groupBy("feature").agg(
-        (F.sum("ad_n") / F.sum("bc_n")).alias("cmh_or"),
-        ((F.sum("d") - F.sum("e11")) * (F.sum("d") - F.sum("e11")) / F.sum("v11")).alias("cmh_stat"))
+        F.try_divide(F.sum("ad_n"), F.sum("bc_n")).alias("cmh_or"),
+        F.try_divide((F.sum("d") - F.sum("e11")) * (F.sum("d") - F.sum("e11")), F.sum("v11")).alias("cmh_stat"))
     bd = u.join(mh.select("feature", "cmh_or"), "feature")
     OR = F.col("cmh_or")
     q0 = -F.col("r1") * F.col("c1") * OR
     q1 = F.col("c2") - F.col("r1") + OR * (F.col("c1") + F.col("r1"))
     q2 = F.lit(1.0) - OR
     disc = F.sqrt(q1 * q1 - 4 * q2 * q0)
-    ra = (-q1 + disc) / (2 * q2)
-    rb = (-q1 - disc) / (2 * q2)
+    ra = F.try_divide(-q1 + disc, 2 * q2)
+    rb = F.try_divide(-q1 - disc, 2 * q2)
     upper = F.least(F.col("c1"), F.col("r1"))
     ok_a = (ra > 0) & (ra <= upper)
-    A = (F.when(q2 == 0, -q0 / q1)
+    A = (F.when(q2 == 0, F.try_divide(-q0, q1))
           .when(ok_a, ra)
           .otherwise(rb))
     bd = bd.withColumn("A", A)
-    var = F.lit(1.0) / (F.lit(1.0) / F.col("A") + F.lit(1.0) / (F.col("r1") - F.col("A"))
-                        + F.lit(1.0) / (F.col("c1") - F.col("A"))
-                        + F.lit(1.0) / (F.col("nn") - F.col("r1") - F.col("c1") + F.col("A")))
-    bd = bd.withColumn("term", (F.col("d") - F.col("A")) * (F.col("d") - F.col("A")) / var) \
+    one = F.lit(1.0)
+    var = F.try_divide(one, F.try_divide(one, F.col("A")) + F.try_divide(one, F.col("r1") - F.col("A"))
+                       + F.try_divide(one, F.col("c1") - F.col("A"))
+                       + F.try_divide(one, F.col("nn") - F.col("r1") - F.col("c1") + F.col("A")))
+    bd = bd.withColumn("term", F.try_divide((F.col("d") - F.col("A")) * (F.col("d") - F.col("A")), var)) \
            .groupBy("feature").agg(F.sum("term").alias("bd_stat"))
     out = rows.join(mh, "feature", "left").join(bd, "feature", "left")
     testable = (F.col("ok_rows") >= policy.min_rows) & (F.col("strata_used") >= 2)

@@ -44,8 +44,8 @@ def bin_counts(cells: DataFrame, binning: DataFrame) -> DataFrame:
 
 def _contrib(df: DataFrame, keys=("feature",), eps: float = PSI_EPS) -> DataFrame:
     w = Window.partitionBy(*keys)
-    p_ref = F.greatest(F.col("ref") / F.sum("ref").over(w), F.lit(eps))
-    p_cur = F.greatest(F.col("cur") / F.sum("cur").over(w), F.lit(eps))
+    p_ref = F.greatest(F.try_divide(F.col("ref"), F.sum("ref").over(w)), F.lit(eps))
+    p_cur = F.greatest(F.try_divide(F.col("cur"), F.sum("cur").over(w)), F.lit(eps))
     return df.withColumn("contrib", (p_cur - p_ref) * F.log(p_cur / p_ref))
 
 

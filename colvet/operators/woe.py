@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import safe_corr
+
 
 def complete_cells(cells: DataFrame, binning: DataFrame, by_values=None,
                    by_col: str = "window") -> DataFrame:
@@ -88,5 +90,5 @@ def mid_rank(col: str, keys):
 def spearman_pairs(df: DataFrame, keys, a: str, b: str) -> DataFrame:
     """Spearman correlation of two small vectors per key (null when undefined)."""
     r = df.select(*keys, mid_rank(a, keys).alias("ra"), mid_rank(b, keys).alias("rb"))
-    c = r.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"))
+    c = r.groupBy(*keys).agg(safe_corr("ra", "rb").alias("rho"))
     return c.select(*keys, F.when(F.isnan("rho"), F.lit(None)).otherwise(F.col("rho")).alias("rho"))

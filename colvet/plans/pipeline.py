@@ -15,6 +15,7 @@ instead of repeating the lineage.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -77,9 +78,35 @@ class Audit:
                             F.sum(F.col(self.spec.label)).cast("long").alias("positives")))
 
 
+_AUDITS: dict = {}
+
+
+def _data_signature(sf_dir: str) -> tuple:
+    """Names, sizes and modification times of the input files: a cached audit
+    is reused only while its inputs are unchanged."""
+    try:
+        entries = sorted(os.scandir(sf_dir), key=lambda e: e.name)
+        return tuple((e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in entries)
+    except OSError:  # not a local path (object store): key on the path alone
+        return ()
+
+
 def prepare(spark: SparkSession, sf_dir: str, frame: str = "events", bins: int = 10,
             max_levels: int = 20, train=AUDIT_TRAIN, holdout=AUDIT_HOLDOUT,
             persist: bool = True, features=()) -> Audit:
+    """The audit's shared intermediates for one frame.
+
+    One audit run reads the same VALUES, binning and CELLS in every check, so
+    the prepared audit is shared within a Spark application for the same
+    inputs and parameters (the intermediates live in the checkpoint folder).
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, frame, bins, max_levels, tuple(train),
+           tuple(holdout), persist, tuple(features), _data_signature(sf_dir))
+    if key in _AUDITS:
+        return _AUDITS[key]
     df, spec = load_frame(spark, sf_dir, frame)
     win = Wn.time_windows(df, spec.time, train, holdout)
-    return Audit(spark, spec, df, win, bins, max_levels, persist, tuple(features))
+    a = Audit(spark, spec, df, win, bins, max_levels, persist, tuple(features))
+    if persist:
+        _AUDITS[key] = a
+    return a
