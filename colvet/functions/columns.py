@@ -65,3 +65,34 @@ def safe_corr(a: str, b: str):
     """Pearson correlation that is null (not an ANSI division error) when a
     column is constant."""
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+
+
+WIDE = 64  # above this many columns, correlations go through MLlib's Gramian
+
+
+def corr_long(df, cols, pairs_only_upper: bool = True):
+    """Pearson correlation of ``cols`` as rows (a, b, r) for a < b (by position).
+
+    Up to ``WIDE`` columns: one aggregation of guarded pairwise correlations.
+    Wider: ``pyspark.ml.stat.Correlation`` on an assembled vector (a distributed
+    Gramian by tree aggregation); the p x p result is schema-sized. Constant
+    columns give null there as here.
+    """
+    cols = list(cols)
+    spark = df.sparkSession
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return spark.createDataFrame([], "a string, b string, r double")
+    if len(cols) <= WIDE:
+        agg = df.agg(*[safe_corr(a, b).alias(f"{a}\u0001{b}") for a, b in pairs])
+        return agg.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}\u0001{b}`").alias("r"))
+            for a, b in pairs])))
+    import math as _m
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="keep").transform(df.select(*cols))
+    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
+    rows = [(a, b, None if not _m.isfinite(float(m[i, j])) else float(m[i, j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
+    return spark.createDataFrame(rows, "a string, b string, r double")

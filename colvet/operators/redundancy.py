@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_corr
+from ..functions.columns import corr_long
 from ..plans.cumulative import cumulative
 from ..policy import RHO2_GRID, RDPolicy
 from ..session import cut_lineage
@@ -62,13 +62,7 @@ def spearman_long(frame_w: DataFrame, id_col: str, ranks: DataFrame) -> DataFram
     non-finite correlations 0."""
     wide, feats = ranked_wide(frame_w, id_col, ranks)
     wide = cut_lineage(wide)
-    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
-    if not pairs:
-        return wide.sparkSession.createDataFrame([(f, f, 1.0) for f in feats], "a string, b string, rho double")
-    agg = wide.agg(*[safe_corr(a, b).alias(f"{a}\u0001{b}") for a, b in pairs])
-    row = agg.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}\u0001{b}`").alias("rho"))
-        for a, b in pairs])))
+    row = corr_long(wide, feats).select("a", "b", F.col("r").alias("rho"))
     row = row.select("a", "b", F.when(F.col("rho").isNull() | F.isnan("rho"), F.lit(0.0))
                      .otherwise(F.col("rho")).alias("rho"))
     sym = row.unionByName(row.select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))

@@ -44,7 +44,7 @@ class Audit:
 
     @cached_property
     def fw(self) -> DataFrame:
-        return Wn.with_window(self.frame, self.spec.time, self.win)
+        return Wn.with_window(self.frame, self.spec.time, self.win, self.spec.raw_time)
 
     @cached_property
     def values(self) -> DataFrame:

@@ -385,3 +385,10 @@ def q_history(spark, sf):
     a = prepare(spark, sf)
     early = a.fw.where(F.col("window") == "early")
     return E.history_share(early, E.entity_uid(["user_id", "s_nationkey"]), a.spec.time, a.spec.id)
+
+
+@register("fx_power_law")
+def q_power_law(spark, sf):
+    """Power-law tail of positive amounts among label-1 rows: xmin by least KS, alpha by MLE."""
+    fr, spec = load_frame(spark, sf)
+    return X.power_law(fr, spec, "value")

@@ -30,6 +30,7 @@ class FrameSpec:
     segment: str | None = None
     entity: str | None = None
     extra: tuple = field(default_factory=tuple)
+    raw_time: str | None = None   # source timestamp behind ``time`` (for scan pushdown)
 
     @property
     def features(self) -> tuple:
@@ -65,7 +66,7 @@ EVENTS_SPEC = FrameSpec(
     numeric=("value", "k", "s_acctbal", "s_nationkey", "c_acctbal", "c_nationkey"),
     text=("c_mktsegment", "c_nation"),
     id="row_id", time="t", label="y", segment="c_mktsegment", entity="user_id",
-    extra=("event_type",),
+    extra=("event_type",), raw_time="ts",
 )
 
 
@@ -83,7 +84,7 @@ def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(c, e.user_id == c.c_custkey, "left")
            .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
            .select(F.col("event_id").alias("row_id"),
-                   unix_seconds("ts").alias("t"),
+                   unix_seconds("ts").alias("t"), F.col("ts"),
                    (F.col("event_type") == F.lit("error")).cast("int").alias("y"),
                    F.col("event_type"),
                    F.col("user_id"),
@@ -105,6 +106,7 @@ LINES_SPEC = FrameSpec(
     text=("l_linestatus", "o_orderstatus", "o_orderpriority", "p_brand", "p_type",
           "c_mktsegment"),
     id="row_id", time="t", label="y", segment="c_mktsegment", entity="o_custkey",
+    raw_time="l_shipdate",
 )
 
 
@@ -123,7 +125,7 @@ def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(p, l.l_partkey == p.p_partkey, "inner")
            .join(c, o.o_custkey == c.c_custkey, "inner")
            .select(F.xxhash64(*lcols).alias("row_id"),
-                   unix_seconds("l_shipdate").alias("t"),
+                   unix_seconds("l_shipdate").alias("t"), F.col("l_shipdate"),
                    F.col("l_orderkey"), F.col("l_partkey"),
                    F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
                     .cast("double").alias("days_since_order"),

@@ -135,3 +135,22 @@ def test_cramers_v_reference_values():
     e = np.outer(sparse.sum(1), sparse.sum(0)) / n
     raw = math.sqrt(((sparse - e) ** 2 / e).sum() / n / 2)
     assert _v_from_table(sparse, 3, 3) < raw
+
+
+def test_wide_correlation_path_matches_pairwise(spark, monkeypatch):
+    from colvet.functions import columns as C
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=500)
+    pdf = pd.DataFrame({"a": base, "b": base + rng.normal(size=500) * 0.1, "c": rng.normal(size=500),
+                        "k": np.ones(500)})
+    df = spark.createDataFrame(pdf)
+    narrow = {(r["a"], r["b"]): r["r"] for r in C.corr_long(df, ["a", "b", "c", "k"]).collect()}
+    monkeypatch.setattr(C, "WIDE", 2)
+    wide = {(r["a"], r["b"]): r["r"] for r in C.corr_long(df, ["a", "b", "c", "k"]).collect()}
+    assert set(narrow) == set(wide)
+    for key, v in narrow.items():
+        if v is None:
+            assert wide[key] is None
+        else:
+            assert abs(v - wide[key]) < 1e-9
+    assert narrow[("a", "b")] > 0.9 and narrow[("a", "k")] is None
