@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import day_of, paste_key
+from ..functions.columns import day_of
 from ..operators.binning import type7_quantiles
 from .forensic import gini_from_histogram
 
@@ -163,10 +163,16 @@ def purity_null(g: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
 def coverage(frame: DataFrame, uid, time: str) -> DataFrame:
     """Rows covered, entities, median size, Gini, median span (days),
     multi-row share -- from the per-entity table and its histograms."""
-    per = frame.groupBy(uid.alias("uid")).agg(F.count(F.lit(1)).alias("n"),
+    per = frame.groupBy(uid.alias("uid")).agg(F.count(F.lit(1)).alias("rows"),
                                                ((F.max(time) - F.min(time)) / F.lit(86400.0)).alias("span"))
-    covered = per.where(F.col("uid").isNotNull())
-    rows = per.agg(F.sum("n").alias("rows")).withColumn("_one", F.lit(1))
+    return coverage_from_entities(per)
+
+
+def coverage_from_entities(per: DataFrame) -> DataFrame:
+    """Coverage figures from (uid, rows, span); the null uid row holds the
+    rows without a key."""
+    covered = per.where(F.col("uid").isNotNull()).select("uid", F.col("rows").alias("n"), "span")
+    rows = per.agg(F.sum("rows").alias("rows")).withColumn("_one", F.lit(1))
     hist = covered.groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("m"))
     gini = gini_from_histogram(hist).withColumn("_one", F.lit(1))
     ent = covered.agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("covered_rows"),
@@ -232,15 +238,25 @@ def history_share(frame: DataFrame, uid, time: str, id_col: str) -> DataFrame:
 
 def compare_keys(frame: DataFrame, candidates: dict, label: str, time: str,
                  with_draws: bool = False, draws: int = 100) -> DataFrame:
-    """Candidate keys side by side, lift of purity over the exact null mean."""
+    """Candidate keys side by side, lift of purity over the exact null mean.
+
+    Per candidate the rows are reduced once to one row per entity (size,
+    labelled size, positives, span), written to the checkpoint folder; groups,
+    purity, the null mean and coverage all read that table.
+    """
+    from ..session import cut_lineage
     out = None
     for i, (name, (cols, anchor)) in enumerate(candidates.items()):
         uid = entity_uid(cols, anchor, time)
-        g = groups(frame, uid, label)
+        per = cut_lineage(frame.groupBy(uid.alias("uid")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count(F.col(label)).alias("n"),
+            F.sum(F.col(label)).cast("long").alias("pos"),
+            ((F.max(time) - F.min(time)) / F.lit(86400.0)).alias("span")))
+        g = per.where(F.col("uid").isNotNull() & (F.col("n") > 0)).select("uid", "n", "pos")
         summ = group_summary(g).withColumn("_one", F.lit(1))
         pur = purity(g).withColumn("_one", F.lit(1))
         nm = purity_null_mean(g).withColumn("_one", F.lit(1))
-        cov = coverage(frame, uid, time).withColumn("_one", F.lit(1))
+        cov = coverage_from_entities(per).withColumn("_one", F.lit(1))
         r = (cov.join(summ.select("_one", "singleton_share"), "_one").join(pur, "_one").join(nm, "_one")
                 .select(F.lit(name).alias("candidate"),
                         F.lit(" + ".join(list(cols) + ([anchor] if anchor else []))).alias("components"),

@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.cumulative import cumulative
 from ..policy import PSI_EPS, DSPolicy
 from ..session import cut_lineage
 from . import rank as R

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import shift as SH
 from ..sources.frames import EVENTS_SPEC
 from . import oracle_sql as O
