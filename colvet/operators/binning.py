@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cumulative import order_statistics
+from ..session import cut_lineage
 from ..policy import NULL_BUCKET, OTHER_BUCKET
 from ..sources.frames import FrameSpec
 
@@ -90,7 +91,8 @@ def fit(values: DataFrame, spec: FrameSpec, features=None, bins: int = 10,
     features = list(features or spec.features)
     kinds = spark.createDataFrame([(f, spec.kind_of(f)) for f in features],
                                   "feature string, declared string")
-    vc = reference_counts(values, ref_window, window_col).join(kinds, "feature")
+    # read by every branch below (stats, grid, few values, top values, levels): written once
+    vc = cut_lineage(reference_counts(values, ref_window, window_col).join(kinds, "feature"))
     notnull = F.col("vnum").isNotNull() | F.col("vtxt").isNotNull()
     stats = (vc.groupBy("feature")
                .agg(F.sum("c").alias("total"),

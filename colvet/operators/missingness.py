@@ -138,6 +138,32 @@ def little_mcar(pdf: pd.DataFrame, k: int, max_iter: int = 500, tol: float = 1e-
     return d2, df, len(pats)
 
 
+def drop_constant(pdf: pd.DataFrame, k: int):
+    """Drop columns with no variance among their observed values (from the
+    pattern sums), re-indexing the pattern bits, sums and cross-products."""
+    keep = []
+    for i in range(k):
+        obs = pdf["pattern"].str[i] == "1"
+        n = pdf.loc[obs, "n"].sum()
+        if n < 2:
+            continue
+        s1 = pdf.loc[obs, f"s_{i}"].sum()
+        s2 = pdf.loc[obs, f"x_{i}_{i}"].sum()
+        if s2 / n - (s1 / n) ** 2 > 1e-12 * max(1.0, s2 / n):
+            keep.append(i)
+    if len(keep) == k:
+        return pdf, k
+    out = pd.DataFrame({"pattern": pdf["pattern"].map(lambda p: "".join(p[i] for i in keep)), "n": pdf["n"]})
+    for a, i in enumerate(keep):
+        out[f"s_{a}"] = pdf[f"s_{i}"]
+        for b in range(a, len(keep)):
+            j = keep[b]
+            out[f"x_{a}_{b}"] = pdf[f"x_{min(i, j)}_{max(i, j)}"]
+    # patterns that now coincide are pooled
+    agg = out.groupby("pattern", as_index=False).sum(numeric_only=True)
+    return agg, len(keep)
+
+
 def mcar_test(frame: DataFrame, fams: DataFrame, refs: list, probe: int = 3) -> DataFrame:
     """Little's test per family: the first ``probe`` members plus the reference
     columns (minus members). Pattern statistics are computed in Spark over all
@@ -163,6 +189,10 @@ def mcar_test(frame: DataFrame, fams: DataFrame, refs: list, probe: int = 3) ->
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fam = int(pdf["null_count"].iloc[0])
         k = k_by_family[fam]
+        pdf, k = drop_constant(pdf, k)
+        if k < 2:
+            return pd.DataFrame({"null_count": [fam], "mcar_statistic": [None], "mcar_df": [None],
+                                 "patterns": [None], "mcar_p": [None], "note": ["not enough varying columns"]})
         try:
             d2, df, npat = little_mcar(pdf, k)
             return pd.DataFrame({"null_count": [fam], "mcar_statistic": [d2], "mcar_df": [df],

@@ -161,3 +161,12 @@ def test_derivations(spark):
         DV.apply_derivations(df, [DV.Derivation("x", "one_hot", ("absent",), {"level": "a"})])
     with pytest.raises(ValueError):
         DV.apply_derivations(df, [DV.Derivation("x", "frequency_encode", ("P",))], maps)
+
+
+def test_mcar_drops_constant_columns():
+    st = pd.DataFrame({"pattern": ["111", "011"], "n": [10, 5],
+                       "s_0": [10.0, None], "s_1": [20.0, 10.0], "s_2": [30.0, 15.0],
+                       "x_0_0": [10.0, None], "x_0_1": [20.0, None], "x_0_2": [30.0, None],
+                       "x_1_1": [40.0, 20.0], "x_1_2": [60.0, 30.0], "x_2_2": [95.0, 46.0]})
+    out, k = M.drop_constant(st, 3)
+    assert k == 1 and set(out["pattern"]) == {"1"} and int(out["n"].sum()) == 15
