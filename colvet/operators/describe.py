@@ -52,15 +52,15 @@ def presence_rates(frame: DataFrame, spec: FrameSpec, column: str) -> DataFrame:
 def rarity_profile(frame: DataFrame, spec: FrameSpec, columns) -> DataFrame:
     """Rate by how common a value is in its own column: [0,10) [10,100) ...
 
-    Value frequencies come from one aggregation per column (map-side partial
-    counts), joined back on the value; the bands are then a small group-by.
+    The band depends only on the value's frequency, so rows are reduced to
+    (value -> rows, positives) first and the bands are summed from that table:
+    no row-level join, and a value holding most rows is one row per task.
     """
     out = None
     for c in columns:
         v = F.col(c).cast("string")
-        freq = frame.where(v.isNotNull()).groupBy(v.alias("value")).agg(F.count(F.lit(1)).alias("freq"))
-        rows = frame.where(v.isNotNull()).select(v.alias("value"), F.col(spec.label).alias("y"))
-        j = rows.join(freq, "value")
+        per = (frame.where(v.isNotNull()).groupBy(v.alias("value"))
+                    .agg(F.count(F.lit(1)).alias("freq"), F.sum(F.col(spec.label)).alias("pos")))
         b = F.when(F.col("freq") < RARITY_BREAKS[1], F.lit(RARITY_LABELS[0]))
         for i in range(1, len(RARITY_BREAKS)):
             upper = RARITY_BREAKS[i + 1] if i + 1 < len(RARITY_BREAKS) else None
@@ -68,7 +68,7 @@ def rarity_profile(frame: DataFrame, spec: FrameSpec, columns) -> DataFrame:
             if upper is not None:
                 cond = cond & (F.col("freq") < upper)
             b = b.when(cond, F.lit(RARITY_LABELS[i]))
-        g = j.groupBy(b.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("k"))
+        g = per.groupBy(b.alias("band")).agg(F.sum("freq").alias("n"), F.sum("pos").cast("long").alias("k"))
         w = Window.partitionBy()
         g = g.select(F.lit(c).alias("column"), "*", *_rate_cols(),
                      ((F.col("k") / F.col("n")) / (F.sum("k").over(w) / F.sum("n").over(w))).alias("ratio"))
