@@ -37,10 +37,12 @@ def kept_levels(values: DataFrame, features, max_levels: int) -> DataFrame:
 def contingency(values: DataFrame, features, max_levels: int = 50) -> DataFrame:
     """(feature, target, a, b, n): lumped level x label (early window) and
     lumped level x window (both windows)."""
-    keep = kept_levels(values, features, max_levels)
+    # renamed before the join: both sides come from VALUES, so positional
+    # references would be ambiguous
+    kept = kept_levels(values, features, max_levels).select(F.col("feature").alias("k_feature"), "kept")
     v = values.where(F.col("feature").isin(list(features)))
-    j = v.join(F.broadcast(keep), (v["feature"] == keep["feature"]) & (v["vtxt"] == keep["kept"]), "left") \
-         .drop(keep["feature"])
+    j = v.join(F.broadcast(kept), (F.col("feature") == F.col("k_feature")) & (F.col("vtxt") == F.col("kept")),
+               "left").drop("k_feature")
     lump = (F.when(F.col("vtxt").isNull(), F.lit(NULL_BUCKET))
              .when(F.col("kept").isNotNull(), F.col("vtxt"))
              .otherwise(F.lit(OTHER_BUCKET)))

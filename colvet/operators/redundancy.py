@@ -51,8 +51,9 @@ def ranked_wide(frame_w: DataFrame, id_col: str, ranks: DataFrame, window: str =
     rows = frame_w.where(F.col("window") == window)
     longv = rows.select(id_col, F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])))
-    j = longv.join(ranks, (longv["feature"] == ranks["feature"]) & longv["value"].eqNullSafe(ranks["value"])) \
-             .select(longv[id_col], longv["feature"], ranks["rank"])
+    r = ranks.select(F.col("feature").alias("r_feature"), F.col("value").alias("r_value"), "rank")
+    j = longv.join(r, (F.col("feature") == F.col("r_feature")) & F.col("value").eqNullSafe(F.col("r_value"))) \
+             .select(id_col, "feature", "rank")
     wide = j.groupBy(id_col).pivot("feature", feats).agg(F.first("rank"))
     return wide, feats
 
