@@ -97,7 +97,9 @@ def type_profile(frame: DataFrame, spec: FrameSpec, values: DataFrame) -> DataFr
             .when(F.col("distinct") <= 20, F.lit("low-cardinality"))
             .when(F.col("stored").isin("character", "factor"), F.lit("categorical"))
             .otherwise(F.lit("continuous")))
-    return p.withColumn("effectively", eff)
+    p = p.withColumn("effectively", eff)
+    # how many columns share each (stored, effective) pair: a feature-sized window
+    return p.withColumn("pair_count", F.count(F.lit(1)).over(Window.partitionBy("stored", "effectively")))
 
 
 def type_mismatch(profile: DataFrame) -> DataFrame:

@@ -127,12 +127,16 @@ prof AS (SELECT st.feature, st.stored, per."distinct", per.null_share,
          FROM st JOIN per USING (feature))"""
 
 
-@register("qd_type_profile", sql=TYPE_SQL + "\nSELECT feature, stored, \"distinct\", null_share, effectively FROM prof",
+@register("qd_type_profile", sql=TYPE_SQL + """
+SELECT feature, stored, "distinct", null_share, effectively,
+       count(*) OVER (PARTITION BY stored, effectively) AS pair_count FROM prof""",
           floats=("null_share",))
 def q_type_profile(spark, sf):
+    """Stored against effective type per column, and how many columns share each pair."""
     fr, spec = load_frame(spark, sf)
     vals = S.values_table(fr, spec, by=())
-    return D.type_profile(fr, spec, vals).select("feature", "stored", "distinct", "null_share", "effectively")
+    return D.type_profile(fr, spec, vals).select("feature", "stored", "distinct", "null_share", "effectively",
+                                                 "pair_count")
 
 
 @register("qd_type_mismatch", sql=TYPE_SQL + """

@@ -101,3 +101,12 @@ def test_binning_independent_of_row_order(spark):
     a, _, _ = _fit(spark, pd.DataFrame({"x": x}))
     b, _, _ = _fit(spark, pd.DataFrame({"x": rng.permutation(x)}))
     assert a["edges"] == b["edges"]
+
+
+def test_collapsed_grid_falls_back_to_top_values(spark):
+    # 21 distinct values but every decile is 0: the grid collapses to < 3 edges
+    x = np.r_[np.zeros(10000), np.arange(1, 21).astype(float)]
+    b, _, _ = _fit(spark, pd.DataFrame({"x": x}), max_levels=20)
+    assert b["kind"] == "discrete"
+    # 0 (most frequent) then the singles by value: 1..19 kept, 20 goes to __other__
+    assert b["vals"] == [0.0] + [float(i) for i in range(1, 20)]
