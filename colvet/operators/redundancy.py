@@ -159,14 +159,6 @@ def representatives(groups: DataFrame, null_rates: DataFrame, iv: DataFrame | No
 
 
 # ------------------------------------------------------------- redundancy ---
-def rcs_term(x, t1: float, t2: float, t3: float):
-    """Restricted cubic spline nonlinear term, 3 knots, scaled by (t3 - t1)^2."""
-    def cube(z):
-        return F.pow(F.greatest(z, F.lit(0.0)), 3)
-    s = cube(x - t1) - cube(x - t2) * ((t3 - t1) / (t3 - t2)) + cube(x - t3) * ((t2 - t1) / (t3 - t2))
-    return s / ((t3 - t1) ** 2)
-
-
 def _r2_all(G: np.ndarray, idx: dict, members: list, spline: bool) -> dict:
     """R^2 of each member (linear) on the basis of the other members."""
     out = {}
@@ -196,59 +188,119 @@ def backward_redundancy(G: np.ndarray, idx: dict, members: list, r2: float, spli
     return removed
 
 
+def _basis(pdf: pd.DataFrame, members: list, knots: dict, spline: bool) -> np.ndarray:
+    """Basis matrix [1, x_1, s_1, x_2, s_2, ...] of complete rows (numpy)."""
+    cols = [np.ones(len(pdf))]
+    for m in members:
+        x = pdf[m].to_numpy(dtype=float)
+        cols.append(x)
+        if spline:
+            t1, t2, t3 = knots[m]
+
+            def cube(z):
+                return np.maximum(z, 0.0) ** 3
+            sp = cube(x - t1) - cube(x - t2) * ((t3 - t1) / (t3 - t2)) + cube(x - t3) * ((t2 - t1) / (t3 - t2))
+            cols.append(sp / (t3 - t1) ** 2)
+    return np.column_stack(cols)
+
+
 def redundancy_within_groups(frame_w: DataFrame, groups: DataFrame, r2: float = 0.9,
                              max_group: int = 25, window: str = "early") -> DataFrame:
     """Backward removal of the best-predicted member while R^2 >= r2, per group
-    of 2..``max_group`` columns, on complete rows (spline basis, else linear)."""
+    of 2..``max_group`` columns, on the group's complete rows (restricted cubic
+    spline basis with 3 knots, else linear).
+
+    Fixed number of passes whatever the number of groups: one exact quantile
+    job for every group's knots, one pass over the rows that adds up partial
+    Gramians of every group per task (mapInPandas), and one grouped solve.
+    """
     spark = frame_w.sparkSession
     rows = frame_w.where(F.col("window") == window)
-    gl = groups.groupBy("group").agg(F.sort_array(F.collect_list("feature")).alias("members")).collect()
+    gl = {r["group"]: sorted(r["members"]) for r in
+          groups.groupBy("group").agg(F.collect_list("feature").alias("members")).collect()}  # column names
     out = []
-    for g in gl:  # one Gramian aggregation per group; groups are schema-sized
-        mem = list(g["members"])
+    eligible = {}
+    for g, mem in gl.items():
         if len(mem) < 2:
-            out.extend((g["group"], m, False, None, "singleton") for m in mem)
-            continue
-        if len(mem) > max_group:
-            out.extend((g["group"], m, None, None, "group larger than max_group") for m in mem)
-            continue
-        comp = rows
+            out.extend((g, m, False, None, "singleton") for m in mem)
+        elif len(mem) > max_group:
+            out.extend((g, m, None, None, "group larger than max_group") for m in mem)
+        else:
+            eligible[g] = mem
+    schema = "group string, column string, predictable boolean, r2 double, note string"
+    if not eligible:
+        return spark.createDataFrame(out, schema)
+    cols = sorted({m for mem in eligible.values() for m in mem})
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in cols])
+
+    # knots: type-7 quantiles of each member over its group's complete rows
+    parts = []
+    for g, mem in eligible.items():
+        complete = None
         for m in mem:
-            comp = comp.where(F.col(m).isNotNull())
-        comp = comp.select(*[F.col(m).cast("double").alias(m) for m in mem])
-        counts = comp.select(F.inline(F.array(*[F.struct(F.lit(m).alias("feature"), F.col(m).alias("vnum"))
-                                                for m in mem])))
-        counts = counts.groupBy("feature", "vnum").agg(F.count(F.lit(1)).alias("c"))
-        nn = counts.groupBy("feature").agg(F.sum("c").alias("nonnull"))
-        q = type7_quantiles(counts.join(nn, "feature"), ["feature"], [0.1, 0.5, 0.9]).collect()
-        knots = {m: [None, None, None] for m in mem}
-        for r in q:
-            knots[r["feature"]][r["j"]] = r["q"]
-        spline = all(len(set(k)) == 3 and None not in k for k in knots.values())
-        basis = [F.lit(1.0).alias("b0")]
-        idx = {}
+            nn = F.col(m).isNotNull()
+            complete = nn if complete is None else (complete & nn)
         for m in mem:
-            idx[(m, "x")] = len(basis)
-            basis.append(F.col(m).alias(f"b{len(basis)}"))
-            if spline:
-                t1, t2, t3 = sorted(knots[m])
-                idx[(m, "s")] = len(basis)
-                basis.append(rcs_term(F.col(m), t1, t2, t3).alias(f"b{len(basis)}"))
-        b = comp.select(*basis)
-        k = len(basis)
-        aggs = [F.sum(F.col(f"b{i}") * F.col(f"b{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-        gr = b.agg(*aggs).first()
-        if gr is None or gr["g0_0"] is None or gr["g0_0"] < 3:
-            out.extend((g["group"], m, False, None, "not enough usable columns") for m in mem)
-            continue
+            parts.append(F.struct(F.lit(g).alias("group"), F.lit(m).alias("feature"),
+                                  F.when(complete, F.col(m)).alias("vnum")))
+    longv = rows.select(F.inline(F.array(*parts))).where(F.col("vnum").isNotNull())
+    counts = longv.groupBy("group", "feature", "vnum").agg(F.count(F.lit(1)).alias("c"))
+    nn = counts.groupBy("group", "feature").agg(F.sum("c").alias("nonnull"))
+    q = type7_quantiles(counts.join(nn, ["group", "feature"]), ["group", "feature"], [0.1, 0.5, 0.9]).collect()
+    knots = {}
+    for r in q:  # three numbers per member: schema-sized
+        knots.setdefault(r["group"], {}).setdefault(r["feature"], [None, None, None])[r["j"]] = r["q"]
+    spline = {g: all(len(set(k)) == 3 and None not in k for k in knots.get(g, {}).values())
+              and len(knots.get(g, {})) == len(mem) for g, mem in eligible.items()}
+    plan = spark.sparkContext.broadcast((eligible, knots, spline))  # schema-sized
+
+    def partial(it):
+        elig, kn, sp = plan.value
+        for pdf in it:
+            recs = []
+            for g, mem in elig.items():
+                sub = pdf[mem].dropna()
+                if not len(sub):
+                    continue
+                b = _basis(sub, mem, kn.get(g, {}), sp[g])
+                gram = b.T @ b
+                k = gram.shape[0]
+                for i in range(k):
+                    for j in range(i, k):
+                        recs.append((g, i, j, float(gram[i, j])))
+            yield pd.DataFrame(recs, columns=["group", "i", "j", "v"])
+
+    gram = (rows.mapInPandas(partial, "group string, i int, j int, v double")
+                .groupBy("group", "i", "j").agg(F.sum("v").alias("v")))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        elig, kn, sp = plan.value
+        g = pdf["group"].iloc[0]
+        mem = elig[g]
+        k = int(max(pdf["i"].max(), pdf["j"].max())) + 1
         G = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                G[i, j] = G[j, i] = gr[f"g{i}_{j}"]
-        removed = dict(backward_redundancy(G, idx, mem, r2, spline))
-        note = "spline" if spline else "linear"
-        out.extend((g["group"], m, m in removed, removed.get(m), note) for m in mem)
-    return spark.createDataFrame(out, "group string, column string, predictable boolean, r2 double, note string")
+        for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"]):
+            G[i, j] = G[j, i] = v
+        if G[0, 0] < 3:
+            return pd.DataFrame({"group": g, "column": mem, "predictable": False, "r2": None,
+                                 "note": "not enough usable columns"})
+        idx, pos = {}, 1
+        for m in mem:
+            idx[(m, "x")] = pos
+            pos += 1
+            if sp[g]:
+                idx[(m, "s")] = pos
+                pos += 1
+        removed = dict(backward_redundancy(G, idx, mem, r2, sp[g]))
+        return pd.DataFrame({"group": g, "column": mem, "predictable": [m in removed for m in mem],
+                             "r2": [removed.get(m) for m in mem], "note": "spline" if sp[g] else "linear"})
+
+    solved = gram.groupBy("group").applyInPandas(solve, schema)
+    done = {r["group"] for r in gram.select("group").distinct().collect()}
+    for g, mem in eligible.items():
+        if g not in done:  # no complete rows at all
+            out.extend((g, m, False, None, "not enough usable columns") for m in mem)
+    return solved.unionByName(spark.createDataFrame(out, schema))
 
 
 def pinned_blocks(rho: DataFrame, blocks: DataFrame) -> DataFrame:
