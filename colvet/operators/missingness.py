@@ -166,35 +166,80 @@ def drop_constant(pdf: pd.DataFrame, k: int):
 
 def mcar_test(frame: DataFrame, fams: DataFrame, refs: list, probe: int = 3) -> DataFrame:
     """Little's test per family: the first ``probe`` members plus the reference
-    columns (minus members). Pattern statistics are computed in Spark over all
-    rows; one family's pattern table is solved per task."""
+    columns (minus members).
+
+    One pass over the rows serves every family: each task adds up, per family
+    and missingness pattern, the row count, sums and cross-products of the
+    observed values; a group-by sums the task partials; one family's pattern
+    table (at most 2^k rows) is solved per task.
+    """
     spark = frame.sparkSession
+    schema = "null_count long, mcar_statistic double, mcar_df long, patterns long, mcar_p double, note string"
     members = (fams.groupBy("null_count")
                    .agg(F.sort_array(F.collect_list(F.struct("position", "feature"))).alias("m"))
                    .collect())  # one row per family: bounded by the number of columns
-    out = None
+    if not refs:
+        return spark.createDataFrame([(int(r["null_count"]), None, None, None, None,
+                                       "no always-observed reference columns") for r in members], schema)
+    plan = {}
     for r in members:
         mem = [x["feature"] for x in r["m"]]
-        cols = mem[:probe] + [c for c in refs if c not in mem]
-        if not refs:
-            continue
-        st = pattern_stats(frame, cols).withColumn("null_count", F.lit(int(r["null_count"])))
-        out = st if out is None else out.unionByName(st, allowMissingColumns=True)
-    schema = "null_count long, mcar_statistic double, mcar_df long, patterns long, mcar_p double, note string"
-    if out is None:
+        plan[int(r["null_count"])] = mem[:probe] + [c for c in refs if c not in mem]
+    if not plan:
         return spark.createDataFrame([], schema)
-    k_by_family = {int(r["null_count"]): len([x for x in r["m"]][:probe]) + len(
-        [c for c in refs if c not in [x["feature"] for x in r["m"]]]) for r in members}
+    cols = sorted({c for cs in plan.values() for c in cs})
+    rows = frame.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    bplan = spark.sparkContext.broadcast(plan)  # schema-sized
+
+    def partial(it):
+        fam_cols = bplan.value
+        for pdf in it:
+            recs = []
+            for fam, cs in fam_cols.items():
+                x = pdf[cs].to_numpy(dtype=float)
+                obs = ~np.isnan(x)
+                keys = ["".join("1" if o else "0" for o in row) for row in obs]
+                xz = np.where(obs, x, 0.0)
+                frame_p = pd.DataFrame({"k": keys})
+                for pat, idx in frame_p.groupby("k").indices.items():
+                    sub = xz[idx]
+                    recs.append((fam, pat, "n", -1, -1, float(len(idx))))
+                    sums = sub.sum(axis=0)
+                    cross = sub.T @ sub
+                    for i in range(len(cs)):
+                        if pat[i] == "1":
+                            recs.append((fam, pat, "s", i, -1, float(sums[i])))
+                            for j in range(i, len(cs)):
+                                if pat[j] == "1":
+                                    recs.append((fam, pat, "x", i, j, float(cross[i, j])))
+            yield pd.DataFrame(recs, columns=["null_count", "pattern", "stat", "i", "j", "v"])
+
+    stats = (rows.mapInPandas(partial, "null_count long, pattern string, stat string, i int, j int, v double")
+                 .groupBy("null_count", "pattern", "stat", "i", "j").agg(F.sum("v").alias("v")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fam = int(pdf["null_count"].iloc[0])
-        k = k_by_family[fam]
-        pdf, k = drop_constant(pdf, k)
-        if k < 2:
+        k = len(bplan.value[fam])
+        wide = {}
+        for pat, st, i, j, v in zip(pdf["pattern"], pdf["stat"], pdf["i"], pdf["j"], pdf["v"]):
+            row = wide.setdefault(pat, {"pattern": pat})
+            if st == "n":
+                row["n"] = v
+            elif st == "s":
+                row[f"s_{i}"] = v
+            else:
+                row[f"x_{i}_{j}"] = v
+        table = pd.DataFrame(list(wide.values()))
+        for i in range(k):
+            for c in [f"s_{i}"] + [f"x_{i}_{j}" for j in range(i, k)]:
+                if c not in table:
+                    table[c] = np.nan
+        table, k2 = drop_constant(table, k)
+        if k2 < 2:
             return pd.DataFrame({"null_count": [fam], "mcar_statistic": [None], "mcar_df": [None],
                                  "patterns": [None], "mcar_p": [None], "note": ["not enough varying columns"]})
         try:
-            d2, df, npat = little_mcar(pdf, k)
+            d2, df, npat = little_mcar(table, k2)
             return pd.DataFrame({"null_count": [fam], "mcar_statistic": [d2], "mcar_df": [df],
                                  "patterns": [npat], "mcar_p": [chi2_sf(d2, df) if df > 0 else None],
                                  "note": [""]})
@@ -202,7 +247,7 @@ def mcar_test(frame: DataFrame, fams: DataFrame, refs: list, probe: int = 3) ->
             return pd.DataFrame({"null_count": [fam], "mcar_statistic": [None], "mcar_df": [None],
                                  "patterns": [None], "mcar_p": [None], "note": ["test not estimable"]})
 
-    return out.groupBy("null_count").applyInPandas(run, schema)
+    return stats.groupBy("null_count").applyInPandas(run, schema)
 
 
 def indicator_auc(values: DataFrame, fams: DataFrame) -> DataFrame:
