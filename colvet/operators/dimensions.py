@@ -167,13 +167,69 @@ def tetrachoric_pairs(rows: DataFrame, binaries) -> DataFrame:
                          "a string, b string, tetrachoric double, pearson double")
 
 
+def all_block_corr(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, a, b, r, n) for every block in a fixed number of passes: medians
+    of all block columns in one exact quantile job, then one pass over the rows
+    in which each task adds up, per block, the median-imputed sums and
+    cross-products; correlations (constant columns dropped) come from the sums."""
+    spark = rows.sparkSession
+    bl = {r["block"]: sorted(set(r["cols"]) & set(rows.columns)) for r in
+          blocks.groupBy("block").agg(F.collect_list("column").alias("cols")).collect()}  # block definitions
+    bl = {b: c for b, c in bl.items() if c}
+    cols = sorted({c for cs in bl.values() for c in cs})
+    med = {r["feature"]: r["median"] for r in block_medians(rows, cols).collect()}  # one number per column
+    plan = spark.sparkContext.broadcast((bl, {c: (med.get(c) if med.get(c) is not None else 0.0) for c in cols}))
+    data = rows.select(*[F.col(c).cast("double").alias(c) for c in cols])
+
+    def partial(it):
+        blk, md = plan.value
+        for pdf in it:
+            recs = []
+            for b, cs in blk.items():
+                x = pdf[cs].to_numpy(dtype=float)
+                x = np.where(np.isnan(x), np.array([md[c] for c in cs])[None, :], x)
+                recs.append((b, -1, -1, float(len(x))))
+                s1 = x.sum(axis=0)
+                g = x.T @ x
+                for i in range(len(cs)):
+                    recs.append((b, i, -1, float(s1[i])))
+                    for j in range(i, len(cs)):
+                        recs.append((b, i, j, float(g[i, j])))
+            yield pd.DataFrame(recs, columns=["block", "i", "j", "v"])
+
+    sums = (data.mapInPandas(partial, "block string, i int, j int, v double")
+                .groupBy("block", "i", "j").agg(F.sum("v").alias("v")))
+
+    def corr(pdf: pd.DataFrame) -> pd.DataFrame:
+        blk, _ = plan.value
+        b = pdf["block"].iloc[0]
+        cs = blk[b]
+        k = len(cs)
+        n = s1 = None
+        s1 = np.zeros(k)
+        g = np.zeros((k, k))
+        for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"]):
+            if i < 0:
+                n = v
+            elif j < 0:
+                s1[i] = v
+            else:
+                g[i, j] = g[j, i] = v
+        if not n or n < 2:
+            return pd.DataFrame(columns=["block", "a", "b", "r", "n"])
+        cov = (g - np.outer(s1, s1) / n) / (n - 1)
+        var = np.diag(cov)
+        keep = [i for i in range(k) if var[i] > 1e-12 * max(1.0, abs(g[i, i]) / n)]
+        recs = []
+        for i in keep:
+            for j in keep:
+                r = 1.0 if i == j else float(cov[i, j] / np.sqrt(var[i] * var[j]))
+                recs.append((b, cs[i], cs[j], r, int(n)))
+        return pd.DataFrame(recs, columns=["block", "a", "b", "r", "n"])
+
+    return sums.groupBy("block").applyInPandas(corr, "block string, a string, b string, r double, n long")
+
+
 def scan(rows: DataFrame, blocks: DataFrame, n_iter: int = 30) -> DataFrame:
     """Parallel analysis for every block (numeric members)."""
-    bl = blocks.groupBy("block").agg(F.collect_list("column").alias("cols")).collect()  # block definitions
-    parts = None
-    for b in bl:
-        cols = [c for c in b["cols"] if c in rows.columns]
-        c = block_corr(rows, b["block"], cols)
-        parts = c if parts is None else parts.unionByName(c)
-    parts = cut_lineage(parts)
-    return parallel_analysis(parts, n_iter=n_iter)
+    return parallel_analysis(cut_lineage(all_block_corr(rows, blocks)), n_iter=n_iter)
