@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cumulative import cumulative
 from ..policy import PSI_EPS, DSPolicy
 from ..session import cut_lineage
 from . import rank as R
@@ -290,3 +291,22 @@ def marginal_tests(fw: DataFrame, columns, id_col: str, n_sub: int = 5000, nboot
     out = cut_lineage(samp.select("feature", "window", "x").groupBy("feature").applyInPandas(run, schema))
     out = R.bh_adjust(out, "ad_p", "ad_p_bh")
     return R.bh_adjust(out, "cvm_p", "cvm_p_bh")
+
+
+def ecdf_stats_all(values: DataFrame, columns) -> DataFrame:
+    """The AD- and CvM-type statistics over every row of both windows, from
+    VALUES: per distinct value the early and late counts, their exact
+    cumulative sums (bucketed plan), then |F_early - F_late|^2 weighted by the
+    value's count (CvM) and also divided by E(1 - E) of the pooled ECDF (AD)."""
+    v = (values.where(F.col("feature").isin(list(columns)) & F.col("vnum").isNotNull())
+               .groupBy("feature", "vnum")
+               .agg(F.sum(F.when(F.col("window") == "early", F.col("n")).otherwise(0)).alias("a"),
+                    F.sum(F.when(F.col("window") == "late", F.col("n")).otherwise(0)).alias("b")))
+    c = cumulative(v, ["feature"], "vnum", ["a", "b"])
+    fa = (F.col("a_below") + F.col("a")) / F.col("a_total")
+    fb = (F.col("b_below") + F.col("b")) / F.col("b_total")
+    e = (F.col("a_below") + F.col("a") + F.col("b_below") + F.col("b")) / (F.col("a_total") + F.col("b_total"))
+    h = (fa - fb) * (fa - fb) * (F.col("a") + F.col("b"))
+    return c.groupBy("feature").agg(
+        F.sum(h).alias("cvm_stat_all"),
+        F.sum(F.when((e > 0) & (e < 1), h / (e * (1 - e))).otherwise(0.0)).alias("ad_stat_all"))

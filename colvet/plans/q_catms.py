@@ -57,6 +57,7 @@ SELECT feature, target, nn::BIGINT AS n, r::BIGINT AS r, c::BIGINT AS c,
        CASE WHEN ok THEN sqrt((chi2 / nd) / least(r - 1, c - 1)) END AS v_raw FROM vv2""",
           floats=("v", "v_raw"))
 def q_v(spark, sf):
+    """Cramer's V with and without Bergsma's correction, label and window tables."""
     a = prepare(spark, sf)
     return C.cramers_v(C.contingency(a.values, EVENTS_SPEC.text)).select("feature", "target", "n", "r", "c",
                                                                         "v", "v_raw")
@@ -80,6 +81,7 @@ def q_boot(spark, sf):
 
 @register("cat_scan")
 def q_cat_scan(spark, sf):
+    """V against the label and the window with bootstrap intervals, BH, knows_period_better."""
     return C.scan(prepare(spark, sf))
 
 
@@ -115,6 +117,7 @@ SELECT feature, position FROM (
   FROM ord JOIN st USING (feature) JOIN dc USING (feature) WHERE st.null_share <= 0.001 AND dc.d > 5) x
 WHERE rk <= 6""")
 def q_refs(spark, sf):
+    """First numeric columns that are nearly always present and vary."""
     a = prepare(spark, sf)
     return M.reference_columns(a.values, EVENTS_SPEC.numeric)
 
@@ -143,6 +146,7 @@ def q_patterns(spark, sf):
 
 @register("ms_mcar_test")
 def q_mcar(spark, sf):
+    """Little's MCAR test per missingness family (EM on pattern statistics of all rows)."""
     a = prepare(spark, sf)
     fams = M.families(a.values, EVENTS_SPEC.features)
     refs = [r["feature"] for r in M.reference_columns(a.values, EVENTS_SPEC.numeric).orderBy("position").collect()]
@@ -160,10 +164,12 @@ ig AS (SELECT f.null_count, CASE WHEN v.vnum IS NULL AND v.vtxt IS NULL THEN 1.0
 SELECT null_count, auc AS indicator_auc, lower AS indicator_auc_lo, upper AS indicator_auc_hi FROM iauc""",
           floats=("indicator_auc", "indicator_auc_lo", "indicator_auc_hi"))
 def q_ind_auc(spark, sf):
+    """AUC with DeLong interval of each family's missing flag against the label."""
     a = prepare(spark, sf)
     return M.indicator_auc(a.values, M.families(a.values, EVENTS_SPEC.features))
 
 
 @register("ms_scan")
 def q_ms_scan(spark, sf):
+    """Families, MCAR test, indicator AUC, BH and absence_is_signal."""
     return M.scan(prepare(spark, sf))

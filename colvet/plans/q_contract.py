@@ -80,21 +80,25 @@ def q_expand(spark, sf):
 
 @register("ct_tc_fragment")
 def q_tc_frag(spark, sf):
+    """Time-consistency fragment: qualification counts and rejections."""
     return _qual_frame(spark, run_for(spark, sf).fragment("time_consistency")[0])
 
 
 @register("ct_ds_fragment")
 def q_ds_frag(spark, sf):
+    """Distribution-shift fragment: qualification counts and rejections."""
     return _qual_frame(spark, run_for(spark, sf).fragment("distribution_shift")[0])
 
 
 @register("ct_rd_fragment")
 def q_rd_frag(spark, sf):
+    """Redundancy fragment: qualification counts and rejections."""
     return _qual_frame(spark, run_for(spark, sf).fragment("redundancy")[0])
 
 
 @register("ct_sq_fragment")
 def q_sq_frag(spark, sf):
+    """Segment-qualification fragment: qualification counts (report only)."""
     return _qual_frame(spark, run_for(spark, sf).fragment("segment_qualification")[0])
 
 
@@ -130,23 +134,27 @@ def q_merge(spark, sf):
 
 @register("ct_funnel")
 def q_funnel(spark, sf):
+    """Declared, removed by each check, admitted; admitted share by source."""
     return CT.funnel(run_for(spark, sf).columns)
 
 
 @register("ct_random_sets")
 def q_random_sets(spark, sf):
+    """Total IV of the admitted set against 2,000 random sets of the same size."""
     r = run_for(spark, sf)
     return CT.random_sets(r.iv, r.columns, draws=2000)
 
 
 @register("ct_threshold_jaccard")
 def q_jaccard(spark, sf):
+    """Admitted count and Jaccard overlap with the policy set for each PSI threshold."""
     r = run_for(spark, sf)
     return CT.threshold_jaccard(r.tc, r.ds, r.declared)
 
 
 @register("join_first_rejection")
 def q_first_rej(spark, sf):
+    """One rejection per column: the earliest check in precedence wins."""
     return CT.first_rejection(run_for(spark, sf).rejections)
 
 

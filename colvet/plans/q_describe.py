@@ -51,6 +51,7 @@ SELECT n, k, {rate_sql()}, round((hi_t - lo_t) / 86400.0, 1) AS days FROM (
   SELECT count(*) AS n, sum(y)::BIGINT AS k, min(t) AS lo_t, max(t) AS hi_t FROM frame) x""",
           floats=RATE_F + ("days",))
 def q_base_rate(spark, sf):
+    """Rows, positives, rate with Wilson interval, calendar days."""
     fr, spec = load_frame(spark, sf)
     return D.base_rate(fr, spec)
 
@@ -60,6 +61,7 @@ SELECT day, n, k, {rate_sql()} FROM (
   SELECT floor(t / 86400)::BIGINT AS day, count(*) AS n, sum(y)::BIGINT AS k FROM frame GROUP BY ALL) x
 WHERE n > 200""", floats=RATE_F)
 def q_daily_rate_ci(spark, sf):
+    """Daily label rate with its Wilson band (days with more than 200 rows)."""
     fr, spec = load_frame(spark, sf)
     return D.daily_rate_ci(fr, spec)
 
@@ -70,6 +72,7 @@ SELECT c_mktsegment, n, k, {rate_sql()}, n::DOUBLE / sum(n) OVER () AS share_of_
 FROM (SELECT c_mktsegment, count(*) AS n, sum(y)::BIGINT AS k FROM frame GROUP BY ALL) x""",
           floats=RATE_F + ("share_of_volume", "ratio_to_pooled"))
 def q_segment_rates(spark, sf):
+    """Rate, Wilson interval, share of volume and ratio to pooled, by segment."""
     fr, spec = load_frame(spark, sf)
     return D.segment_rates(fr, spec)
 
@@ -143,6 +146,7 @@ def q_type_profile(spark, sf):
 SELECT feature, "distinct", null_share FROM prof WHERE stored IN ('numeric', 'integer') AND "distinct" <= 20""",
           floats=("null_share",))
 def q_type_mismatch(spark, sf):
+    """Numeric columns that behave like categories (20 or fewer distinct values)."""
     fr, spec = load_frame(spark, sf)
     vals = S.values_table(fr, spec, by=())
     return D.type_mismatch(D.type_profile(fr, spec, vals))
@@ -170,6 +174,7 @@ def q_benford(spark, sf):
 SELECT * FROM (SELECT floor(t / 86400)::BIGINT AS day, count(*) AS n, avg(y) AS rate FROM frame GROUP BY ALL) x
 WHERE n > 200""", floats=("rate",))
 def q_daily_rate(spark, sf):
+    """Daily rows and label rate, days with more than 200 rows."""
     fr, spec = load_frame(spark, sf)
     return X.daily_rate(fr, spec)
 
@@ -178,6 +183,7 @@ def q_daily_rate(spark, sf):
 SELECT floor(((t / 3600.0) % 24.0 + 24.0) % 24.0)::INTEGER AS hour, count(*) AS n, avg(y) AS rate
 FROM frame GROUP BY ALL""", floats=("rate",))
 def q_hour_profile(spark, sf):
+    """Rows and label rate by hour of the day."""
     fr, spec = load_frame(spark, sf)
     return X.hour_profile(fr, spec)
 
@@ -328,6 +334,7 @@ def q_compare_keys(spark, sf):
 SELECT (SELECT count(*) FROM cv0)::BIGINT AS groups, multi_groups, singleton_share,
        (SELECT sum(n) FROM cv0)::BIGINT AS rows_covered FROM r0""", floats=("singleton_share",))
 def q_en_groups(spark, sf):
+    """Groups, multi-row groups, singleton share and rows covered of the user key."""
     a = prepare(spark, sf)
     early = a.fw.where(F.col("window") == "early")
     g = E.groups(early, E.entity_uid(["user_id"]), a.spec.label)
@@ -338,6 +345,7 @@ def q_en_groups(spark, sf):
 @register("en_purity", sql=EARLY_SQL + _entity_cte(0, ["user_id"]) + "\nSELECT pure_share FROM r0",
           floats=("pure_share",))
 def q_en_purity(spark, sf):
+    """Share of multi-row groups whose labels are all equal."""
     a = prepare(spark, sf)
     early = a.fw.where(F.col("window") == "early")
     return E.purity(E.groups(early, E.entity_uid(["user_id"]), a.spec.label))
@@ -355,6 +363,7 @@ def q_en_purity_null(spark, sf):
 SELECT rows_covered, entities, median_size, gini, median_span_days, multi_row_share FROM r0""",
           floats=("rows_covered", "median_size", "gini", "median_span_days", "multi_row_share"))
 def q_en_coverage(spark, sf):
+    """Rows covered, entities, median size, Gini, median span, multi-row share of a key."""
     a = prepare(spark, sf)
     early = a.fw.where(F.col("window") == "early")
     return E.coverage(early, E.entity_uid(["s_nationkey", "c_nationkey"]), a.spec.time)

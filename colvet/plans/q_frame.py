@@ -64,6 +64,7 @@ SELECT c."column", count(*) AS levels_seen, count(CASE WHEN c.n >= 2 THEN 1 END)
        (SELECT count(*) FROM train) AS train_rows, max(b.boundary) AS boundary
 FROM cnt c, bnd b GROUP BY c."column\"""", floats=("coverage", "boundary"))
 def q_fq_summary(spark, sf):
+    """Levels seen and kept, coverage and the fitted boundary per map."""
     fr, spec = load_frame(spark, sf, "lines")
     _, summ = DV.fit_frequency_maps(fr, FREQ_COLUMNS)
     return summ
@@ -137,6 +138,7 @@ def q_null_count(spark, sf):
 
 @register("prj_missing_flag", sql=EV + "\nSELECT row_id, (s_acctbal IS NULL)::INTEGER AS s_acctbal_missing FROM frame")
 def q_missing_flag(spark, sf):
+    """Presence indicator of the supplier balance per row."""
     fr, _ = load_frame(spark, sf)
     return fr.select("row_id", F.col("s_acctbal").isNull().cast("int").alias("s_acctbal_missing"))
 
@@ -172,6 +174,7 @@ SELECT row_id, floor(t / 86400)::BIGINT AS day, ((t / 3600.0) % 24.0 + 24.0) % 2
        (((t / 3600.0) % 24.0 + 24.0) % 24.0) * {2 * math.pi / 24!r}::DOUBLE AS angle FROM frame""",
           floats=("hour", "angle"))
 def q_time_parts(spark, sf):
+    """Day number, hour on the 24 h clock and its angle, per row."""
     fr, _ = load_frame(spark, sf)
     return fr.select("row_id", day_of("t").cast("long").alias("day"), hour_of("t").alias("hour"),
                      hour_angle("t").alias("angle"))

@@ -46,6 +46,7 @@ def q_rank_columns(spark, sf):
 
 @register("rd_spearman_matrix", sql=SPEAR_SQL + "\nSELECT a, b, rho FROM rho", floats=("rho",))
 def q_spearman(spark, sf):
+    """Spearman matrix of the usable numeric columns (long form, unit diagonal)."""
     a = prepare(spark, sf)
     return RD.spearman_long(a.fw, a.spec.id, RD.rank_columns(a.values, a.spec.numeric))
 
@@ -100,6 +101,7 @@ def q_grid(spark, sf):
 
 @register("rd_representatives")
 def q_reps(spark, sf):
+    """Group representative: least null, then highest IV, then name."""
     a, rho, members, _ = _clusters(spark, sf, 0.2)
     groups = RD.numbered_groups(members, list(a.spec.numeric))
     nulls = (a.values.where(F.col("window") == "early").groupBy("feature")
@@ -118,6 +120,7 @@ def q_redun(spark, sf):
 
 @register("rd_scan")
 def q_rd_scan(spark, sf):
+    """Groups, representatives and redundancy verdicts."""
     a = prepare(spark, sf)
     iv = TC.feature_report(a, with_p=False).select("feature", F.col("iv_train").alias("iv"))
     rep, _, _ = RD.scan(a, iv)
@@ -169,6 +172,7 @@ def q_block_corr(spark, sf):
 
 @register("dm_parallel_analysis")
 def q_pa(spark, sf):
+    """Components per block that beat the parallel-analysis noise quantile."""
     a = prepare(spark, sf, frame="lines")
     return DM.scan(a.fw.where(F.col("window") == "early"), RDR.load_blocks(spark, "lines"), n_iter=30) \
              .select("block", "columns", "components")
@@ -176,6 +180,7 @@ def q_pa(spark, sf):
 
 @register("dm_variance_first")
 def q_var_first(spark, sf):
+    """Share of variance of the first component per block."""
     a = prepare(spark, sf, frame="lines")
     return DM.scan(a.fw.where(F.col("window") == "early"), RDR.load_blocks(spark, "lines"), n_iter=30) \
              .select("block", "variance_first_component")
@@ -198,5 +203,6 @@ def q_tetra(spark, sf):
 
 @register("dm_scan")
 def q_dm_scan(spark, sf):
+    """Columns, components, compression and first-component share per block."""
     a = prepare(spark, sf, frame="lines")
     return DM.scan(a.fw.where(F.col("window") == "early"), RDR.load_blocks(spark, "lines"), n_iter=30)

@@ -92,6 +92,7 @@ def q_strata(spark, sf):
 @register("sq_cmh", sql=BASE + "\nSELECT feature, cmh_or, cmh_stat, strata_used, strata_dropped, note FROM tests",
           floats=("cmh_or", "cmh_stat"))
 def q_cmh(spark, sf):
+    """Mantel-Haenszel common odds ratio and chi-squared statistic over usable segment strata."""
     a, sv, sc = _audit(spark, sf)
     return SQ.cmh_bd(SQ.strata(a, sc), with_p=False).select("feature", "cmh_or", "cmh_stat", "strata_used",
                                                             "strata_dropped", "note")
@@ -99,6 +100,7 @@ def q_cmh(spark, sf):
 
 @register("sq_breslow_day", sql=BASE + "\nSELECT feature, bd_stat, bd_df FROM tests", floats=("bd_stat",))
 def q_bd(spark, sf):
+    """Breslow-Day homogeneity statistic and degrees of freedom."""
     a, sv, sc = _audit(spark, sf)
     return SQ.cmh_bd(SQ.strata(a, sc), with_p=False).select("feature", "bd_stat", "bd_df")
 
@@ -112,4 +114,5 @@ def q_auc_dirless(spark, sf):
 
 @register("sq_scan")
 def q_sq_scan(spark, sf):
+    """Pooled and per-segment AUC, dominant-segment gap, CMH / BD with BH, artefact and heterogeneity flags."""
     return SQ.scan(prepare(spark, sf))

@@ -40,6 +40,7 @@ SELECT kt.feature, v.psi_excl_null FROM kt
 LEFT JOIN (SELECT feature, sum(contrib) AS psi_excl_null FROM ctb GROUP BY feature) v USING (feature)""",
           floats=("psi_excl_null",))
 def q_psi_excl_null(spark, sf):
+    """PSI with the null bin dropped from both windows."""
     a = prepare(spark, sf)
     return SH.psi_excl_null(SH.bin_counts(a.cells, a.binning))
 
@@ -50,6 +51,7 @@ SELECT feature, top_bin_idx, top_contrib FROM (
          row_number() OVER (PARTITION BY feature ORDER BY contrib DESC, bin_idx ASC) AS rk FROM ctb) x
 WHERE rk = 1""", floats=("top_contrib",))
 def q_top_bucket(spark, sf):
+    """Bin with the largest PSI contribution per feature (lowest bin on ties)."""
     a = prepare(spark, sf)
     return SH.top_bucket(SH.bin_counts(a.cells, a.binning))
 
@@ -63,11 +65,13 @@ def q_psi_null(spark, sf):
 
 @register("ds_scan")
 def q_ds_scan(spark, sf):
+    """PSI, its hypergeometric null, null-share movement, top bucket, BH and PSI over null q99."""
     return SH.scan(prepare(spark, sf))
 
 
 @register("ds_noise_floor")
 def q_noise_floor(spark, sf):
+    """Median null q99 and the significant / material / both counts of the shift scan."""
     return SH.noise_floor(SH.scan(prepare(spark, sf)))
 
 
@@ -79,15 +83,22 @@ def q_energy(spark, sf):
     return SH.energy_test(a.fw, cols, a.spec.id, n_sub=1500, perms=199)
 
 
+def _marginal(spark, sf, kind):
+    a = prepare(spark, sf)
+    cols = list(EVENTS_SPEC.numeric)
+    t = SH.marginal_tests(a.fw, cols, a.spec.id, n_sub=5000, nboot=200)
+    full = SH.ecdf_stats_all(a.values, cols).withColumnRenamed("feature", "column")
+    return t.join(full, "column", "left").select("column", f"{kind}_stat_all", f"{kind}_stat", f"{kind}_p",
+                                                 f"{kind}_p_bh")
+
+
 @register("ds_ad_test")
 def q_ad(spark, sf):
-    a = prepare(spark, sf)
-    return SH.marginal_tests(a.fw, list(EVENTS_SPEC.numeric), a.spec.id, n_sub=5000, nboot=200) \
-             .select("column", "ad_stat", "ad_p", "ad_p_bh")
+    """Two-sample Anderson-Darling: statistic over all rows, permutation p on the hashed sample."""
+    return _marginal(spark, sf, "ad")
 
 
 @register("ds_cvm_test")
 def q_cvm(spark, sf):
-    a = prepare(spark, sf)
-    return SH.marginal_tests(a.fw, list(EVENTS_SPEC.numeric), a.spec.id, n_sub=5000, nboot=200) \
-             .select("column", "cvm_stat", "cvm_p", "cvm_p_bh")
+    """Two-sample Cramer-von Mises: statistic over all rows, permutation p on the hashed sample."""
+    return _marginal(spark, sf, "cvm")

@@ -100,6 +100,7 @@ SELECT feature, n_train::BIGINT AS n_train, n_holdout::BIGINT AS n_holdout, pos_
        null_holdout::BIGINT AS null_holdout, distinct_train::BIGINT AS distinct_train, guard
 FROM guards""")
 def q_tc_guards(spark, sf):
+    """Window sizes, positives, nulls, distinct values and the first degenerate reason per feature."""
     g = TC.feature_guards(prepare(spark, sf))
     return g.select("feature", *[F.col(c).cast("long").alias(c) for c in
                                  ("n_train", "n_holdout", "pos_train", "pos_holdout", "null_train",
@@ -120,6 +121,7 @@ def q_tc_scan(spark, sf):
 
 @register("tc_margin_crosstab")
 def q_tc_margin(spark, sf):
+    """Tested verdicts against the fixed-margin rules."""
     return TC.margin_crosstab(TC.scan(prepare(spark, sf)))
 
 

@@ -37,6 +37,7 @@ def q_quantile_nearest(spark, sf):
 SELECT "window", count(*) AS rows, min(t) AS t_min, max(t) AS t_max, sum(y)::BIGINT AS positives
 FROM fw GROUP BY ALL""")
 def q_time_windows(spark, sf):
+    """Rows, time range and positives of the early and late windows."""
     a = prepare(spark, sf)
     return a.fw.groupBy("window").agg(F.count(F.lit(1)).alias("rows"), F.min("t").alias("t_min"),
                                       F.max("t").alias("t_max"),
@@ -48,6 +49,7 @@ SELECT "window", count(*) AS rows, round((max(t) - min(t)) / 86400.0, 1) AS cale
        sum(y)::BIGINT AS positives
 FROM fw GROUP BY ALL""", floats=("calendar_days",))
 def q_window_span(spark, sf):
+    """Rows, calendar days and positives of each audit window."""
     a = prepare(spark, sf)
     return Wn.window_span(a.fw, a.spec.time, a.spec.label)
 
@@ -66,6 +68,7 @@ FROM per, edges"""
 
 @register("flt_split_table", sql=_SPLIT_SQL, floats=("calendar_days",))
 def q_split_table(spark, sf):
+    """Train / gap / validation / test at the 0.75, 0.85, 0.90 nearest-rank cuts: rows, positives, days."""
     fr, spec = load_frame(spark, sf, "events")
     return Wn.split_table(fr, spec.time, spec.label)
 
@@ -77,6 +80,7 @@ SELECT sum(CASE WHEN t > e0 AND t <= e1 THEN 1 ELSE 0 END)::BIGINT AS gap_rows,
        round((max(e1) - max(e0)) / 86400.0, 1) AS gap_days
 FROM frame, edges""", floats=("gap_share", "gap_days"))
 def q_gap_cost(spark, sf):
+    """Rows, share, positives and calendar days of the unassigned gap."""
     fr, spec = load_frame(spark, sf, "events")
     return Wn.gap_cost(fr, spec.time, spec.label)
 
@@ -156,6 +160,7 @@ def q_join_lookup(spark, sf):
 @register("join_complete_levels", sql=P + """
 SELECT feature, "window", bin_idx, n, pos, neg FROM woe_full""")
 def q_complete_levels(spark, sf):
+    """Every bin of every fitted feature for both windows, empty bins as zeros."""
     a = prepare(spark, sf)
     return W.complete_cells(a.cells, a.binning, ["early", "late"]) \
             .select("feature", "window", "bin_idx", "n", "pos", "neg")
@@ -175,6 +180,7 @@ def q_woe_table(spark, sf):
 @register("woe_iv", sql=P + """
 SELECT feature, "window", sum(iv_part) AS iv FROM woe GROUP BY ALL""", floats=("iv",))
 def q_woe_iv(spark, sf):
+    """Information value per feature and window."""
     return W.information_value(prepare(spark, sf).woe)
 
 
@@ -194,6 +200,7 @@ SELECT e.feature, e.bin_idx, e.woe AS woe_early, l.woe AS woe_late, e.n AS n_ear
 FROM woe e JOIN woe l ON e.feature = l.feature AND e.bin_idx = l.bin_idx
 WHERE e."window" = 'early' AND l."window" = 'late'""", floats=("woe_early", "woe_late"))
 def q_early_late(spark, sf):
+    """Early and late WoE side by side, bin by bin."""
     a = prepare(spark, sf)
     e = a.woe_of("early").select("feature", "bin_idx", F.col("woe").alias("woe_early"),
                                  F.col("n").alias("n_early"))
@@ -228,6 +235,7 @@ agree AS (
 @register("woe_agreement", sql=P + WOE_AGREE_SQL + "\nSELECT feature, rho, flip_mass FROM agree",
           floats=("rho", "flip_mass"))
 def q_woe_agreement(spark, sf):
+    """Spearman of early and late WoE over populated bins, and late mass in sign-flipped bins."""
     a = prepare(spark, sf)
     return W.woe_agreement(a.woe_of("early"), a.woe_of("late"))
 

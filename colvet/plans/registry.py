@@ -22,6 +22,7 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
     floats: tuple = field(default_factory=tuple)
+    origin: str = ""
 
 
 REGISTRY: dict[str, Query] = {}
@@ -52,6 +53,6 @@ def register(key: str, sql: str | None = None, floats=()):
                 wrapped_sql = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
             else:
                 wrapped_sql = sql
-        REGISTRY[key] = Query(key, run, wrapped_sql, floats_t)
+        REGISTRY[key] = Query(key, run, wrapped_sql, floats_t, f"{fn.__module__}.{fn.__name__}")
         return run
     return deco

@@ -154,3 +154,16 @@ def test_wide_correlation_path_matches_pairwise(spark, monkeypatch):
         else:
             assert abs(v - wide[key]) < 1e-9
     assert narrow[("a", "b")] > 0.9 and narrow[("a", "k")] is None
+
+
+def test_full_data_ecdf_stats_match_numpy(spark):
+    from colvet.operators.shift import _ecdf_stats, ecdf_stats_all
+    rng = np.random.default_rng(21)
+    a = np.round(rng.normal(size=700), 1)
+    b = np.round(rng.normal(0.2, 1, size=500), 1)
+    rows = [("x", "early", 0, float(v), 1) for v in a] + [("x", "late", 0, float(v), 1) for v in b]
+    vals = spark.createDataFrame(rows, "feature string, window string, y int, vnum double, n long") \
+                .withColumn("vtxt", F.lit(None).cast("string"))
+    got = ecdf_stats_all(vals, ["x"]).first()
+    ad, cvm = _ecdf_stats(a, b)
+    assert abs(got["ad_stat_all"] - ad) < 1e-9 * max(1, ad) and abs(got["cvm_stat_all"] - cvm) < 1e-9 * max(1, cvm)
