@@ -187,7 +187,10 @@ def all_block_corr(rows: DataFrame, blocks: DataFrame) -> DataFrame:
             recs = []
             for b, cs in blk.items():
                 x = pdf[cs].to_numpy(dtype=float)
-                x = np.where(np.isnan(x), np.array([md[c] for c in cs])[None, :], x)
+                m = np.array([md[c] for c in cs])[None, :]
+                # imputed at the median, then centred on it: the sums stay small
+                # relative to the spread, so the covariance loses no precision
+                x = np.where(np.isnan(x), m, x) - m
                 recs.append((b, -1, -1, float(len(x))))
                 s1 = x.sum(axis=0)
                 g = x.T @ x

@@ -161,13 +161,7 @@ def _block_corr_sql():
 def q_block_corr(spark, sf):
     """Median-imputed Pearson correlation inside each lines block (early window)."""
     a = prepare(spark, sf, frame="lines")
-    rows = a.fw.where(F.col("window") == "early")
-    bl = RDR.load_blocks(spark, "lines").groupBy("block").agg(F.collect_list("column").alias("cols")).collect()
-    out = None
-    for b in bl:
-        c = DM.block_corr(rows, b["block"], b["cols"])
-        out = c if out is None else out.unionByName(c)
-    return out
+    return DM.all_block_corr(a.fw.where(F.col("window") == "early"), RDR.load_blocks(spark, "lines"))
 
 
 @register("dm_parallel_analysis")
