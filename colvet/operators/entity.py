@@ -25,6 +25,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.columns import day_of
 from ..operators.binning import type7_quantiles
+from ..plans.cumulative import cumulative
 from .forensic import gini_from_histogram
 
 
@@ -240,31 +241,61 @@ def compare_keys(frame: DataFrame, candidates: dict, label: str, time: str,
                  with_draws: bool = False, draws: int = 100) -> DataFrame:
     """Candidate keys side by side, lift of purity over the exact null mean.
 
-    Per candidate the rows are reduced once to one row per entity (size,
-    labelled size, positives, span), written to the checkpoint folder; groups,
-    purity, the null mean and coverage all read that table.
+    One pass over the rows for every candidate: each row yields one
+    (candidate, key) pair per candidate, reduced at once to one row per entity
+    (size, labelled size, positives, span) and written to the checkpoint
+    folder. Purity, the null mean, Gini and the medians are then computed with
+    the candidate as a group key.
     """
     from ..session import cut_lineage
-    out = None
-    for i, (name, (cols, anchor)) in enumerate(candidates.items()):
-        uid = entity_uid(cols, anchor, time)
-        per = cut_lineage(frame.groupBy(uid.alias("uid")).agg(
-            F.count(F.lit(1)).alias("rows"), F.count(F.col(label)).alias("n"),
-            F.sum(F.col(label)).cast("long").alias("pos"),
-            ((F.max(time) - F.min(time)) / F.lit(86400.0)).alias("span")))
-        g = per.where(F.col("uid").isNotNull() & (F.col("n") > 0)).select("uid", "n", "pos")
-        summ = group_summary(g).withColumn("_one", F.lit(1))
-        pur = purity(g).withColumn("_one", F.lit(1))
-        nm = purity_null_mean(g).withColumn("_one", F.lit(1))
-        cov = coverage_from_entities(per).withColumn("_one", F.lit(1))
-        r = (cov.join(summ.select("_one", "singleton_share"), "_one").join(pur, "_one").join(nm, "_one")
-                .select(F.lit(name).alias("candidate"),
-                        F.lit(" + ".join(list(cols) + ([anchor] if anchor else []))).alias("components"),
-                        "rows_covered", "entities", "median_size", "singleton_share", "gini",
-                        "median_span_days", "pure_share", "null_mean",
-                        (F.col("pure_share") - F.col("null_mean")).alias("lift_over_null")))
-        if with_draws:
-            pn = purity_null(g, draws, seed=i + 1).select("null_q99", "p_value").withColumn("_one", F.lit(1))
-            r = r.withColumn("_one", F.lit(1)).join(pn, "_one").drop("_one")
-        out = r if out is None else out.unionByName(r)
-    return out
+    names = list(candidates)
+    pairs = F.array(*[F.struct(F.lit(n).alias("candidate"),
+                               entity_uid(candidates[n][0], candidates[n][1], time).alias("uid"))
+                      for n in names])
+    long = frame.select(F.col(label).alias("_y"), F.col(time).alias("_t"), F.inline(pairs))
+    per = cut_lineage(long.groupBy("candidate", "uid").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_y").alias("n"),
+        F.sum("_y").cast("long").alias("pos"),
+        ((F.max("_t") - F.min("_t")) / F.lit(86400.0)).alias("span")))
+    k = ["candidate"]
+    g = per.where(F.col("uid").isNotNull() & (F.col("n") > 0))
+    summ = g.groupBy(*k).agg((F.count(F.when(F.col("n") == 1, F.lit(1))) / F.count(F.lit(1))).alias("singleton_share"))
+    pure = (F.col("pos") == 0) | (F.col("pos") == F.col("n"))
+    pur = g.where(F.col("n") > 1).groupBy(*k).agg(F.avg(pure.cast("double")).alias("pure_share"))
+    tot = g.groupBy(*k).agg(F.sum("n").alias("N"), F.sum("pos").alias("K"))
+    hist_m = g.where(F.col("n") > 1).groupBy(*k, F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("m"))
+    nm = (hist_m.join(tot, k).withColumn("p", pure_probability(F.col("size"), F.col("N"), F.col("K")))
+                .groupBy(*k).agg((F.sum(F.col("m") * F.col("p")) / F.sum("m")).alias("null_mean")))
+    # coverage
+    rows_all = per.groupBy(*k).agg(F.sum("rows").alias("all_rows"))
+    covered = per.where(F.col("uid").isNotNull())
+    ent = covered.groupBy(*k).agg(F.count(F.lit(1)).alias("entities"), F.sum("rows").alias("covered_rows"),
+                                  (F.count(F.when(F.col("rows") > 1, F.lit(1))) / F.count(F.lit(1))).alias("multi_row_share"))
+    hist = covered.groupBy(*k, F.col("rows").alias("size")).agg(F.count(F.lit(1)).alias("m"))
+    cum = cumulative(hist, k, "size", ["m"])
+    gini = (cum.select(*k, (F.col("size") * (F.col("m") * F.col("m_below") + F.col("m") * (F.col("m") + 1) / 2.0)).alias("ix"),
+                       (F.col("size") * F.col("m")).alias("x"), "m")
+               .groupBy(*k).agg(((2 * F.sum("ix") / F.sum("x") - (F.sum("m") + 1)) / F.sum("m")).alias("gini")))
+    sizes = hist.select(*k, F.col("size").cast("double").alias("vnum"), F.col("m").alias("c")) \
+                .join(ent.select(*k, F.col("entities").alias("nonnull")), k)
+    med_size = type7_quantiles(sizes, k, [0.5]).select(*k, F.col("q").alias("median_size"))
+    spans = covered.groupBy(*k, F.col("span").alias("vnum")).agg(F.count(F.lit(1)).alias("c")) \
+                   .join(ent.select(*k, F.col("entities").alias("nonnull")), k)
+    med_span = type7_quantiles(spans, k, [0.5]).select(*k, F.col("q").alias("median_span_days"))
+    comps = frame.sparkSession.createDataFrame(
+        [(n, " + ".join(list(candidates[n][0]) + ([candidates[n][1]] if candidates[n][1] else []))) for n in names],
+        "candidate string, components string")
+    r = (comps.join(rows_all, k).join(ent, k).join(gini, k).join(med_size, k).join(med_span, k)
+              .join(summ, k, "left").join(pur, k, "left").join(nm, k, "left"))
+    r = r.select("candidate", "components", (F.col("covered_rows") / F.col("all_rows")).alias("rows_covered"),
+                 F.col("entities").cast("long").alias("entities"), "median_size", "singleton_share", "gini",
+                 "median_span_days", "pure_share", "null_mean",
+                 (F.col("pure_share") - F.col("null_mean")).alias("lift_over_null"))
+    if with_draws:
+        extra = None
+        for i, n in enumerate(names):
+            gi = g.where(F.col("candidate") == n).select("uid", "n", "pos")
+            pn = purity_null(gi, draws, seed=i + 1).select(F.lit(n).alias("candidate"), "null_q99", "p_value")
+            extra = pn if extra is None else extra.unionByName(pn)
+        r = r.join(extra, "candidate", "left")
+    return r
