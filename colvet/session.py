@@ -40,6 +40,32 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``colvet`` importable in every Python worker (once per application).
+
+    Pandas UDFs and grouped-map functions refer to package functions by
+    module; the package is zipped and handed to ``addPyFile``, which is how
+    code reaches executors on a cluster whatever the driver's working folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="colvet-pkg-"), "colvet.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith((".py", ".json")):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("colvet", os.path.relpath(full, pkg)))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set a scratch one only when unset.
 
@@ -54,6 +80,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="colvet-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
+    ship_package(spark)
     return d
 
 
