@@ -26,8 +26,10 @@ def _as_number(df: DataFrame, col: str):
     """A double that sorts like ``col`` (timestamps and dates by their epoch count)."""
     t = df.schema[col].dataType.simpleString()
     c = F.col(col)
+    if t == "timestamp_ntz":  # against the zone-less epoch: monotone whatever the session time zone
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{col}`)").cast("double")
     if t.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return F.unix_micros(c).cast("double")
     if t == "date":
         return F.unix_date(c).cast("double")
     return c.cast("double")

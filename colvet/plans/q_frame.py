@@ -229,7 +229,8 @@ def q_parquet_window(spark, sf):
     """Only non-excluded columns and only the rows of the two windows."""
     df, win, feats = RD.load_windows(spark, f"{sf}/events.parquet", label="event_type", time="ts",
                                      excluded=("event_id",))
-    return df.select(*feats, "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "window")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return df.select(*feats, "event_type", us.alias("ts_us"), "window")
 
 
 def _blocks_values(name="events"):

@@ -56,9 +56,20 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def unix_seconds(col: str):
-    """Integer seconds of a (possibly zone-less) timestamp, read as UTC."""
-    return F.unix_seconds(F.col(col).cast("timestamp"))
+def unix_seconds(col: str, zoneless: bool = True):
+    """Whole seconds since 1970-01-01 of a timestamp column.
+
+    A zone-less timestamp is measured against the zone-less epoch, so the
+    result does not depend on the session time zone; an instant uses its own
+    epoch seconds.
+    """
+    if zoneless:
+        return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{col}`)")
+    return F.unix_seconds(F.col(col))
+
+
+def _zoneless(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.simpleString() == "timestamp_ntz"
 
 
 EVENTS_SPEC = FrameSpec(
@@ -84,7 +95,7 @@ def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(c, e.user_id == c.c_custkey, "left")
            .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
            .select(F.col("event_id").alias("row_id"),
-                   unix_seconds("ts").alias("t"), F.col("ts"),
+                   unix_seconds("ts", _zoneless(e, "ts")).alias("t"), F.col("ts"),
                    (F.col("event_type") == F.lit("error")).cast("int").alias("y"),
                    F.col("event_type"),
                    F.col("user_id"),
@@ -125,7 +136,7 @@ def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(p, l.l_partkey == p.p_partkey, "inner")
            .join(c, o.o_custkey == c.c_custkey, "inner")
            .select(F.xxhash64(*lcols).alias("row_id"),
-                   unix_seconds("l_shipdate").alias("t"), F.col("l_shipdate"),
+                   unix_seconds("l_shipdate", _zoneless(l, "l_shipdate")).alias("t"), F.col("l_shipdate"),
                    F.col("l_orderkey"), F.col("l_partkey"),
                    F.datediff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date"))
                     .cast("double").alias("days_since_order"),

@@ -75,7 +75,8 @@ def load_windows(spark: SparkSession, path: str, label: str, time: str, features
         raise ValueError(f"not in the parquet: {', '.join(missing[:5])}")
     edges = quantile_nearest(ds.select(time), time, [train[0], train[1], holdout[0], holdout[1]])
     win = Windows(tuple(train), tuple(holdout), tuple(edges))
-    early, late = win.condition(time, "early"), win.condition(time, "late")
+    tt = ds.schema[time].dataType.simpleString()
+    early, late = win.condition(time, "early", tt), win.condition(time, "late", tt)
     wanted = list(dict.fromkeys([*features, label, time]))
     out = (spark.read.parquet(path).select(*wanted).where(early | late)
                 .withColumn("window", F.when(early, F.lit("early")).otherwise(F.lit("late"))))
