@@ -79,3 +79,26 @@ def test_stream_cells_match_batch_cells(spark, tmp_path):
     got = spark.sql("SELECT feature, bin_idx, sum(n) AS n FROM cells_stream GROUP BY 1, 2")
     want = a.cells.where(F.col("window") == "late").select("feature", "bin_idx", "n")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    import __spark_entry__ as E
+    keys = ("flt_quantile_nearest", "fx_hour_profile", "src_parquet_window")
+
+    def run():
+        return {k: sorted(map(tuple, E.queries()[k](spark, SMOKE).collect()), key=str) for k in keys}
+
+    before = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        after = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert before == after
+
+
+def test_workers_import_the_package_from_any_folder(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    monkeypatch.chdir(tmp_path)
+    assert E.queries()["ds_psi_null"](spark, SMOKE).count() > 0
