@@ -52,28 +52,28 @@ def presence_rates(frame: DataFrame, spec: FrameSpec, column: str) -> DataFrame:
 def rarity_profile(frame: DataFrame, spec: FrameSpec, columns) -> DataFrame:
     """Rate by how common a value is in its own column: [0,10) [10,100) ...
 
-    The band depends only on the value's frequency, so rows are reduced to
-    (value -> rows, positives) first and the bands are summed from that table:
-    no row-level join, and a value holding most rows is one row per task.
+    One pass for all columns: rows become (column, value) pairs, reduced to
+    (column, value) -> rows, positives; the band depends only on that count,
+    so the bands are summed from the reduced table (no row-level join; a value
+    holding most rows is one row per task).
     """
-    out = None
-    for c in columns:
-        v = F.col(c).cast("string")
-        per = (frame.where(v.isNotNull()).groupBy(v.alias("value"))
-                    .agg(F.count(F.lit(1)).alias("freq"), F.sum(F.col(spec.label)).alias("pos")))
-        b = F.when(F.col("freq") < RARITY_BREAKS[1], F.lit(RARITY_LABELS[0]))
-        for i in range(1, len(RARITY_BREAKS)):
-            upper = RARITY_BREAKS[i + 1] if i + 1 < len(RARITY_BREAKS) else None
-            cond = F.col("freq") >= RARITY_BREAKS[i]
-            if upper is not None:
-                cond = cond & (F.col("freq") < upper)
-            b = b.when(cond, F.lit(RARITY_LABELS[i]))
-        g = per.groupBy(b.alias("band")).agg(F.sum("freq").alias("n"), F.sum("pos").cast("long").alias("k"))
-        w = Window.partitionBy()
-        g = g.select(F.lit(c).alias("column"), "*", *_rate_cols(),
-                     ((F.col("k") / F.col("n")) / (F.sum("k").over(w) / F.sum("n").over(w))).alias("ratio"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                      for c in columns])
+    per = (frame.select(F.col(spec.label).alias("_y"), F.inline(pairs))
+                .where(F.col("value").isNotNull())
+                .groupBy("column", "value")
+                .agg(F.count(F.lit(1)).alias("freq"), F.sum("_y").alias("pos")))
+    b = F.when(F.col("freq") < RARITY_BREAKS[1], F.lit(RARITY_LABELS[0]))
+    for i in range(1, len(RARITY_BREAKS)):
+        upper = RARITY_BREAKS[i + 1] if i + 1 < len(RARITY_BREAKS) else None
+        cond = F.col("freq") >= RARITY_BREAKS[i]
+        if upper is not None:
+            cond = cond & (F.col("freq") < upper)
+        b = b.when(cond, F.lit(RARITY_LABELS[i]))
+    g = per.groupBy("column", b.alias("band")).agg(F.sum("freq").alias("n"), F.sum("pos").cast("long").alias("k"))
+    w = Window.partitionBy("column")  # bands of one column: at most five rows
+    return g.select("column", "band", "n", "k", *_rate_cols(),
+                    ((F.col("k") / F.col("n")) / (F.sum("k").over(w) / F.sum("n").over(w))).alias("ratio"))
 
 
 STORED = {"double": "numeric", "float": "numeric", "bigint": "integer", "int": "integer",
