@@ -66,7 +66,7 @@ def _bucket_bounds(df: DataFrame, keys: list, order: str) -> DataFrame:
     return spark.createDataFrame(out, schema=schema)
 
 
-def cumulative(df: DataFrame, keys, order: str, weights) -> DataFrame:
+def cumulative(df: DataFrame, keys, order: str, weights, max_key_rows: int | None = None) -> DataFrame:
     """Add ``<w>_below`` and ``<w>_total`` for each weight column.
 
     ``<w>_below`` is the sum of ``w`` over rows with the same ``keys`` and a
@@ -81,7 +81,13 @@ def cumulative(df: DataFrame, keys, order: str, weights) -> DataFrame:
         keys = ["_k0"]
         added_key = True
 
-    bounds = _bucket_bounds(df, keys, order)
+    target = int(df.sparkSession.conf.get("colvet.cumulative.target_rows", str(TARGET_ROWS_PER_BUCKET)))
+    if max_key_rows is not None and max_key_rows <= target:
+        # the caller knows every key fits one bucket: no count job needed
+        schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+        bounds = df.sparkSession.createDataFrame([], schema + ", _bounds array<double>")
+    else:
+        bounds = _bucket_bounds(df, keys, order)
     # Bounded by (keys x grid): schema-sized, safe to broadcast.
     b = (df.join(F.broadcast(bounds), keys, "left")
            .withColumn("_bkt", F.coalesce(
@@ -112,14 +118,14 @@ def cumulative(df: DataFrame, keys, order: str, weights) -> DataFrame:
 
 
 def order_statistics(counts: DataFrame, keys, order: str, weight: str,
-                     ranks: DataFrame, rank_col: str = "rank") -> DataFrame:
+                     ranks: DataFrame, rank_col: str = "rank", max_key_rows: int | None = None) -> DataFrame:
     """Value at each 0-based ``rank`` of the weighted, ordered values.
 
     ``counts`` is one row per (keys, value) with weight ``weight``; ``ranks``
     holds ``keys`` + ``rank_col`` (+ any label columns) and is small.
     """
     keys = list(keys)
-    cum = cumulative(counts.where(F.col(order).isNotNull()), keys, order, [weight])
+    cum = cumulative(counts.where(F.col(order).isNotNull()), keys, order, [weight], max_key_rows)
     r = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in ranks.columns])
     cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     cond.append(F.col(f"{weight}_below") <= F.col(f"_r_{rank_col}"))
