@@ -53,8 +53,15 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    # Workers start in the driver's folder with its PYTHONPATH: when either
+    # already holds the package, shipping it again only adds overhead.
+    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if spark.sparkContext.master.startswith("local") and (os.path.abspath(os.getcwd()) == root or root in on_path):
+        _SHIPPED.add(app)
+        return
+    import zipfile
     out = os.path.join(tempfile.mkdtemp(prefix="colvet-pkg-"), "colvet.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
