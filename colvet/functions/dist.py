@@ -166,11 +166,3 @@ def p_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
 def p_chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return _vec(chi2_sf, x, df)
 
-
-@F.pandas_udf(DoubleType())
-def p_norm_two_sided(z: pd.Series) -> pd.Series:
-    return _vec(lambda v: 2.0 * norm_sf(abs(v)), z)
-
-
-def nan_to_null(c):
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)

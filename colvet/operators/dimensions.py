@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import corr_long
 from ..functions.dist import norm_cdf, norm_ppf
 from ..session import cut_lineage
 from .binning import type7_quantiles
@@ -32,25 +31,6 @@ def block_medians(rows: DataFrame, columns) -> DataFrame:
     return type7_quantiles(counts.join(nn, "feature"), ["feature"], [0.5]).select("feature", F.col("q").alias("median"))
 
 
-def block_corr(rows: DataFrame, block: str, columns) -> DataFrame:
-    """(block, a, b, r): Pearson correlation after median imputation, constant
-    columns dropped; plus the row count used."""
-    spark = rows.sparkSession
-    cols = list(columns)
-    med = {r["feature"]: r["median"] for r in block_medians(rows, cols).collect()}  # one number per column
-    imp = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c) if med.get(c) is not None else 0.0))
-                        .alias(c) for c in cols])
-    var = imp.agg(F.count(F.lit(1)).alias("_n"), *[F.var_samp(c).alias(c) for c in cols]).first()
-    keep = [c for c in cols if var[c] is not None and var[c] > 0]
-    if not keep:
-        return spark.createDataFrame([], "block string, a string, b string, r double, n long")
-    n_rows = var["_n"]
-    off = corr_long(imp, keep)
-    diag = spark.createDataFrame([(c, c, 1.0) for c in keep], "a string, b string, r double")
-    out = off.unionByName(diag).withColumn("n", F.lit(n_rows).cast("long"))
-    out = out.select(F.lit(block).alias("block"), "a", "b", "r", "n")
-    return out.unionByName(out.where(F.col("a") != F.col("b"))
-                              .select("block", F.col("b").alias("a"), F.col("a").alias("b"), "r", "n"))
 
 
 def _matrix(pdf: pd.DataFrame):

@@ -31,8 +31,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "colvet-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def schema_from_json(fields: list) -> StructType:
-    return StructType([StructField(f["name"], BQ_TYPES[f["type"].upper()], True) for f in fields])
 
 
 def read_pinned_csv(spark: SparkSession, csv_path: str, fields: list) -> DataFrame:
