@@ -170,3 +170,30 @@ def test_mcar_drops_constant_columns():
                        "x_1_1": [40.0, 20.0], "x_1_2": [60.0, 30.0], "x_2_2": [95.0, 46.0]})
     out, k = M.drop_constant(st, 3)
     assert k == 1 and set(out["pattern"]) == {"1"} and int(out["n"].sum()) == 15
+
+
+def test_hashed_sample_ignores_row_order(spark):
+    from colvet.operators.shift import hashed_sample
+    rng = np.random.default_rng(8)
+    ids = np.arange(5000)
+    a = spark.createDataFrame(pd.DataFrame({"row_id": ids}))
+    b = spark.createDataFrame(pd.DataFrame({"row_id": rng.permutation(ids)})).repartition(7)
+    sa = {r["row_id"] for r in hashed_sample(a, "row_id", 300, seed=42).collect()}
+    sb = {r["row_id"] for r in hashed_sample(b, "row_id", 300, seed=42).collect()}
+    assert sa == sb and len(sa) == 300
+
+
+def test_random_sets_and_threshold_grid(spark):
+    columns = spark.createDataFrame([(f"c{i}", "request", "float", i < 4, "", None, "") for i in range(10)],
+                                    "name string, source string, dtype string, admitted boolean, rejected_by string,"
+                                    " rejected_value double, rejected_unit string")
+    iv = spark.createDataFrame([(f"c{i}", float(10 - i)) for i in range(10)], "feature string, iv double")
+    r = CT.random_sets(iv, columns, draws=500).first()
+    assert r["set_size"] == 4 and r["admitted_iv"] == 34.0
+    assert 0 <= r["share_at_least"] <= 1 and r["random_mean"] < r["admitted_iv"]
+    tc = spark.createDataFrame([("c0", "inverted"), ("c1", "pass")], "feature string, verdict string")
+    ds = spark.createDataFrame([("c2", 0.3, 0.01), ("c3", 0.12, 0.01)], "column string, psi double, p_perm_bh double")
+    declared = columns.select("name")
+    grid = {round(g["psi_threshold"], 2): g for g in CT.threshold_jaccard(tc, ds, declared).collect()}
+    assert grid[0.25]["jaccard"] == 1.0 and grid[0.25]["admitted"] == 8
+    assert grid[0.1]["admitted"] == 7 and grid[0.5]["admitted"] == 9
