@@ -36,7 +36,8 @@ def _as_number(df: DataFrame, col: str):
 
 
 def _bucket_bounds(df: DataFrame, keys: list, order: str) -> DataFrame:
-    """Per key, the value bounds cutting it into buckets of about TARGET rows.
+    """Per key, the value bounds cutting it into buckets of about TARGET rows,
+    or None when every key fits one bucket.
 
     Keys small enough for one bucket get no bounds and cost only a count; the
     quantile sketch runs only over the keys that need splitting.
@@ -48,21 +49,21 @@ def _bucket_bounds(df: DataFrame, keys: list, order: str) -> DataFrame:
     big = [r for r in counts.where(F.col("_cnt") > target).collect()]
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = (schema + ", " if schema else "") + "_bounds array<double>"
+    if not big:
+        return None  # every key fits one bucket
     out = []
-    if big:
-        probs = [i / grid for i in range(1, grid)]
-        wanted = spark.createDataFrame([tuple(r[k] for k in keys) for r in big],
-                                       ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}"
-                                                 for k in keys))
-        sketch = (df.join(F.broadcast(wanted), keys, "left_semi").groupBy(*keys)
-                    .agg(F.count(F.lit(1)).alias("_cnt"),
-                         F.percentile_approx(_as_number(df, order), probs, 10000).alias("_q"))
-                    .collect())
-        for r in sketch:
-            n_buckets = max(1, min(grid, -(-int(r["_cnt"]) // target)))
-            step = grid // n_buckets
-            q = list(r["_q"] or [])
-            out.append(tuple(r[k] for k in keys) + (sorted(set(q[step - 1::step])),))
+    probs = [i / grid for i in range(1, grid)]
+    wanted = spark.createDataFrame([tuple(r[k] for k in keys) for r in big],
+                                   ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys))
+    sketch = (df.join(F.broadcast(wanted), keys, "left_semi").groupBy(*keys)
+                .agg(F.count(F.lit(1)).alias("_cnt"),
+                     F.percentile_approx(_as_number(df, order), probs, 10000).alias("_q"))
+                .collect())
+    for r in sketch:
+        n_buckets = max(1, min(grid, -(-int(r["_cnt"]) // target)))
+        step = grid // n_buckets
+        q = list(r["_q"] or [])
+        out.append(tuple(r[k] for k in keys) + (sorted(set(q[step - 1::step])),))
     return spark.createDataFrame(out, schema=schema)
 
 
@@ -83,11 +84,16 @@ def cumulative(df: DataFrame, keys, order: str, weights, max_key_rows: int | Non
 
     target = int(df.sparkSession.conf.get("colvet.cumulative.target_rows", str(TARGET_ROWS_PER_BUCKET)))
     if max_key_rows is not None and max_key_rows <= target:
-        # the caller knows every key fits one bucket: no count job needed
-        schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-        bounds = df.sparkSession.createDataFrame([], schema + ", _bounds array<double>")
+        bounds = None  # the caller knows every key fits one bucket: no count job needed
     else:
         bounds = _bucket_bounds(df, keys, order)
+    if bounds is None:
+        # every key fits one bucket: a plain running sum per key (one shuffle)
+        below = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*keys)
+        out = df.select("*", *[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(f"{w}_below") for w in weights],
+                        *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights])
+        return out.drop("_k0") if added_key else out
     # Bounded by (keys x grid): schema-sized, safe to broadcast.
     b = (df.join(F.broadcast(bounds), keys, "left")
            .withColumn("_bkt", F.coalesce(
