@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -197,3 +199,21 @@ def test_random_sets_and_threshold_grid(spark):
     grid = {round(g["psi_threshold"], 2): g for g in CT.threshold_jaccard(tc, ds, declared).collect()}
     assert grid[0.25]["jaccard"] == 1.0 and grid[0.25]["admitted"] == 8
     assert grid[0.1]["admitted"] == 7 and grid[0.5]["admitted"] == 9
+
+
+def test_unseen_late_level_scores_as_empty_early_bin(spark):
+    from colvet.operators import woe as W
+    t = np.arange(400)
+    early = t < 200
+    x = np.where(early, np.where(t % 2 == 0, "a", "b"), np.where(t % 4 == 0, "c", "a"))
+    y = ((t % 5) == 0).astype(int)
+    aud = make_audit(spark, pd.DataFrame({"row_id": t, "t": t, "y": y, "x": x}), text=["x"],
+                     train=(0.0, 0.5), holdout=(0.5, 1.0))
+    w = {r["bin_idx"]: r for r in aud.woe_of("early").collect()}
+    levels = aud.binning.first()["levels"]
+    other = len(levels)  # __other__ follows the kept levels; c was never seen early
+    sp = sum(r["pos"] + (0.5 if r["pos"] == 0 or r["neg"] == 0 else 0) for r in w.values())
+    sn = sum(r["neg"] + (0.5 if r["pos"] == 0 or r["neg"] == 0 else 0) for r in w.values())
+    assert abs(w[other]["woe"] - math.log(sn / sp)) < 1e-12
+    scored = W.score_cells(aud.cells.where(F.col("window") == "late"), aud.woe_of("early"))
+    assert {r["score"] for r in scored.where(F.col("bin_idx") == other).collect()} == {w[other]["woe"]}
