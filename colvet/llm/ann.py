@@ -44,6 +44,8 @@ TABLES = 12
 WIDTH = 1.25
 BLOCK = 16384
 SEED = 11
+#: Vectors per length whose scores bound what a task sends on (no row is left out for it).
+SAMPLE = 1000
 
 
 def directions(rows: int) -> int:
@@ -87,9 +89,10 @@ def _lift(x: np.ndarray, top: float, query: bool) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))[:, None]), 1)
 
 
-def _buckets(vecs: DataFrame, tops: dict, m: int, query: bool) -> DataFrame:
-    """``(dim, t, bucket, vec_id, vec)``: the bucket of each member, or the
-    buckets that each query visits."""
+def _buckets(vecs: DataFrame, tops: dict, m: int, query=None) -> DataFrame:
+    """``(dim, t, bucket, vec_id, vec, least)``: the bucket of each member, or the
+    buckets that each query visits. ``query``: ``(k, sample)`` for queries; the
+    k-th best score in the sample bounds what can be among the query's best."""
     probes = probe_sets(m, 2 ** m) if query else [()]
 
     def run(batches):
@@ -99,7 +102,8 @@ def _buckets(vecs: DataFrame, tops: dict, m: int, query: bool) -> DataFrame:
                 at = np.flatnonzero(dims == d)
                 part = b.take(pa.array(at))
                 x = np.frombuffer(b"".join(part.column(2).to_pylist())).reshape(-1, d)
-                y = _lift(x, tops[int(d)], query)
+                y = _lift(x, tops[int(d)], bool(query))
+                least = _floors(part.column(0).to_numpy(zero_copy_only=False), x, *query[1][int(d)], query[0]) if query else np.full(len(at), -np.inf)
                 for t in range(TABLES if m else 1):
                     a, off, mul = _hashing(int(d), t, m)
                     f = (y @ a + off) / WIDTH
@@ -116,10 +120,33 @@ def _buckets(vecs: DataFrame, tops: dict, m: int, query: bool) -> DataFrame:
                     n = len(at) * len(probes)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(np.stack(keys, 1).ravel()),
-                         *(part.column(i).take(pa.array(np.repeat(np.arange(len(at)), len(probes)))) for i in (0, 2))],
-                        names=["dim", "t", "bucket", "vec_id", "vec"])
+                         *(part.column(i).take(pa.array(np.repeat(np.arange(len(at)), len(probes)))) for i in (0, 2)),
+                         pa.array(np.repeat(least, len(probes)))],
+                        names=["dim", "t", "bucket", "vec_id", "vec", "least"])
 
-    return vecs.select("vec_id", "dim", "vec").mapInArrow(run, "dim int, t int, bucket long, vec_id long, vec binary")
+    return vecs.select("vec_id", "dim", "vec").mapInArrow(run, "dim int, t int, bucket long, vec_id long, vec binary, least double")
+
+
+def _floors(ids, x, sample_ids, sample, k: int) -> np.ndarray:
+    """Per query its k-th best score among the sampled vectors (other than itself)."""
+    out = np.full(len(ids), -np.inf)
+    if len(sample_ids) > k:
+        for lo in range(0, len(ids), 256):
+            s = x[lo:lo + 256] @ sample.T
+            s[ids[lo:lo + 256, None] == sample_ids[None, :]] = -np.inf
+            out[lo:lo + 256] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    return out
+
+
+def _sample(vecs: DataFrame) -> dict:
+    """``dim -> (ids, vectors)`` of the SAMPLE rows per length with the smallest hash of the id."""
+    w = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
+    rows = vecs.select("dim", "vec_id", "vec").withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).collect()
+    out: dict = {}
+    for d in {r["dim"] for r in rows}:
+        own = {r["vec_id"]: bytes(r["vec"]) for r in rows if r["dim"] == d}
+        out[d] = (np.array(list(own), np.int64), np.frombuffer(b"".join(own.values())).reshape(-1, d))
+    return out
 
 
 def best(q, v, s, k: int):
@@ -144,7 +171,7 @@ def _scored(group_rows: DataFrame, k: int) -> DataFrame:
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(x) for x in best(*held, k)], names=out)
 
-        def score(qid, qvec, ids, members):
+        def score(qid, qvec, floor, ids, members):
             nonlocal held
             for lo in range(0, len(qid), 512):
                 qi, q = qid[lo:lo + 512], qvec[lo:lo + 512]
@@ -153,17 +180,17 @@ def _scored(group_rows: DataFrame, k: int) -> DataFrame:
                 n = min(k, len(ids))
                 cut = -np.partition(-s, n - 1, axis=1)[:, n - 1]
                 slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(cut), cut, 0.0)))
-                r, c = np.nonzero((s >= (cut - slack)[:, None]) & (s > -np.inf))
+                r, c = np.nonzero((s >= np.maximum(cut, floor[lo:lo + 512])[:, None] - slack[:, None]) & (s > -np.inf))
                 exact = (q[r] * members[c]).sum(1)
                 got = best(qi[r], ids[c], exact, k)
                 held = [np.concatenate(p) for p in zip(held, got)]
-                if len(held[0]) > 400_000:
+                if len(held[0]) > 250_000:
                     held = list(best(*held, k))
 
         ids = members = None
         for b in batches:
             dims, t, bucket, salt, kind, vid = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            vec = b.column(6)
+            vec, least = b.column(6), b.column(7).to_numpy(zero_copy_only=False)
             change = np.flatnonzero((dims[1:] != dims[:-1]) | (t[1:] != t[:-1]) | (bucket[1:] != bucket[:-1])
                                     | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
             for lo, hi in zip([0, *change], [*change, len(dims)]):
@@ -177,29 +204,29 @@ def _scored(group_rows: DataFrame, k: int) -> DataFrame:
                 elif mid:
                     if members is None:
                         ids, members = np.concatenate(mid), np.concatenate(mvec)
-                    score(vid[lo:hi], x, ids, members)
-                    if len(held[0]) > 200_000:
+                    score(vid[lo:hi], x, least[lo:hi], ids, members)
+                    if len(held[0]) > 300_000:  # that many after merging: very many queries
                         yield emit()
-                        held = [x[:0] for x in held]
+                        held = [h[:0] for h in held]
         if len(held[0]):
             yield emit()
 
     return group_rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def _round(members: DataFrame, queries: DataFrame, tops: dict, m: int, k: int) -> DataFrame:
+def _round(members: DataFrame, queries: DataFrame, tops: dict, sample: dict, m: int, k: int) -> DataFrame:
     spark = members.sparkSession
     key = ["dim", "t", "bucket"]
-    mem = _buckets(members, tops, m, query=False)
-    hot = (_buckets(members.select("vec_id", "dim", "vec"), tops, m, query=False).groupBy(*key)
+    mem = _buckets(members, tops, m)
+    hot = (_buckets(members, tops, m).groupBy(*key)
            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
            .select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     hot = materialize(hot, "hot")
     one = F.coalesce("parts", F.lit(1))
     mem = mem.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), one).cast("int"))
-    qry = (_buckets(queries, tops, m, query=True).join(hot, key, "left")
+    qry = (_buckets(queries, tops, m, (k, sample)).join(hot, key, "left")
            .withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))))
-    cols = [*key, "salt", "kind", "vec_id", "vec"]
+    cols = [*key, "salt", "kind", "vec_id", "vec", "least"]
     both = mem.withColumn("kind", F.lit(0)).select(*cols).unionByName(qry.withColumn("kind", F.lit(1)).select(*cols))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     both = both.repartition(parts, *key, "salt").sortWithinPartitions(*key, "salt", "kind")
@@ -214,11 +241,11 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
     vecs = materialize(vectors(df, id_col, vec_col).where("vec_id is not null"), "vectors")
     sizes = vecs.groupBy("dim").agg(F.countDistinct("vec_id").alias("n")).collect()
     total = sum(r["n"] for r in sizes)
-    tops = _largest_norms(vecs)
+    tops, sample = _largest_norms(vecs), _sample(vecs)
     queries = vecs.where(is_query).groupBy(F.col("vec_id").alias("id")).agg(F.min(F.struct("vec", "dim")).alias("s"))
     queries = queries.select(F.col("id").alias("vec_id"), "s.dim", "s.vec")
     cols = ["query_id", "rank", "vec_id", "score"]
-    found = materialize(_round(vecs, queries, tops, directions(total), k).select(*cols), "found")
+    found = materialize(_round(vecs, queries, tops, sample, directions(total), k).select(*cols), "found")
     reach = F.create_map(*[F.lit(x) for r in sizes for x in (r["dim"], min(k, r["n"] - 1))]) if sizes else F.lit(None)
     got = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("got"))
     short = (queries.join(got, "vec_id", "left").where(F.coalesce("got", F.lit(0)) < reach[F.col("dim")]).select("vec_id", "dim", "vec")
@@ -226,7 +253,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
     short = materialize(short, "short")
     if short.isEmpty():
         return found
-    more = _round(vecs, short, tops, 0, k).select(*cols)
+    more = _round(vecs, short, tops, sample, 0, k).select(*cols)
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(more)
 
 
