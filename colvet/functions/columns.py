@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,37 +64,48 @@ def leading_digit(x: str | Column):
 
 
 def safe_corr(a: str, b: str):
-    """Pearson correlation that is null (not an ANSI division error) when a
-    column is constant."""
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    """Pearson correlation over the rows where both columns are set; null (not an
+    ANSI division error) when one of them is constant there."""
+    xa = F.when(F.col(b).isNotNull(), F.col(a))
+    xb = F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(xa) * F.stddev_samp(xb))
 
 
-WIDE = 64  # above this many columns, correlations go through MLlib's Gramian
+def corr_long(df, cols):
+    """Pairwise-complete Pearson correlation of ``cols`` as rows (a, b, r) for a < b
+    (by position); null where a column is constant on the pair's rows.
 
-
-def corr_long(df, cols, pairs_only_upper: bool = True):
-    """Pearson correlation of ``cols`` as rows (a, b, r) for a < b (by position).
-
-    Up to ``WIDE`` columns: one aggregation of guarded pairwise correlations.
-    Wider: ``pyspark.ml.stat.Correlation`` on an assembled vector (a distributed
-    Gramian by tree aggregation); the p x p result is schema-sized. Constant
-    columns give null there as here.
+    Two passes whatever the number of columns: the means (one row), then per
+    task the sums, squares, cross-products and counts over rows where both
+    columns are set, of values taken from the means; a group-by adds them up.
     """
     cols = list(cols)
     spark = df.sparkSession
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if not pairs:
+    if len(cols) < 2:
         return spark.createDataFrame([], "a string, b string, r double")
-    if len(cols) <= WIDE:
-        agg = df.agg(*[safe_corr(a, b).alias(f"{a}\u0001{b}") for a, b in pairs])
-        return agg.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}\u0001{b}`").alias("r"))
-            for a, b in pairs])))
-    import math as _m
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="keep").transform(df.select(*cols))
-    m = Correlation.corr(vec, "_v", "pearson").first()[0].toArray()
-    rows = [(a, b, None if not _m.isfinite(float(m[i, j])) else float(m[i, j]))
-            for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
-    return spark.createDataFrame(rows, "a string, b string, r double")
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = rows.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(len(cols))]).first()
+    means = np.array([first[i] if first[i] is not None and np.isfinite(first[i]) else 0.0 for i in range(len(cols))])
+    iu, ju = np.triu_indices(len(cols), 1)
+
+    def partial(it):
+        acc = None
+        for pdf in it:
+            x = pdf.to_numpy(dtype=float) - means
+            m = ~np.isnan(x)
+            x, m = np.where(m, x, 0.0), m.astype(float)
+            sx, sxx = x.T @ m, (x * x).T @ m
+            got = np.stack([(m.T @ m)[iu, ju], sx[iu, ju], sx[ju, iu], sxx[iu, ju], sxx[ju, iu], (x.T @ x)[iu, ju]])
+            acc = got if acc is None else acc + got
+        if acc is not None:
+            yield pd.DataFrame({"i": iu, "j": ju, **dict(zip(("n", "sa", "sb", "saa", "sbb", "sab"), acc))})
+
+    names = F.array(*[F.lit(c) for c in cols])
+    t = rows.mapInPandas(partial, "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double")
+    t = t.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.when(F.col("n") > 1, F.col("n"))
+    va, vb = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
+    # what rounding leaves of a constant column counts as constant
+    set_ = (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb"))
+    r = F.when(set_, (F.col("sab") - F.col("sa") * F.col("sb") / n) / F.sqrt(va * vb))
+    return t.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), r.alias("r"))

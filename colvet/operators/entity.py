@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.sampling import hypergeometric, multivariate_hypergeometric
 from ..functions.columns import day_of
 from ..operators.binning import type7_quantiles
 from ..plans.cumulative import cumulative
@@ -69,10 +70,18 @@ def purity(g: DataFrame) -> DataFrame:
     return m.agg(F.avg(pure.cast("double")).alias("pure_share"))
 
 
-def _log_choose(a, b):
-    if b < 0 or b > a:
-        return -math.inf
-    return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+def _none_of(n: int, marked: int, total: int) -> float:
+    """Probability that ``n`` rows drawn from ``total`` hold none of ``marked``: the
+    product of ``1 - marked / (total - i)``, as a sum of logarithms in blocks."""
+    if n > total - marked:
+        return 0.0
+    log = 0.0
+    for i in range(0, n, 65536):
+        left = total - np.arange(i, min(n, i + 65536), dtype=np.float64)
+        log += float(np.log1p(-marked / left).sum())
+        if log < -745.0:
+            return 0.0
+    return math.exp(log)
 
 
 @F.pandas_udf(DoubleType())
@@ -80,8 +89,7 @@ def pure_probability(size: pd.Series, rows: pd.Series, positives: pd.Series) ->
     out = []
     for n, N, K in zip(size, rows, positives):
         n, N, K = int(n), int(N), int(K)
-        base = _log_choose(N, n)
-        out.append(math.exp(_log_choose(N - K, n) - base) + math.exp(_log_choose(K, n) - base))
+        out.append(_none_of(n, K, N) + _none_of(n, N - K, N))
     return pd.Series(out, dtype="float64")
 
 
@@ -95,6 +103,29 @@ def purity_null_mean(g: DataFrame) -> DataFrame:
     return h.agg((F.sum(F.col("m") * F.col("p")) / F.sum("m")).alias("null_mean"))
 
 
+#: Rows of equal groups that are dealt out at once.
+DEAL_ROWS = 1 << 20
+
+
+def _pure_groups(size: int, groups: int, positives: int, rng) -> int:
+    """Pure ones among ``groups`` equal groups over which ``positives`` are dealt: the
+    groups are halved, with a draw of the positives in each half, until a part
+    is small; memory does not grow with their number."""
+    pure, todo = 0, [(groups, positives)]
+    while todo:
+        m, k = todo.pop()
+        if k == 0 or k == size * m:
+            pure += m
+        elif m > 1 and size * m > DEAL_ROWS:
+            half = m // 2
+            part = hypergeometric(half * size, (m - half) * size, k, rng)
+            todo += [(half, part), (m - half, k - part)]
+        elif m > 1:
+            alloc = rng.multivariate_hypergeometric(np.full(m, size), k, method="marginals")
+            pure += int(np.count_nonzero((alloc == 0) | (alloc == size)))
+    return pure
+
+
 def _draw_pure_shares(sizes: np.ndarray, counts: np.ndarray, K: int, draws: int, seed: int) -> np.ndarray:
     """Pure share of multi-row groups for ``draws`` label shuffles.
 
@@ -107,14 +138,10 @@ def _draw_pure_shares(sizes: np.ndarray, counts: np.ndarray, K: int, draws: int,
     n_multi = counts[multi].sum()
     out = np.empty(draws)
     for d in range(draws):
-        per_class = rng.multivariate_hypergeometric(totals, K, method="marginals")
+        per_class = multivariate_hypergeometric(totals, K, 1, rng)[0]
         pure = 0
         for s, m, k in zip(sizes[multi], counts[multi], per_class[multi]):
-            if k == 0 or k == s * m:
-                pure += m
-                continue
-            alloc = rng.multivariate_hypergeometric(np.full(int(m), int(s)), int(k), method="marginals")
-            pure += int(np.count_nonzero((alloc == 0) | (alloc == s)))
+            pure += _pure_groups(int(s), int(m), int(k), rng)
         out[d] = pure / n_multi if n_multi else np.nan
     return out
 

@@ -105,30 +105,29 @@ def _segment_ssr(prefix, prefix2, i, j):
     return (prefix2[j] - prefix2[i]) - s * s / n
 
 
-def bai_perron_mean(y: np.ndarray, h_frac: float = 0.1, max_breaks: int = 5):
+def bai_perron_mean(y: np.ndarray, h_frac: float = 0.1):
     """Optimal mean-shift breakpoints by dynamic programming over segment SSR
-    (prefix sums), minimum segment length floor(h*n); number of breaks by BIC."""
+    (prefix sums), minimum segment length h = floor(h_frac * n); number of breaks by
+    BIC, up to ceil(n / h) - 2."""
     n = len(y)
     h = max(1, int(math.floor(h_frac * n)))
     if n < 2 * h:
         return [], 0
     p1 = np.concatenate([[0.0], np.cumsum(y)])
     p2 = np.concatenate([[0.0], np.cumsum(y * y)])
-    max_m = min(max_breaks, n // h - 1)
+    max_m = max(0, -(-n // h) - 2)
     inf = float("inf")
     # cost[m][j]: best SSR of y[:j] in m+1 segments; arg for backtracking
-    cost = [[inf] * (n + 1) for _ in range(max_m + 1)]
-    arg = [[-1] * (n + 1) for _ in range(max_m + 1)]
-    for j in range(h, n + 1):
-        cost[0][j] = _segment_ssr(p1, p2, 0, j)
+    cost = np.full((max_m + 1, n + 1), inf)
+    arg = np.full((max_m + 1, n + 1), -1)
+    ends = np.arange(h, n + 1)
+    cost[0][h:] = _segment_ssr(p1, p2, 0, ends)
     for m in range(1, max_m + 1):
         for j in range((m + 1) * h, n + 1):
-            best, bi = inf, -1
-            for i in range(m * h, j - h + 1):
-                c = cost[m - 1][i] + _segment_ssr(p1, p2, i, j)
-                if c < best:
-                    best, bi = c, i
-            cost[m][j], arg[m][j] = best, bi
+            starts = np.arange(m * h, j - h + 1)
+            c = cost[m - 1][starts] + _segment_ssr(p1, p2, starts, j)
+            k = int(np.argmin(c))
+            cost[m][j], arg[m][j] = c[k], starts[k]
     bic = []
     for m in range(0, max_m + 1):
         rss = cost[m][n]
@@ -137,7 +136,7 @@ def bai_perron_mean(y: np.ndarray, h_frac: float = 0.1, max_breaks: int = 5):
     m_best = int(np.argmin(bic))
     breaks, j = [], n
     for m in range(m_best, 0, -1):
-        i = arg[m][j]
+        i = int(arg[m][j])
         breaks.append(i)
         j = i
     return sorted(breaks), m_best
@@ -217,6 +216,6 @@ def power_law(frame: DataFrame, spec: FrameSpec, column: str = "value", xmax: fl
             yield pd.DataFrame(out, columns=["xmin", "alpha", "n_tail", "ks"])
 
     fits = cand.mapInPandas(run, "xmin double, alpha double, n_tail long, ks double")
-    w = Window.orderBy(F.col("ks").asc_nulls_last(), F.col("xmin").asc())
-    best = fits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") == 1)
+    order = F.struct(F.col("ks").isNull().alias("none"), "ks", "xmin")
+    best = fits.agg(F.min_by(F.struct("xmin", "alpha", "n_tail", "ks"), order).alias("b")).where("b is not null").select("b.*")
     return best.select("xmin", "alpha", "n_tail", "ks", (F.col("alpha") > 3).alias("finite_variance"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import BooleanType, NumericType
+
 from ..functions.dist import chi2_sf
 from ..session import cut_lineage
 from . import rank as R
@@ -182,11 +184,18 @@ def mcar_test(frame: DataFrame, fams: DataFrame, refs: list, probe: int = 3) ->
         return spark.createDataFrame([(int(r["null_count"]), None, None, None, None,
                                        "no always-observed reference columns") for r in members], schema)
     plan = {}
+    numeric = {f.name for f in frame.schema.fields if isinstance(f.dataType, (NumericType, BooleanType))}
+    no_number = []
     for r in members:
-        mem = [x["feature"] for x in r["m"]]
-        plan[int(r["null_count"])] = mem[:probe] + [c for c in refs if c not in mem]
+        every = [x["feature"] for x in r["m"]]
+        mem = [c for c in every if c in numeric]
+        if mem:
+            plan[int(r["null_count"])] = mem[:probe] + [c for c in refs if c not in every]
+        else:
+            no_number.append((int(r["null_count"]), None, None, None, None, "no numeric columns in the family"))
+    without = spark.createDataFrame(no_number, schema)
     if not plan:
-        return spark.createDataFrame([], schema)
+        return without
     cols = sorted({c for cs in plan.values() for c in cs})
     rows = frame.select(*[F.col(c).cast("double").alias(c) for c in cols])
     bplan = spark.sparkContext.broadcast(plan)  # schema-sized
@@ -198,10 +207,11 @@ def mcar_test(frame: DataFrame, fams: DataFrame, refs: list, probe: int = 3) ->
             for fam, cs in fam_cols.items():
                 x = pdf[cs].to_numpy(dtype=float)
                 obs = ~np.isnan(x)
-                keys = ["".join("1" if o else "0" for o in row) for row in obs]
                 xz = np.where(obs, x, 0.0)
-                frame_p = pd.DataFrame({"k": keys})
-                for pat, idx in frame_p.groupby("k").indices.items():
+                kinds, which = np.unique(obs, axis=0, return_inverse=True)
+                for p, kind in enumerate(kinds):
+                    pat = "".join("1" if o else "0" for o in kind)
+                    idx = np.flatnonzero(which.ravel() == p)
                     sub = xz[idx]
                     recs.append((fam, pat, "n", -1, -1, float(len(idx))))
                     sums = sub.sum(axis=0)
@@ -247,7 +257,7 @@ def mcar_test(frame: DataFrame, fams: DataFrame, refs: list, probe: int = 3) ->
             return pd.DataFrame({"null_count": [fam], "mcar_statistic": [None], "mcar_df": [None],
                                  "patterns": [None], "mcar_p": [None], "note": ["test not estimable"]})
 
-    return stats.groupBy("null_count").applyInPandas(run, schema)
+    return stats.groupBy("null_count").applyInPandas(run, schema).unionByName(without)
 
 
 def indicator_auc(values: DataFrame, fams: DataFrame) -> DataFrame:

@@ -159,6 +159,10 @@ def representatives(groups: DataFrame, null_rates: DataFrame, iv: DataFrame | No
 
 
 # ------------------------------------------------------------- redundancy ---
+#: A member with this many values or fewer takes no part.
+USABLE = 100
+
+
 def _r2_all(G: np.ndarray, idx: dict, members: list, spline: bool) -> dict:
     """R^2 of each member (linear) on the basis of the other members."""
     out = {}
@@ -188,26 +192,35 @@ def backward_redundancy(G: np.ndarray, idx: dict, members: list, r2: float, spli
     return removed
 
 
+def _place(k) -> tuple:
+    """Middle knot and width of a member (0 and 1 without knots)."""
+    if not k or None in k:
+        return 0.0, 1.0
+    return float(k[1]), float(k[2] - k[0]) or max(abs(float(k[1])), 1.0)
+
+
 def _basis(pdf: pd.DataFrame, members: list, knots: dict, spline: bool) -> np.ndarray:
     """Basis matrix [1, x_1, s_1, x_2, s_2, ...] of complete rows (numpy)."""
     cols = [np.ones(len(pdf))]
     for m in members:
-        x = pdf[m].to_numpy(dtype=float)
+        # centred and scaled on the knots: R^2 does not change, sums of cubes stay small
+        at, scale = _place(knots.get(m))
+        x = (pdf[m].to_numpy(dtype=float) - at) / scale
         cols.append(x)
         if spline:
-            t1, t2, t3 = knots[m]
+            t1, t2, t3 = ((t - at) / scale for t in knots[m])
 
             def cube(z):
                 return np.maximum(z, 0.0) ** 3
             sp = cube(x - t1) - cube(x - t2) * ((t3 - t1) / (t3 - t2)) + cube(x - t3) * ((t2 - t1) / (t3 - t2))
-            cols.append(sp / (t3 - t1) ** 2)
+            cols.append(sp)
     return np.column_stack(cols)
 
 
 def redundancy_within_groups(frame_w: DataFrame, groups: DataFrame, r2: float = 0.9,
-                             max_group: int = 25, window: str = "early") -> DataFrame:
+                             max_group: int | None = None, window: str = "early") -> DataFrame:
     """Backward removal of the best-predicted member while R^2 >= r2, per group
-    of 2..``max_group`` columns, on the group's complete rows (restricted cubic
+    of two or more columns (``max_group``: no larger ones; None: all), on the group's complete rows (restricted cubic
     spline basis with 3 knots, else linear).
 
     Fixed number of passes whatever the number of groups: one exact quantile
@@ -223,7 +236,7 @@ def redundancy_within_groups(frame_w: DataFrame, groups: DataFrame, r2: float =
     for g, mem in gl.items():
         if len(mem) < 2:
             out.extend((g, m, False, None, "singleton") for m in mem)
-        elif len(mem) > max_group:
+        elif max_group is not None and len(mem) > max_group:
             out.extend((g, m, None, None, "group larger than max_group") for m in mem)
         else:
             eligible[g] = mem
@@ -233,6 +246,20 @@ def redundancy_within_groups(frame_w: DataFrame, groups: DataFrame, r2: float =
     cols = sorted({m for mem in eligible.values() for m in mem})
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in cols])
 
+    # members that say nothing (USABLE or fewer values, or constant) leave their group
+    seen = rows.agg(*[f for c in cols for f in (F.count(c).alias(f"n_{c}"), (F.min(c) != F.max(c)).alias(f"v_{c}"))]).first()
+    usable = {c for c in cols if seen[f"n_{c}"] > USABLE and seen[f"v_{c}"]}
+    for g, mem in list(eligible.items()):
+        good = [m for m in mem if m in usable]
+        bad = mem if len(good) < 2 else [m for m in mem if m not in usable]
+        out.extend((g, m, False, None, "not enough usable columns") for m in bad)
+        if len(good) < 2:
+            del eligible[g]
+        else:
+            eligible[g] = good
+    if not eligible:
+        return spark.createDataFrame(out, schema)
+
     # knots: type-7 quantiles of each member over its group's complete rows
     parts = []
     for g, mem in eligible.items():

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..plans.cumulative import cumulative
 from ..policy import PSI_EPS, DSPolicy
+from ..functions.sampling import multivariate_hypergeometric
 from ..session import cut_lineage
 from . import rank as R
 from . import woe as W
@@ -76,26 +77,9 @@ def _psi_np(ref: np.ndarray, cur: np.ndarray, eps: float) -> np.ndarray:
     return ((pc - pr) * np.log(pc / pr)).sum(axis=-1)
 
 
-def draw_split(pooled: np.ndarray, n_ref: int, draws: int, rng) -> tuple[np.ndarray, str]:
+def draw_split(pooled: np.ndarray, n_ref: int, draws: int, rng) -> np.ndarray:
     """Early-window counts of ``draws`` random re-splits of the pooled counts."""
-    if pooled.sum() < 10 ** 9:
-        return rng.multivariate_hypergeometric(pooled, n_ref, size=draws, method="marginals"), "exact"
-    # beyond numpy's exact range: bin by bin with the hypergeometric's normal
-    # approximation (mean and variance kept), reported as such
-    out = np.zeros((draws, len(pooled)), dtype=np.int64)
-    remaining_total = float(pooled.sum())
-    remaining = np.full(draws, float(n_ref))
-    for i, g in enumerate(pooled):
-        if remaining_total <= 0:
-            break
-        p = g / remaining_total
-        mean = remaining * p
-        var = remaining * p * (1 - p) * (remaining_total - remaining) / max(remaining_total - 1, 1)
-        x = np.clip(np.rint(rng.normal(mean, np.sqrt(np.maximum(var, 0)))), 0, np.minimum(g, remaining))
-        out[:, i] = x
-        remaining -= x
-        remaining_total -= g
-    return out, "normal"
+    return multivariate_hypergeometric(pooled, n_ref, draws, rng)
 
 
 def psi_null(counts: DataFrame, draws: int = 200, base_seed: int = 0, eps: float = PSI_EPS) -> DataFrame:
@@ -110,17 +94,16 @@ def psi_null(counts: DataFrame, draws: int = 200, base_seed: int = 0, eps: float
         obs = float(_psi_np(ref[None, :].astype(float), cur[None, :].astype(float), eps)[0])
         pooled = ref + cur
         rng = np.random.default_rng(seed_of(name, base_seed))
-        dr, method = draw_split(pooled, int(ref.sum()), draws, rng)
+        dr = draw_split(pooled, int(ref.sum()), draws, rng)
         null = _psi_np(dr.astype(float), (pooled[None, :] - dr).astype(float), eps)
         return pd.DataFrame({
             "feature": [name], "psi": [obs],
             "p_perm": [(1 + int(np.sum(null >= obs))) / (draws + 1)],
             "psi_null_q99": [float(np.quantile(null, 0.99))],
-            "psi_null_median": [float(np.median(null))],
-            "null_method": [method]})
+            "psi_null_median": [float(np.median(null))]})
 
     schema = ("feature string, psi double, p_perm double, psi_null_q99 double, "
-              "psi_null_median double, null_method string")
+              "psi_null_median double")
     return counts.select("feature", "bin_idx", "ref", "cur").groupBy("feature").applyInPandas(run, schema)
 
 

@@ -257,7 +257,7 @@ def q_hhi(spark, sf):
 def q_level_breaks(spark, sf):
     """Bai-Perron breaks of the daily rate, pooled and per segment."""
     fr, spec = load_frame(spark, sf)
-    return X.level_breaks(fr, spec, series_key=None, min_n=200)
+    return X.level_breaks(fr, spec, series_key="event_type", min_n=200)
 
 
 # ---------------------------------------------------------------- entity ---

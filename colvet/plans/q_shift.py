@@ -86,7 +86,7 @@ def q_energy(spark, sf):
 def _marginal(spark, sf, kind):
     a = prepare(spark, sf)
     cols = list(EVENTS_SPEC.numeric)
-    t = SH.marginal_tests(a.fw, cols, a.spec.id, n_sub=5000, nboot=200)
+    t = SH.marginal_tests(a.fw, cols, a.spec.id, n_sub=5000, nboot=500)
     full = SH.ecdf_stats_all(a.values, cols).withColumnRenamed("feature", "column")
     return t.join(full, "column", "left").select("column", f"{kind}_stat_all", f"{kind}_stat", f"{kind}_p",
                                                  f"{kind}_p_bh")

@@ -57,7 +57,7 @@ class DSPolicy:
 class RDPolicy:
     min_rho2: float = 0.8
     redun_r2: float = 0.9
-    max_group: int = 25
+    max_group: int | None = None  # no limit
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ class SQPolicy:
 @dataclass(frozen=True)
 class CatPolicy:
     max_levels: int = 50
-    draws: int = 300
+    draws: int = 500
     min_rows: int = 50
     conf_level: float = 0.95
     period_floor: float = 0.1

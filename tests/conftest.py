@@ -4,6 +4,7 @@ import sys
 import pandas as pd
 import pytest
 
+os.environ.setdefault("COLVET_DRIVER_MEMORY", "8g")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

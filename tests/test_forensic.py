@@ -21,6 +21,13 @@ def test_bai_perron_finds_planted_breaks():
     assert m0 == 0 and flat == []
 
 
+def test_bai_perron_has_no_cap_of_its_own():
+    rng = np.random.default_rng(4)
+    y = np.concatenate([rng.normal(v, 0.002, 30) for v in (0.02, 0.06, 0.03, 0.07, 0.02, 0.05, 0.01, 0.06)])
+    breaks, m = X.bai_perron_mean(y, 0.1)
+    assert m == 7 and max(abs(b - 30 * (k + 1)) for k, b in enumerate(breaks)) <= 2
+
+
 def test_rayleigh_uniform_and_concentrated(spark):
     rng = np.random.default_rng(1)
     n = 4000

@@ -120,9 +120,8 @@ def test_psi_null_matches_brute_force():
         brute.append(SH._psi_np(np.bincount(p[:len(ref)], minlength=4)[None].astype(float),
                                 np.bincount(p[len(ref):], minlength=4)[None].astype(float), 1e-6)[0])
     pooled = np.bincount(pooled_rows, minlength=4)
-    dr, method = SH.draw_split(pooled, len(ref), 4000, np.random.default_rng(6))
+    dr = SH.draw_split(pooled, len(ref), 4000, np.random.default_rng(6))
     fast = SH._psi_np(dr.astype(float), (pooled[None] - dr).astype(float), 1e-6)
-    assert method == "exact"
     for q in (0.5, 0.99):
         assert abs(np.quantile(fast, q) / np.quantile(brute, q) - 1) < 0.25
 
@@ -137,23 +136,50 @@ def test_cramers_v_reference_values():
     assert _v_from_table(sparse, 3, 3) < raw
 
 
-def test_wide_correlation_path_matches_pairwise(spark, monkeypatch):
+def test_correlations_are_pairwise_complete(spark):
     from colvet.functions import columns as C
     rng = np.random.default_rng(9)
     base = rng.normal(size=500)
-    pdf = pd.DataFrame({"a": base, "b": base + rng.normal(size=500) * 0.1, "c": rng.normal(size=500),
+    pdf = pd.DataFrame({"a": base + 1e6, "b": base + rng.normal(size=500) * 0.1, "c": rng.normal(size=500),
                         "k": np.ones(500)})
-    df = spark.createDataFrame(pdf)
-    narrow = {(r["a"], r["b"]): r["r"] for r in C.corr_long(df, ["a", "b", "c", "k"]).collect()}
-    monkeypatch.setattr(C, "WIDE", 2)
-    wide = {(r["a"], r["b"]): r["r"] for r in C.corr_long(df, ["a", "b", "c", "k"]).collect()}
-    assert set(narrow) == set(wide)
-    for key, v in narrow.items():
-        if v is None:
-            assert wide[key] is None
+    pdf.loc[pdf.index % 7 == 0, "b"] = np.nan
+    pdf.loc[pdf.index % 5 == 0, "c"] = np.nan
+    df = spark.createDataFrame(pdf).select(*[C.F.when(~C.F.isnan(c), C.F.col(c)).alias(c) for c in pdf.columns])
+    got = {(r["a"], r["b"]): r["r"] for r in C.corr_long(df, ["a", "b", "c", "k"]).collect()}
+    want = pdf.corr()
+    assert set(got) == {("a", "b"), ("a", "c"), ("a", "k"), ("b", "c"), ("b", "k"), ("c", "k")}
+    for (x, y), r in got.items():
+        if "k" in (x, y):
+            assert r is None
         else:
-            assert abs(v - wide[key]) < 1e-9
-    assert narrow[("a", "b")] > 0.9 and narrow[("a", "k")] is None
+            assert abs(r - want.loc[x, y]) < 1e-9
+    one = df.agg(C.safe_corr("a", "b").alias("r")).first()["r"]
+    assert abs(one - want.loc["a", "b"]) < 1e-6
+
+
+def test_hypergeometric_moments_at_any_size():
+    from colvet.functions.sampling import hypergeometric, multivariate_hypergeometric
+    rng = np.random.default_rng(3)
+    for good, bad, n, draws in ((3, 5, 4, 4000), (40, 960, 100, 3000), (1_200_000_000, 800_000_000, 700_000_000, 400)):
+        x = np.array([hypergeometric(good, bad, n, rng) for _ in range(draws)], float)
+        total, p = good + bad, good / (good + bad)
+        var = n * p * (1 - p) * (total - n) / (total - 1)
+        assert abs(x.mean() - n * p) < 4.5 * math.sqrt(var / draws)
+        assert abs(x.var() / var - 1) < 6 / math.sqrt(draws)
+    m = multivariate_hypergeometric([10**9, 5 * 10**8, 0, 5 * 10**8], 10**9, 5, rng)
+    assert (m.sum(1) == 10**9).all() and (m[:, 2] == 0).all()
+    assert hypergeometric(0, 5, 3, rng) == 0 and hypergeometric(5, 0, 3, rng) == 3
+
+
+def test_pure_probability_keeps_its_precision():
+    from colvet.operators.entity import _none_of, _pure_groups
+    total, marked = 10**12, 36_500_000_000
+    p = 1 - marked / total
+    assert abs(_none_of(2, marked, total) + _none_of(2, total - marked, total) - (p * p + (1 - p) ** 2)) < 1e-9
+    assert _none_of(5, 8, 10) == 0.0 and _none_of(10**7, 10**9, 10**12) < 1e-300
+    rng = np.random.default_rng(1)
+    share = np.mean([_pure_groups(2, 400_000, 400_000, rng) for _ in range(3)]) / 400_000
+    assert abs(share - 0.5) < 0.01 and _pure_groups(2, 3 * 2**20, 0, rng) == 3 * 2**20
 
 
 def test_full_data_ecdf_stats_match_numpy(spark):
