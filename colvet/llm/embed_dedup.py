@@ -92,7 +92,8 @@ def principal_axes(vecs: DataFrame) -> dict:
 def reduced(rot: np.ndarray) -> np.ndarray:
     """Leading coordinates and the length of the rest: distances between these
     rows never exceed distances between the vectors."""
-    lead = rot[:, :LEADING]
+    lead = np.zeros((len(rot), LEADING))  # short vectors: the missing axes are 0
+    lead[:, :min(LEADING, rot.shape[1])] = rot[:, :LEADING]
     rest = np.sqrt((rot[:, LEADING:] ** 2).sum(axis=1, keepdims=True))
     return np.concatenate((lead, rest), axis=1)
 
