@@ -40,7 +40,7 @@ ORDER = 5
 #: Spark's limit for ranking before the shuffle).
 SAMPLE = 1000
 REMEMBERED = 400_000
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 #: Room above the highest held-back cross-entropy, in bits per letter.
 MARGIN = 0.5
 _BEGIN, _END = 1, 2
