@@ -24,11 +24,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.8)."""
+    """One document of each group of near-duplicates (5-word shingles, similarity
+    0.8): the smallest id, a null id last. Rows are told apart by id and text, so
+    different texts that share an id are judged each on its own; of rows equal in
+    both, one stays. A text without words is a group of its own."""
     ensure_checkpoint_dir(spark)
-    kept = minhash_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    named = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+    groups = minhash_dedup.near_duplicates(named.select("row_key", "text"), words=5, percent=80, id_col="row_key")
+    ids = groups.select(F.col("doc_id").alias("row_key"), "component_id").distinct().join(named.select("row_key", "doc_id"), "row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))["row_key"]
+    kept = ids.groupBy("component_id").agg(first.alias("row_key")).select("row_key").distinct()
+    return named.join(kept, "row_key", "left_semi").dropDuplicates(["row_key", "doc_id"]).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

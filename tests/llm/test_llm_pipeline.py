@@ -46,3 +46,19 @@ def test_stages_take_effect_and_chain(spark):
     assert len(ids) == len(mixed)
     want = sorted(hashlib.sha256(t.encode()).hexdigest() for t in mixed.text)
     assert sorted(ids.decoded_sha256) == want
+
+
+def test_one_of_each_tells_rows_apart_by_id_and_text(spark):
+    import corpus_pipeline as C
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    words = [[f"{a}{i}" for i in range(60)] for a in "abcd"]
+    text = [" ".join(w) for w in words]
+    near = " ".join(words[0][:59] + ["other"])
+    rows = [(5, text[0]), (5, text[1]), (6, near), (6, text[1]), (None, text[0]), (None, text[2]), (None, text[2]),
+            (7, text[3]), (7, text[3]), (8, None), (9, ""), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in C.one_of_each(spark, docs, "").collect()]
+    want = [(5, text[0]), (5, text[1]), (None, text[2]), (7, text[3]), (8, None), (9, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert C.one_of_each(spark, docs.limit(0), "").count() == 0
