@@ -10,6 +10,8 @@ both bounded by the number of columns.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,10 +141,14 @@ def summary(columns: DataFrame) -> DataFrame:
                        F.count(F.when(F.col("admitted") & (F.col("source") == "derived"), 1)).alias("derived_fields"))
 
 
-def funnel(columns: DataFrame) -> DataFrame:
-    """Declared, removed per check, admitted; and admitted share by source."""
-    step = columns.groupBy(F.when(F.col("admitted"), F.lit("admitted")).otherwise(F.col("rejected_by")).alias("stage")) \
-                  .agg(F.count(F.lit(1)).alias("columns"))
+def funnel(columns: DataFrame, precedence=PRECEDENCE) -> DataFrame:
+    """Declared, removed per check in precedence order (0 where a check removed
+    nothing), admitted; and admitted share by source."""
+    row = columns.agg(F.count(F.lit(1)).alias("declared"),
+                      *[F.count(F.when(F.col("rejected_by") == c, 1)).alias(c) for c in precedence],
+                      F.count(F.when(F.col("admitted"), 1)).alias("admitted"))
+    step = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("columns"))
+                                         for c in ("declared", *precedence, "admitted")])))
     by_src = columns.groupBy("source").agg(F.count(F.lit(1)).alias("declared"),
                                            F.avg(F.col("admitted").cast("double")).alias("admitted_share"))
     return step.select("stage", "columns", F.lit(None).cast("double").alias("admitted_share")) \
@@ -150,6 +156,21 @@ def funnel(columns: DataFrame) -> DataFrame:
                                           F.col("declared").alias("columns"), "admitted_share"))
 
 
+def body(columns: DataFrame, fragments: list, policy: dict, data=None, derivations=None, fitted=None,
+         created_at: str | None = None) -> dict:
+    """The whole contract as one JSON-ready value: version, time, data, policy,
+    derivations, fitted parameters, summary, one entry per fragment and per
+    column. Everything in it is bounded by the number of columns and checks."""
+    listed = sorted(_rows(columns, columns.columns), key=lambda c: c["name"])
+    counts = summary(columns).first().asDict()
+    return {"version": "1", "created_at": created_at or datetime.now(timezone.utc).isoformat(timespec="seconds"),
+            "data": data or {}, "policy": policy, "derivations": derivations or [], "fitted_parameters": fitted or {},
+            "summary": counts | {"precedence": [f["check"] for f in fragments]},
+            "fragments": [{k: f[k] for k in ("check", "tool", "params", "qualification")} | {"rejected": len(f["rejections"])}
+                          for f in fragments],
+            "columns": listed}
+
+
 def random_sets(iv: DataFrame, columns: DataFrame, draws: int = 2000, seed: int = 0) -> DataFrame:
     """Total IV of the admitted set against ``draws`` random sets of the same
     size from the declared columns with an IV. (draw, column) rows are
@@ -165,7 +186,10 @@ def random_sets(iv: DataFrame, columns: DataFrame, draws: int = 2000, seed: int
     tot = picked.groupBy("draw").agg(F.sum("iv").alias("total"))
     return tot.agg(F.lit(k).cast("long").alias("set_size"), F.lit(float(admitted_total)).alias("admitted_iv"),
                    F.avg("total").alias("random_mean"), F.percentile("total", 0.95).alias("random_q95"),
-                   F.avg((F.col("total") >= F.lit(float(admitted_total))).cast("double")).alias("share_at_least"))
+                   F.avg((F.col("total") >= F.lit(float(admitted_total))).cast("double")).alias("share_at_least"),
+                   (F.lit(100.0) * F.avg((F.col("total") < F.lit(float(admitted_total))).cast("double"))).alias("percentile"),
+                   ((F.count(F.when(F.col("total") >= F.lit(float(admitted_total)), 1)) + 1)
+                    / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
 def threshold_jaccard(tc_report: DataFrame, ds_report: DataFrame, declared: DataFrame, grid=PSI_GRID,

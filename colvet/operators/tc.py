@@ -104,19 +104,19 @@ def feature_report(a: Audit, policy: TCPolicy = TCPolicy(), with_p: bool = True)
     s = feature_stats(a, policy)
     ok = F.col("note") == ""
 
-    def cut_lineage(c):
+    def measured(c):
         return F.when(ok, c)
 
     cols = [
         "feature",
-        cut_lineage(r4(F.col("a_tr"))).alias("auc_train"), cut_lineage(r4(F.col("a_ho"))).alias("auc_holdout"),
-        cut_lineage(r4(F.col("a_ho") - F.col("a_tr"))).alias("delta"),
-        cut_lineage(r4(F.col("lo_tr"))).alias("auc_train_lo"), cut_lineage(r4(F.col("hi_tr"))).alias("auc_train_hi"),
-        cut_lineage(r4(F.col("lo_ho"))).alias("auc_holdout_lo"), cut_lineage(r4(F.col("hi_ho"))).alias("auc_holdout_hi"),
-        cut_lineage(r4(F.col("d_tr"))).alias("dxy_train"), cut_lineage(r4(F.col("d_ho"))).alias("dxy_holdout"),
-        cut_lineage(r4(F.col("iv_tr"))).alias("iv_train"), cut_lineage(r4(F.col("iv_ho"))).alias("iv_holdout"),
-        cut_lineage(r4(F.col("rho"))).alias("woe_rho"), cut_lineage(r4(F.col("flip_mass"))).alias("woe_flip_mass"),
-        cut_lineage(F.col("t_delong")).alias("t_delong"), cut_lineage(F.col("df_delong")).alias("df_delong"),
+        measured(r4(F.col("a_tr"))).alias("auc_train"), measured(r4(F.col("a_ho"))).alias("auc_holdout"),
+        measured(r4(F.col("a_ho") - F.col("a_tr"))).alias("delta"),
+        measured(r4(F.col("lo_tr"))).alias("auc_train_lo"), measured(r4(F.col("hi_tr"))).alias("auc_train_hi"),
+        measured(r4(F.col("lo_ho"))).alias("auc_holdout_lo"), measured(r4(F.col("hi_ho"))).alias("auc_holdout_hi"),
+        measured(r4(F.col("d_tr"))).alias("dxy_train"), measured(r4(F.col("d_ho"))).alias("dxy_holdout"),
+        measured(r4(F.col("iv_tr"))).alias("iv_train"), measured(r4(F.col("iv_ho"))).alias("iv_holdout"),
+        measured(r4(F.col("rho"))).alias("woe_rho"), measured(r4(F.col("flip_mass"))).alias("woe_flip_mass"),
+        measured(F.col("t_delong")).alias("t_delong"), measured(F.col("df_delong")).alias("df_delong"),
         F.col("n_train").cast("long").alias("n_train"), F.col("n_holdout").cast("long").alias("n_holdout"),
         F.when(ok, r4(F.col("null_train") / F.col("n_train")))
          .otherwise(F.when(F.col("n_train") > 0, F.col("null_train") / F.col("n_train")).otherwise(F.lit(1.0)))

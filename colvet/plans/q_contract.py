@@ -10,7 +10,7 @@ from ..operators import redundancy as RD
 from ..operators import segment as SQ
 from ..operators import shift as SH
 from ..operators import tc as TC
-from ..policy import PRECEDENCE, RDPolicy
+from ..policy import PRECEDENCE, DSPolicy, RDPolicy, SQPolicy, TCPolicy
 from ..session import cut_lineage
 from ..sources import readers as RDR
 from . import oracle_sql as O
@@ -132,6 +132,21 @@ def q_merge(spark, sf):
     return run_for(spark, sf).columns
 
 
+@register("ct_body")
+def q_body(spark, sf):
+    """The whole contract written as JSON and read back: version, its summary counts,
+    the number of fragments, and of columns listed."""
+    r = run_for(spark, sf)
+    policy = {c: p().__dict__ for c, p in (("time_consistency", TCPolicy), ("distribution_shift", DSPolicy),
+                                           ("redundancy", RDPolicy), ("segment_qualification", SQPolicy))}
+    body = CT.body(r.columns, [f for f, _ in r.fragments], policy, data={"path": sf, "frame": r.audit.spec.name})
+    path = RDR.write_contract(spark, body, RDR.scratch_path(spark, "contract"))
+    d = spark.read.json(path)
+    return d.select("version", *[F.col(f"summary.{c}").alias(c) for c in (
+        "declared", "admitted", "rejected", "request_fields", "retrieved_fields", "derived_fields")],
+        F.size("fragments").alias("fragments"), F.size("columns").alias("columns"))
+
+
 @register("ct_funnel")
 def q_funnel(spark, sf):
     """Declared, removed by each check, admitted; admitted share by source."""
@@ -140,7 +155,8 @@ def q_funnel(spark, sf):
 
 @register("ct_random_sets")
 def q_random_sets(spark, sf):
-    """Total IV of the admitted set against 2,000 random sets of the same size."""
+    """Total IV of the admitted set against 2,000 random sets of the same size:
+    its percentile among them and the one-sided p."""
     r = run_for(spark, sf)
     return CT.random_sets(r.iv, r.columns, draws=2000)
 
@@ -204,11 +220,10 @@ def q_src_fragments(spark, sf):
 
 @register("sink_declaration")
 def q_sink_declaration(spark, sf):
-    """Declaration (columns, sources, dtypes, derivation specs) written as JSON and read back."""
+    """Declaration (columns, sources, dtypes, data, derivations) written as JSON and read back."""
     r = run_for(spark, sf)
-    from .q_frame import LINE_SPECS
-    from ..operators.derive import declarations
     path = RDR.scratch_path(spark, "declaration")
-    RDR.write_declaration(r.declared, path, declarations(LINE_SPECS))
+    # the events frame has no derived specs of its own
+    RDR.write_declaration(r.declared, path, data={"path": sf, "frame": r.audit.spec.name})
     d = spark.read.json(path)
     return d.select("version", F.explode("columns").alias("c")).select("version", "c.name", "c.source", "c.dtype")

@@ -132,9 +132,21 @@ def write_fragment(spark: SparkSession, fragment: dict, report: DataFrame, folde
             "report": os.path.join(folder, "tables", fragment["check"])}
 
 
-def write_declaration(declared: DataFrame, path: str, derivations=None) -> str:
-    """Column list with source and dtype (and the derivation specs) as one JSON row."""
-    row = declared.agg(F.collect_list(F.struct("name", "source", "dtype")).alias("columns"))
-    row = row.withColumn("version", F.lit("1")).withColumn("derivations", F.lit(json.dumps(derivations or [])))
+def write_declaration(declared: DataFrame, path: str, derivations=None, data=None, fitted=None) -> str:
+    """Column list with source and dtype as one JSON row, with the time, what the
+    data were, the derivation specs and the parameters that fitted ones learned."""
+    row = declared.agg(F.sort_array(F.collect_list(F.struct("name", "source", "dtype"))).alias("columns"))
+    row = (row.withColumn("version", F.lit("1"))
+              .withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+              .withColumn("data", F.lit(json.dumps(data or {})))
+              .withColumn("derivations", F.lit(json.dumps(derivations or [])))
+              .withColumn("fitted_parameters", F.lit(json.dumps(fitted or {}))))
     row.coalesce(1).write.mode("overwrite").json(path)
     return path
+
+
+def write_contract(spark: SparkSession, body: dict, path: str) -> str:
+    """The contract body as one JSON document (sized by columns and checks)."""
+    text = json.dumps(body)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path

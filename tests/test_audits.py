@@ -141,8 +141,16 @@ def test_block_expansion_and_merge(spark):
                                      "name string, source string, dtype string")
     cols = {r["name"]: r for r in CT.merge(declared, rej).collect()}
     assert cols["a"]["rejected_by"] == "time_consistency" and cols["z"]["admitted"]
-    s = CT.summary(CT.merge(declared, rej)).first()
+    merged = CT.merge(declared, rej)
+    s = CT.summary(merged).first()
     assert s["declared"] == s["admitted"] + s["rejected"]
+    stages = {r["stage"]: r["columns"] for r in CT.funnel(merged).collect()}
+    assert stages == {"declared": 2, "time_consistency": 1, "distribution_shift": 0, "redundancy": 0,
+                      "segment_qualification": 0, "admitted": 1, "source:request": 1, "source:derived": 1}
+    frag = {"check": "time_consistency", "tool": "x", "params": {}, "qualification": {}, "rejections": [{}]}
+    body = CT.body(merged, [frag], {})
+    assert body["summary"]["rejected"] == 1 and body["summary"]["precedence"] == ["time_consistency"]
+    assert [c["name"] for c in body["columns"]] == ["a", "z"] and body["fragments"][0]["rejected"] == 1
 
 
 def test_derivations(spark):
@@ -193,6 +201,8 @@ def test_random_sets_and_threshold_grid(spark):
     r = CT.random_sets(iv, columns, draws=500).first()
     assert r["set_size"] == 4 and r["admitted_iv"] == 34.0
     assert 0 <= r["share_at_least"] <= 1 and r["random_mean"] < r["admitted_iv"]
+    assert abs(r["p_value"] - (1 + 500 * r["share_at_least"]) / 501) < 1e-12
+    assert abs(r["percentile"] - 100 * (1 - r["share_at_least"])) < 1e-9
     tc = spark.createDataFrame([("c0", "inverted"), ("c1", "pass")], "feature string, verdict string")
     ds = spark.createDataFrame([("c2", 0.3, 0.01), ("c3", 0.12, 0.01)], "column string, psi double, p_perm_bh double")
     declared = columns.select("name")
