@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, texts
 
 #: Chunks that a worker remembers at most.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 _NEVER = 1 << 60
 
 
