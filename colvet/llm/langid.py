@@ -39,8 +39,9 @@ ORDER = 5
 #: Labelled documents per language that the models are fitted on (at most 1000,
 #: Spark's limit for ranking before the shuffle).
 SAMPLE = 1000
-REMEMBERED = 400_000
-CHUNK = 3 << 20
+REMEMBERED = 200_000
+#: Bytes of text that are counted or scored at a time.
+CHUNK = 1 << 20
 #: Room above the highest held-back cross-entropy, in bits per letter.
 MARGIN = 0.5
 _BEGIN, _END = 1, 2
@@ -141,20 +142,24 @@ def count_grams(sample: DataFrame) -> DataFrame:
     """``(lang, k, gram, history, suffix, initial, n)`` counts of ``sample(lang, text)``;
     ``initial`` marks grams that begin with the begin sign."""
     def run(batches):
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, limit=CHUNK):
             langs = b.column(0).to_pylist()
             values = texts(b)
             for lang in sorted(set(langs)):
                 cp, start, length, _ = words([v for v, x in zip(values, langs) if x == lang])
                 if not len(start):
                     continue
-                h, place, _ = grams(cp, start, length)
+                # each distinct word once, as often as it occurs
+                _, one, times = np.unique(_word_keys(cp, start, length), return_index=True, return_counts=True)
+                h, place, size = grams(cp, start[one], length[one])
+                times = np.repeat(times, size)
                 for k in range(ORDER):
                     has = np.flatnonzero(place >= k) if k else np.arange(len(place))
                     zero = np.zeros(len(has), np.uint64)
                     hist = h[k - 1][has - 1] if k else zero
                     suffix = h[k - 1][has] if k else zero
-                    _, first, n = np.unique(h[k][has], return_index=True, return_counts=True)
+                    _, first, which = np.unique(h[k][has], return_index=True, return_inverse=True)
+                    n = np.bincount(which, times[has]).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(n)), pa.array(np.full(len(n), k, np.int32)),
                          *(pa.array(x.view(np.int64)) for x in (h[k][has][first], hist[first], suffix[first])),
@@ -267,7 +272,7 @@ def calibrate(model: Model, held: DataFrame, spark) -> Model:
 
     def run(batches):
         scorer = Scorer(shared.value)
-        for b in by_bytes(batches):
+        for b in by_bytes(batches, limit=CHUNK):
             ce, n = scorer.entropies(texts(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(list(ce), pa.list_(pa.float64()))],
                                              names=["lang", "letters", "ce"])
