@@ -30,6 +30,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,23 +172,25 @@ def count_grams(sample: DataFrame) -> DataFrame:
         .groupBy("lang", "k", "gram", "history", "suffix", "initial").agg(F.sum("n").alias("n")))
 
 
-def build(counts, langs: list) -> Model:
-    """Interpolated Kneser-Ney from the collected counts (size bounded by the sample)."""
-    u = lambda s: s.to_numpy().view(np.uint64)
-    keys = [np.unique(u(counts.gram[counts.k == k])) for k in range(ORDER)]
+def build(counts: pa.Table, langs: list) -> Model:
+    """Interpolated Kneser-Ney from the collected counts (size bounded by the sample).
+    They stay Arrow columns and flat arrays: the driver's memory is small."""
+    order, total_n, initial = (counts[c].to_numpy() for c in ("k", "n", "initial"))
+    grams_, histories, suffixes = (counts[c].to_numpy().view(np.uint64) for c in ("gram", "history", "suffix"))
+    of = pc.index_in(counts["lang"], pa.array(langs, pa.string())).to_numpy()
+    keys = [np.unique(grams_[order == k]) for k in range(ORDER)]
     plus = [np.zeros((len(k) + 1, len(langs))) for k in keys]
     down = [np.ones((len(k) + 1, len(langs))) for k in keys]
     floor = np.zeros(len(langs))
-    for j, lang in enumerate(langs):
-        own = counts[counts.lang == lang]
-        types = [own[own.k == k] for k in range(ORDER)]
+    for j in range(len(langs)):
+        rows = [np.flatnonzero((of == j) & (order == k)) for k in range(ORDER)]
         for k in range(ORDER):
-            t = types[k]
-            gram, hist, n = u(t.gram), u(t.history), t.n.to_numpy().astype(float)
+            t = rows[k]
+            gram, hist, n = grams_[t], histories[t], total_n[t].astype(float)
             if k + 1 < ORDER:
                 # how many different signs come before the gram; raw counts at a word's begin
-                seen = np.bincount(np.searchsorted(keys[k], u(types[k + 1].suffix)), minlength=len(keys[k]))
-                n = np.where(t.initial.to_numpy() & (k > 0), n, seen[np.searchsorted(keys[k], gram)])
+                seen = np.bincount(np.searchsorted(keys[k], suffixes[rows[k + 1]]), minlength=len(keys[k]))
+                n = np.where(initial[t] & (k > 0), n, seen[np.searchsorted(keys[k], gram)])
             if k == 0:
                 n = np.where(gram == mix(np.array([_BEGIN + 77], np.uint64))[0], 0.0, n)
             n1, n2 = (n == 1).sum(), (n == 2).sum()
@@ -259,11 +262,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                    .where(F.col("r") <= F.when(F.col("part") == 1, max(1, sample // 4)).otherwise(sample)).where(F.col("r") <= sample)
                    .select("doc_id", "lang", "part"))
     chosen = named.join(F.broadcast(picked), ["doc_id", "lang", "part"], "left_semi")  # at most 1.25 * sample ids a language
-    counts = count_grams(chosen.where("part = 0")).toPandas()
-    langs = sorted(counts.lang.unique())
+    counts = count_grams(chosen.where("part = 0")).toArrow()
+    langs = sorted(counts["lang"].unique().to_pylist())
     if not langs:
         return None
     model = build(counts, langs)
+    del counts
     return calibrate(model, chosen.where("part = 1"), docs.sparkSession)
 
 
@@ -278,12 +282,12 @@ def calibrate(model: Model, held: DataFrame, spark) -> Model:
                                              names=["lang", "letters", "ce"])
 
     # one small row per held-back document: bounded by the sample
-    got = held.select("lang", "text").mapInArrow(run, "lang string, letters double, ce array<double>").where("letters > 0").toPandas()
-    got = got[got.lang.isin(model.langs)]
-    if not len(got):
+    got = held.select("lang", "text").mapInArrow(run, "lang string, letters double, ce array<double>").where("letters > 0").toArrow()
+    got = got.filter(pc.is_in(got["lang"], pa.array(model.langs, pa.string())))
+    if not got.num_rows:
         return model
-    ce, n = np.stack(got.ce), got.letters.to_numpy()
-    true = np.array([model.langs.index(x) for x in got.lang])
+    ce, n = np.array(got["ce"].to_pylist()), got["letters"].to_numpy()
+    true = np.array([model.langs.index(x) for x in got["lang"].to_pylist()])
     best = ce.min(1)
     spread = float(np.median(np.abs(best - np.median(best)) * np.sqrt(n))) * 1.5
     model.b = 6 * spread
