@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes, map_texts, texts
 
 #: Chunks that a worker remembers at most.
 REMEMBERED = 200_000
@@ -270,4 +270,5 @@ def tokenize(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> Data
                 cols.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(values))))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_texts(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)

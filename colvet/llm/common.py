@@ -15,6 +15,9 @@ from ..session import ensure_checkpoint_dir
 
 #: Bytes of text that one vectorised step holds at a time.
 CHUNK_BYTES = 1 << 20
+#: Bytes of one Arrow batch between Spark and its Python workers. Spark's own bound
+#: (64 MB) is held several times per running task, on both sides.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of about ``BATCH_BYTES`` (a longer
+    row is a batch of its own), unless the application names a bound itself."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def by_bytes(batches, column: str = "text", limit: int = CHUNK_BYTES):
     """Cut Arrow batches so that the text of each piece stays near ``limit`` bytes
     (one longer text is a piece of its own)."""

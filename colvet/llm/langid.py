@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix, texts
+from .common import by_bytes, map_texts, mix, texts
 
 ORDER = 5
 #: Labelled documents per language that the models are fitted on (at most 1000,
@@ -167,8 +167,8 @@ def count_grams(sample: DataFrame) -> DataFrame:
                          pa.array(place[has][first] == k), pa.array(n)],
                         names=["lang", "k", "gram", "history", "suffix", "initial", "n"])
 
-    return (sample.select("lang", "text").mapInArrow(
-        run, "lang string, k int, gram long, history long, suffix long, initial boolean, n long")
+    return (map_texts(
+        sample.select("lang", "text"), run, "lang string, k int, gram long, history long, suffix long, initial boolean, n long")
         .groupBy("lang", "k", "gram", "history", "suffix", "initial").agg(F.sum("n").alias("n")))
 
 
@@ -282,7 +282,7 @@ def calibrate(model: Model, held: DataFrame, spark) -> Model:
                                              names=["lang", "letters", "ce"])
 
     # one small row per held-back document: bounded by the sample
-    got = held.select("lang", "text").mapInArrow(run, "lang string, letters double, ce array<double>").where("letters > 0").toArrow()
+    got = map_texts(held.select("lang", "text"), run, "lang string, letters double, ce array<double>").where("letters > 0").toArrow()
     got = got.filter(pc.is_in(got["lang"], pa.array(model.langs, pa.string())))
     if not got.num_rows:
         return model
@@ -315,7 +315,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                       F.coalesce(_fold(F.col("doc_id").cast("long")) == 2, F.lit(False)).alias("held_out"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_texts(src, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def judged(batches, model: Model | None, column: str = "text"):
@@ -342,4 +342,4 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
         for b, (_, _, rejected) in judged(batches, shared.value):
             yield b.filter(pa.array([not r for r in rejected]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes, map_texts, texts
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 LABELERS = 4
@@ -220,7 +220,7 @@ def fit(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([v for _, v in seen], pa.int32()),
                                                   pa.array(list(seen.values()), pa.int64())], names=["kind", "votes", "n"])
 
-    rows = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, votes int, n long")
+    rows = (map_texts(docs.select(F.col("text").cast("string").alias("text")), run, "kind int, votes int, n long")
                 .groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect())
     if not rows:
         return np.zeros(2 * LABELERS + len(KINDS))
@@ -257,7 +257,8 @@ def find(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                              hashlib.sha256(render(base).encode()).hexdigest(), render(spans), len(spans) - len(base)))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, zip(*rows))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return map_texts(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
         run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
@@ -282,4 +283,4 @@ def redact(docs: DataFrame, weights: np.ndarray, column: str = "text") -> DataFr
             new = pa.array([redacted(t, weights) if t else t for t in texts(b, column)], b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays([new if k == i else c for k, c in enumerate(b.columns)], schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)

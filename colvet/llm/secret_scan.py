@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, texts
+from .common import by_bytes, map_texts, texts
 
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
@@ -146,5 +146,6 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 rows.append((n[0], n[1], n[2], hashlib.sha256(base.encode()).hexdigest(), render(spans), n[3]))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, zip(*rows))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return map_texts(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
