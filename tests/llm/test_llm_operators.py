@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colvet.llm import ann, bpe, chat_format, embed_dedup, langid, minhash_dedup, mixing, pii, secret_scan, sharding
+from colvet.llm import ann, bpe, chat_format, common, embed_dedup, langid, minhash_dedup, mixing, pii, secret_scan, sharding
 from colvet.llm.common import shingle_sets, utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, spans string"
@@ -386,3 +387,17 @@ def test_chat_rotation_equals_sql(spark):
             assert t[a - 10:a].endswith("assistant\n") and t[a:b].endswith(chat_format.CLOSE)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_text_batches_are_bounded_and_long_rows_whole(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    long = common.BATCH_BYTES * 2
+    size = F.when(F.col("id") == 77, long).otherwise(100_000).cast("int")
+    rows = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), size).alias("text"))
+    got = common.map_texts(rows, run, "rows long, bytes long").toPandas()
+    assert got["rows"].sum() == 200 and got["bytes"].sum() >= 199 * 100_000 + long
+    assert got["bytes"].max() < common.BATCH_BYTES + long + 200_000
+    assert (got["bytes"] < common.BATCH_BYTES + 200_000).sum() >= len(got) - 1
