@@ -21,9 +21,10 @@ blocks. All rows are indexed; nothing is fitted but the largest norm.
 
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components are neither queries nor candidates. Vectors of other
-lengths are no candidates. Equal scores go to the smaller id. Repeated rows:
-a candidate id counts once (with its best score); a query id that repeats is
-one query, with the row of the smallest vector bytes. Extra columns are
+lengths are no candidates. Equal scores go to the smaller id. Repeated rows
+are indexed once; a candidate id with several vectors counts once, with its best
+score; a query id that repeats is one query, with the row of the smallest vector
+bytes. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -150,11 +151,14 @@ def _sample(vecs: DataFrame) -> dict:
 
 
 def best(q, v, s, k: int):
-    """The ``k`` best distinct candidates of each query: larger score, then smaller id."""
-    o = np.lexsort((v, -s, q))
+    """The ``k`` best distinct candidates of each query: larger score, then smaller id.
+    A candidate that occurs with several scores counts with its best."""
+    o = np.lexsort((-s, v, q))
     q, v, s = q[o], v[o], s[o]
     fresh = np.concatenate(([True], (q[1:] != q[:-1]) | (v[1:] != v[:-1]))) if len(q) else np.zeros(0, bool)
     q, v, s = q[fresh], v[fresh], s[fresh]
+    o = np.lexsort((v, -s, q))
+    q, v, s = q[o], v[o], s[o]
     first = np.searchsorted(q, q)
     keep = np.arange(len(q)) - first < k
     return q[keep], v[keep], s[keep]
@@ -171,14 +175,16 @@ def _scored(group_rows: DataFrame, k: int) -> DataFrame:
         def emit():
             return pa.RecordBatch.from_arrays([pa.array(x) for x in best(*held, k)], names=out)
 
-        def score(qid, qvec, floor, ids, members):
+        def score(qid, qvec, floor, ids, members, starts):
             nonlocal held
             for lo in range(0, len(qid), 512):
                 qi, q = qid[lo:lo + 512], qvec[lo:lo + 512]
                 s = q @ members.T
                 s[qi[:, None] == ids[None, :]] = -np.inf
-                n = min(k, len(ids))
-                cut = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+                # the k-th best of distinct ids, each with its best score
+                by_id = s if len(starts) == len(ids) else np.maximum.reduceat(s, starts, axis=1)
+                n = min(k, len(starts))
+                cut = -np.partition(-by_id, n - 1, axis=1)[:, n - 1]
                 slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(cut), cut, 0.0)))
                 r, c = np.nonzero((s >= np.maximum(cut, floor[lo:lo + 512])[:, None] - slack[:, None]) & (s > -np.inf))
                 exact = (q[r] * members[c]).sum(1)
@@ -187,7 +193,7 @@ def _scored(group_rows: DataFrame, k: int) -> DataFrame:
                 if len(held[0]) > 250_000:
                     held = list(best(*held, k))
 
-        ids = members = None
+        ids = members = starts = None
         for b in batches:
             dims, t, bucket, salt, kind, vid = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             vec, least = b.column(6), b.column(7).to_numpy(zero_copy_only=False)
@@ -196,7 +202,7 @@ def _scored(group_rows: DataFrame, k: int) -> DataFrame:
             for lo, hi in zip([0, *change], [*change, len(dims)]):
                 key = (dims[lo], t[lo], bucket[lo], salt[lo])
                 if key != now:
-                    now, mid, mvec, ids, members = key, [], [], None, None
+                    now, mid, mvec, ids, members, starts = key, [], [], None, None, None
                 x = np.frombuffer(b"".join(vec.slice(lo, hi - lo).to_pylist())).reshape(-1, dims[lo])
                 if kind[lo] == 0:
                     mid.append(vid[lo:hi])
@@ -204,7 +210,10 @@ def _scored(group_rows: DataFrame, k: int) -> DataFrame:
                 elif mid:
                     if members is None:
                         ids, members = np.concatenate(mid), np.concatenate(mvec)
-                    score(vid[lo:hi], x, least[lo:hi], ids, members)
+                        o = np.argsort(ids, kind="stable")
+                        ids, members = ids[o], members[o]
+                        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+                    score(vid[lo:hi], x, least[lo:hi], ids, members, starts)
                     if len(held[0]) > 300_000:  # that many after merging: very many queries
                         yield emit()
                         held = [h[:0] for h in held]
@@ -223,7 +232,7 @@ def _round(members: DataFrame, queries: DataFrame, tops: dict, sample: dict, m:
            .select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     hot = materialize(hot, "hot")
     one = F.coalesce("parts", F.lit(1))
-    mem = mem.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), one).cast("int"))
+    mem = mem.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("vec_id", "vec"), one).cast("int"))
     qry = (_buckets(queries, tops, m, (k, sample)).join(hot, key, "left")
            .withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))))
     cols = [*key, "salt", "kind", "vec_id", "vec", "least"]
@@ -238,7 +247,7 @@ def _round(members: DataFrame, queries: DataFrame, tops: dict, sample: dict, m:
 def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of every row
     for which the column ``is_query`` (over ``vec_id``) holds."""
-    vecs = materialize(vectors(df, id_col, vec_col).where("vec_id is not null"), "vectors")
+    vecs = materialize(vectors(df, id_col, vec_col).where("vec_id is not null").distinct(), "vectors")
     sizes = vecs.groupBy("dim").agg(F.countDistinct("vec_id").alias("n")).collect()
     total = sum(r["n"] for r in sizes)
     tops, sample = _largest_norms(vecs), _sample(vecs)

@@ -168,6 +168,37 @@ def test_multiprobe_search_recall_and_completeness(spark, monkeypatch):
     assert ann.search(_vectors(spark, []), F.col("vec_id") % 6 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", ["rows", "vectors"])
+def test_search_counts_a_repeated_id_once(spark, copies, monkeypatch):
+    monkeypatch.setattr(ann, "directions", lambda rows: 0)  # the exact step: one bucket of all rows
+    rng = np.random.default_rng(9)
+    near = rng.normal(size=8)
+    rows = [(i, rng.normal(size=8)) for i in range(1, 41)]
+    # id 50 lies nearest to every query: 25 equal rows, or 25 vectors of its own
+    rows += [(50, 1.2 * near + (0.1 * rng.normal(size=8) if copies == "vectors" else 0.0)) for _ in range(25)]
+    rows += [(i, near + 0.1 * rng.normal(size=8)) for i in (60, 66)]
+    got: dict = {}
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    for r in ann.search(table, F.col("vec_id").isin(60, 66), 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, found in got.items():
+        own = next(v for i, v in rows if i == q)
+        others: dict = {}
+        for i, v in rows:
+            if i != q:
+                others[i] = max(others.get(i, -np.inf), float(own @ v))
+        found.sort()
+        best = sorted(others, key=lambda j: (-others[j], j))[:20]
+        assert [(r, v) for r, v, _ in found] == list(enumerate(best, 1))
+        assert all(abs(others[v] - s) < 1e-9 for _, v, s in found)
+    assert set(got) == {60, 66}
+
+
+def test_merged_candidates_keep_the_best_score():
+    q, v, s = ann.best(np.zeros(4, np.int64), np.array([7, 8, 7, 9]), np.array([9.0, 7.0, 5.0, 1.0]), 3)
+    assert v.tolist() == [7, 8, 9] and s.tolist() == [9.0, 7.0, 1.0]
+
+
 # ------------------------------------------------------------ text operators
 def test_secrets_equal_brute_force(spark):
     values = list(enumerate([*ODD, "PassWord = 'abcdef12' api-key: x apikey:abcdefg token=ab", "AKIA" + "A1" * 9 + " AKIAX", "0123456789abcdef" * 2,
