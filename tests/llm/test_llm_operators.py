@@ -420,6 +420,34 @@ def test_chat_rotation_equals_sql(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_rotation_bounds_the_rows_of_hot_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "LIMIT", 16 * 1100)
+    rng = np.random.default_rng(12)
+    roles = ["user", "bob", "system", None]
+    # no conversation id and no turn number, one turn number, one turn repeated, and ordinary conversations
+    rows = [(None, None, roles[k % 4], f"t{k} " + "x" * int(rng.integers(0, 300))) for k in range(150)]
+    rows += [(None, 3, "user", "y" * 200 + str(k % 7)) for k in range(60)] + [(5, 70, "bob", "same")] * 120
+    rows += [(5, 1, "user", "hi"), (5, 200, "user", "bye"), *((6, k, roles[k % 3], f"é {k}") for k in range(12)), (7, 1, "system", "s")]
+    got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    seen: dict = {}
+    for r in sorted(got, key=lambda r: (r["part"], r["char_start"])):
+        seen.setdefault((r["conv_id"], r["participant"]), []).append(r)
+    named = [(c, t, r or "unknown", x) for c, t, r, x in rows]
+    assert set(seen) == {(c, r) for c, _, r, _ in named if r != "system"}
+    for (conv, who), parts in seen.items():
+        text, spans = "", []
+        for _, _, role, x in sorted((r for r in named if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3])):
+            text += f"{chat_format.OPEN}{'assistant' if role == who else 'system' if role == 'system' else 'user:' + role}\n"
+            spans += [f"{len(text)}:{len(text) + len(x) + len(chat_format.CLOSE)}"] if role == who else []
+            text += f"{x}{chat_format.CLOSE}\n"
+        assert "".join(r["rendered"] for r in parts) == text
+        assert [s for r in parts for s in r["mask"].split(",") if s] == spans
+        assert all(text[r["char_start"]:].startswith(r["rendered"]) for r in parts)
+        assert sum(r["n_turns"] for r in parts) == sum(r[0] == conv for r in named) and sum(r["n_masked"] for r in parts) == len(spans)
+    assert max(r["n_turns"] for r in got) <= 18
+    assert all(len(seen[6, w]) == 1 for w in ("user", "bob")) and len(seen[None, "bob"]) > 8 < len(seen[5, "bob"])
+
+
 def test_text_batches_are_bounded_and_long_rows_whole(spark):
     def run(batches):
         for b in batches:
