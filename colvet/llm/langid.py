@@ -13,14 +13,18 @@ lowest wins (ties: the first language by code point). Texts are scored by
 their distinct words; a worker remembers up to ``REMEMBERED`` of them.
 
 Calibration uses the part of the sample that the counts leave out: a
-temperature that makes the probabilities fit, and a bound on cross-entropy,
-``a + b / sqrt(letters)``, above all of the held-back documents; texts beyond
-it are in no learned language and are rejected.
+temperature that makes the probabilities fit, and per language a bound on
+cross-entropy, ``a + b / sqrt(letters)``. It lies above a high quantile of
+the held-back documents that are predicted as they are labelled, by ``MARGIN`` and
+a multiple of that quantile's distance from the median: the long tail of real
+documents is kept, and some wrong labels or garbled texts do not move it; texts beyond the
+bound of their language are in no learned language and are rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 (rejected), and so is every text if no language was learned. Labels, sources
 and ids never enter a prediction. A null id is not held out and not learned
-from. Extra columns are ignored; repeated rows stay; an empty table gives an
+from. Of rows that repeat an id under one label, the sample holds one (the text
+with the smallest hash). Extra columns are ignored; repeated rows stay; an empty table gives an
 empty result.
 """
 
@@ -43,8 +47,9 @@ SAMPLE = 1000
 REMEMBERED = 200_000
 #: Bytes of text that are counted or scored at a time.
 CHUNK = 1 << 20
-#: Room above the highest held-back cross-entropy, in bits per letter.
-MARGIN = 0.5
+#: Where the bound of a language starts among its held-back documents, the room above
+#: in distances of that quantile from the median, and in bits per letter.
+QUANTILE, TAIL, MARGIN = 0.95, 4.0, 0.5
 _BEGIN, _END = 1, 2
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,7 +121,7 @@ class Model:
 
     def __init__(self, langs, keys, plus, down, floor):
         self.langs, self.keys, self.plus, self.down, self.floor = langs, keys, plus, down, floor
-        self.heat, self.a, self.b = 1.0, np.inf, 0.0
+        self.heat, self.a, self.b = 1.0, np.full(len(langs), np.inf), 0.0
 
     def find(self, k, h):
         keys = self.keys[k]
@@ -262,6 +267,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                    .where(F.col("r") <= F.when(F.col("part") == 1, max(1, sample // 4)).otherwise(sample)).where(F.col("r") <= sample)
                    .select("doc_id", "lang", "part"))
     chosen = named.join(F.broadcast(picked), ["doc_id", "lang", "part"], "left_semi")  # at most 1.25 * sample ids a language
+    chosen = chosen.groupBy("doc_id", "lang", "part").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     counts = count_grams(chosen.where("part = 0")).toArrow()
     langs = sorted(counts["lang"].unique().to_pylist())
     if not langs:
@@ -288,10 +294,17 @@ def calibrate(model: Model, held: DataFrame, spark) -> Model:
         return model
     ce, n = np.array(got["ce"].to_pylist()), got["letters"].to_numpy()
     true = np.array([model.langs.index(x) for x in got["lang"].to_pylist()])
-    best = ce.min(1)
-    spread = float(np.median(np.abs(best - np.median(best)) * np.sqrt(n))) * 1.5
-    model.b = 6 * spread
-    model.a = float((best - model.b / np.sqrt(n)).max()) + MARGIN
+    best, right = ce.min(1), ce.argmin(1) == true
+    if right.any():
+        spread = float(np.median(np.abs(best - np.median(best[right]))[right] * np.sqrt(n[right]))) * 1.5
+        model.b = 6 * spread
+        least = best - model.b / np.sqrt(n)
+        seen = np.unique(true[right])
+        for j in seen:
+            middle, high = np.quantile(least[right & (true == j)], [0.5, QUANTILE], method="lower")
+            model.a[j] = high + TAIL * (high - middle) + MARGIN
+        # no held-back document of a language was told: the widest of the others
+        model.a[np.setdiff1d(np.arange(len(model.langs)), seen)] = model.a[seen].max()
     heats = 2.0 ** np.arange(-6, 7)
     losses = [-np.log(np.maximum(_soft(ce, n, t)[np.arange(len(true)), true], 1e-12)).mean() for t in heats]
     model.heat = float(heats[int(np.argmin(losses))])
@@ -330,7 +343,7 @@ def judged(batches, model: Model | None, column: str = "text"):
         best = ce.argmin(1)
         some = n > 0
         score = np.where(some, _soft(ce, n, model.heat)[np.arange(len(best)), best], 0.0)
-        out = ~some | (ce.min(1) > model.a + model.b / np.sqrt(np.maximum(n, 1.0)))
+        out = ~some | (ce.min(1) > model.a[best] + model.b / np.sqrt(np.maximum(n, 1.0)))
         yield b, ([model.langs[i] if s else "und" for i, s in zip(best, some)], score.tolist(), out.tolist())
 
 

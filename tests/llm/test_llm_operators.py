@@ -317,6 +317,35 @@ def test_language_models_learn_and_reject(spark):
     assert langid.accepted(d, model).count() == sum(not r["rejected"] for r in got.values())
 
 
+def test_wrong_labels_do_not_widen_the_rejection_bound(spark):
+    rng = np.random.default_rng(13)
+    values, langs = [], []
+    for k in range(400):
+        letters, lang = (("aeiorstn", "xa") if k % 2 else ("uywkzqjv", "xb"))
+        values.append((k, " ".join(rng_words(rng, 40, letters))))
+        langs.append(lang)
+    # in the held-back part: foreign letters, the other language and garble under a wrong label
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 4 == 3][:3]
+    wrong = ["中文字符" * 30, values[0][1], " ".join(rng_words(rng, 40, "bcdfghlmpx"))]
+    values += [(i, wrong[k % 3]) for k, i in enumerate(held)]
+    langs += ["xa"] * len(held)
+    foreign = ["中文字符" * 20, "漢字仮名" * 30, " ".join(rng_words(rng, 40, "bcdfghlmpx")), " ".join(rng_words(rng, 40, "абвгдежз"))]
+    values += [(2000 + k, t) for k, t in enumerate(foreign)]
+    langs += [None] * len(foreign)
+    d = docs(spark, values, langs)
+    got = {r["doc_id"]: r for r in langid.predict(d, langid.learn(d)).collect()}
+    assert all(got[2000 + k]["rejected"] for k in range(len(foreign)))
+    assert all(got[k]["lang_pred"] == langs[k] for k in range(400)) and sum(got[k]["rejected"] for k in range(400)) == 0
+
+
+def test_a_repeated_id_is_one_document_of_the_sample(spark):
+    rng = np.random.default_rng(14)
+    values = [(k, " ".join(rng_words(rng, 20, "abcde"))) for k in range(40)]
+    once = langid.learn(docs(spark, values, ["x"] * len(values)))
+    more = langid.learn(docs(spark, values + values[:20] * 5, ["x"] * (len(values) + 100)))
+    assert all(np.array_equal(a, b) for a, b in zip(once.plus, more.plus)) and np.array_equal(once.a, more.a)
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     rng = np.random.default_rng(10)
     d = docs(spark, [(k, " ".join(rng_words(rng, 30, "abc"))) for k in range(60)], ["x"] * 60)
