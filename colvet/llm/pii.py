@@ -107,7 +107,7 @@ def base_spans(text: str) -> list:
 
 def _wider(text: str) -> list:
     out = []
-    if " dot " in text or "[dot]" in text or "(dot)" in text or "[at]" in text or "(at)" in text:
+    if " at " in text or " dot " in text or "[dot]" in text or "(dot)" in text or "[at]" in text or "(at)" in text:
         out += [(0, m.start(), m.end()) for m in _SPELT.finditer(text)]
     if _DIGIT.search(text):
         out += [(3, m.start(), m.end()) for m in _LOOSE_PHONE.finditer(text)]

@@ -317,6 +317,12 @@ def test_language_models_learn_and_reject(spark):
     assert langid.accepted(d, model).count() == sum(not r["rejected"] for r in got.values())
 
 
+def test_spelt_addresses_do_not_depend_on_other_text():
+    text = "write to john.smith at example.com"
+    span = (0, text.index("john"), len(text))
+    assert span in pii._wider(text) and span in pii._wider(text + " or a dot here")
+
+
 def test_wrong_labels_do_not_widen_the_rejection_bound(spark):
     rng = np.random.default_rng(13)
     values, langs = [], []
