@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, chat_format, decontam, embed_dedup, langid, minhash_dedup, mixing, pii, secret_scan, sharding
+from . import ann, bpe, chat_format, decontam, embed_dedup, langid, minhash_dedup, mixing, pii, secret_scan, sharding, turn_repair
 from .common import table
 
 
@@ -58,13 +58,19 @@ def op10_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score")
 
 
+def op11_persistent_audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turn_repair.Repair(turn_repair.damage(rows)).report(rows)
+
+
 def op12_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 _ALL = (op1_epsilon_grid_near_dedup, op2_perspective_rotation, op3_sliding_entropy_secrets, op4_two_pass_external_shuffle,
         op5_multi_index_minhash_dedup, op6_prefix_dp_byte_bpe, op7_weak_supervision_pii, op8_kneser_ney_language_id,
-        op9_pivotal_mixing, op10_multiprobe_search, op12_prefix_filtered_decontamination)
+        op9_pivotal_mixing, op10_multiprobe_search, op11_persistent_audit_repair,
+        op12_prefix_filtered_decontamination)
 
 
 def queries() -> dict:
