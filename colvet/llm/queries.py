@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import ann, bpe, chat_format, decontam, embed_dedup, langid, minhash_dedup, mixing, pii, secret_scan, sharding, turn_repair
+from . import ann, bpe, chat_format, decontam, embed_dedup, hard_negatives, langid, minhash_dedup, mixing, pii, secret_scan, sharding, turn_repair
 from .common import table
 
 
@@ -67,10 +67,14 @@ def op12_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hilbert_zone_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 _ALL = (op1_epsilon_grid_near_dedup, op2_perspective_rotation, op3_sliding_entropy_secrets, op4_two_pass_external_shuffle,
         op5_multi_index_minhash_dedup, op6_prefix_dp_byte_bpe, op7_weak_supervision_pii, op8_kneser_ney_language_id,
         op9_pivotal_mixing, op10_multiprobe_search, op11_persistent_audit_repair,
-        op12_prefix_filtered_decontamination)
+        op12_prefix_filtered_decontamination, op13_hilbert_zone_hard_negatives)
 
 
 def queries() -> dict:
@@ -84,4 +88,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_perspective_rotation": chat_format.ORACLE, "op12_prefix_filtered_decontamination": decontam.ORACLE}
+    return {"op2_perspective_rotation": chat_format.ORACLE, "op12_prefix_filtered_decontamination": decontam.ORACLE,
+            "op13_hilbert_zone_hard_negatives": hard_negatives.ORACLE}
