@@ -14,7 +14,8 @@ leftmost comes first).
 Text is cut by the pattern first; each match is encoded on its own. Between a
 character that is not white space and one that is there is always a cut, so
 chunks (white space, then text) are encoded once per worker and remembered in
-a table of bounded size.
+tables of bounded size. A full table becomes the old generation: what is asked
+for again moves to the new one, the rest goes when that is full in its turn.
 
 Defined results: a null or empty text has no ids, and decodes to nothing.
 Extra columns are ignored; repeated rows stay; an empty table gives an empty
@@ -34,8 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, map_texts, texts
 
-#: Chunks that a worker remembers at most.
-REMEMBERED = 200_000
+#: Bytes (about) that a worker's memory of chunks, of pieces and of token pairs
+#: each hold per generation.
+REMEMBERED = 96 << 20
+#: What an entry costs beside its texts.
+ENTRY = 200
 _NEVER = 1 << 60
 
 
@@ -54,6 +58,7 @@ class Vocabulary:
         self.starts = {t[:n]: -1 for t in ranks for n in range(1, len(t))} | ranks
         self._ends: dict = {}
         self._follows: dict = {}
+        self._followed: dict = {}
 
     def merge(self, piece: bytes) -> tuple:
         """Merge ``piece`` by rank. Returns ``(parts, lefts, rights)``; lefts and rights
@@ -89,9 +94,12 @@ class Vocabulary:
         key = (left << 32) | right
         ok = self._follows.get(key)
         if ok is None:
-            b = self.ends(right)
-            ok = bool(b) if left < 0 else bool(b) and bool(self.ends(left)) and self._apart(self.ends(left)[1], b[0])
-            if len(self._follows) > REMEMBERED:
+            ok = self._followed.get(key)
+            if ok is None:
+                b = self.ends(right)
+                ok = bool(b) if left < 0 else bool(b) and bool(self.ends(left)) and self._apart(self.ends(left)[1], b[0])
+            if len(self._follows) * ENTRY > REMEMBERED:
+                self._followed = dict(self._follows)
                 self._follows.clear()
             self._follows[key] = ok
         return ok
@@ -128,16 +136,21 @@ class Prefixes:
         v, last, size = self.vocab, self.last, len(self.piece)
         starts, known, follows = v.starts, v._follows, v.follows
         last += [None] * (size - done)
-        # tokens that cross the old end start at places before it
-        reach = _longest(v)
-        for at in range(max(0, done - reach + 1), size):
+        # tokens that cross the old end start at places before it; ``open_at`` is the first
+        # prefix without a last token: what ends before it is settled
+        open_at = done + 1
+        for at in range(max(0, done - _longest(v) + 1), size):
+            while open_at <= size and last[open_at] is not None:
+                open_at += 1
+            if open_at > size:
+                break
             left = last[at]
             high = left << 32
-            for end in range(at + 1, size + 1):
+            for end in range(open_at if open_at > at else at + 1, size + 1):
                 token = starts.get(piece[at:end])
                 if token is None:
                     break
-                if token >= 0 and end > done and last[end] is None:
+                if token >= 0 and last[end] is None:
                     ok = known.get(high | token)
                     if ok or ok is None and follows(left, token):
                         last[end] = token
@@ -166,17 +179,23 @@ def _longest(v: Vocabulary) -> int:
 
 
 class _Memo(dict):
-    """``make(key)``, remembered for the last up to REMEMBERED short keys."""
+    """``make(key)``, remembered for short keys in two generations of about REMEMBERED bytes."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.old: dict = {}
+        self.held = 0
 
     def __missing__(self, key):
-        got = self.make(key)
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
         if len(key) <= 64:
-            if len(self) >= REMEMBERED:
+            if self.held > REMEMBERED:
+                self.old, self.held = dict(self), 0
                 self.clear()
+            self.held += ENTRY + len(key) + len(got)
             self[key] = got
         return got
 
