@@ -8,9 +8,8 @@ aggregation absorbs a hot key) and then to the size histogram.
 Purity null mean, exact: a multi-row group of size n is pure under a shuffle
 of N labels with K positives with probability
 ``[C(N-K, n) + C(K, n)] / C(N, n)``; the mean over groups needs only the size
-histogram. The quantile and p-value still need draws: each draw is a
-multivariate hypergeometric assignment of positives to groups, done per size
-class from the histogram.
+histogram. The quantile and p-value still need draws: every draw deals the
+positives down a tree over the size histogram, whose leaves deal to groups.
 """
 
 from __future__ import annotations
@@ -19,14 +18,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.sampling import hypergeometric, multivariate_hypergeometric
 from ..functions.columns import day_of
 from ..operators.binning import type7_quantiles
 from ..plans.cumulative import cumulative
+from ..plans.dealing import deal, marked_places, seeded
+from ..session import cut_lineage
 from .forensic import gini_from_histogram
 
 
@@ -103,89 +103,78 @@ def purity_null_mean(g: DataFrame) -> DataFrame:
     return h.agg((F.sum(F.col("m") * F.col("p")) / F.sum("m")).alias("null_mean"))
 
 
-#: Rows of equal groups that are dealt out at once.
-DEAL_ROWS = 1 << 20
+#: Rows of equal groups that one leaf of the dealing tree holds (a larger group is a leaf of its own).
+LEAF_ROWS = 16384
+#: Draws that a leaf handles at once.
+DRAWS_AT_ONCE = 32
 
 
-def _pure_groups(size: int, groups: int, positives: int, rng) -> int:
-    """Pure ones among ``groups`` equal groups over which ``positives`` are dealt: the
-    groups are halved, with a draw of the positives in each half, until a part
-    is small; memory does not grow with their number."""
-    pure, todo = 0, [(groups, positives)]
-    while todo:
-        m, k = todo.pop()
-        if k == 0 or k == size * m:
-            pure += m
-        elif m > 1 and size * m > DEAL_ROWS:
-            half = m // 2
-            part = hypergeometric(half * size, (m - half) * size, k, rng)
-            todo += [(half, part), (m - half, k - part)]
-        elif m > 1:
-            alloc = rng.multivariate_hypergeometric(np.full(m, size), k, method="marginals")
-            pure += int(np.count_nonzero((alloc == 0) | (alloc == size)))
-    return pure
+def _leaves(g: DataFrame, key: str) -> DataFrame:
+    """``(key, leaf, size, groups, rows)``: groups of one size, up to LEAF_ROWS rows of them to a leaf;
+    the groups of one row, which are not judged, are leaf 0."""
+    hist = g.groupBy(key, F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("m"))
+    per = F.greatest(F.lit(1), F.floor(F.lit(LEAF_ROWS) / F.col("size"))).cast("long")
+    multi = hist.where("size > 1").withColumn("per", per).withColumn("parts", F.ceil(F.col("m") / F.col("per")).cast("long"))
+    # one row per distinct size: at most the square root of twice the rows
+    first = F.sum("parts").over(Window.partitionBy(key).orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    multi = multi.withColumn("first", F.coalesce(first, F.lit(0))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    groups = F.least(F.col("per"), F.col("m") - F.col("part") * F.col("per"))
+    leaves = multi.select(key, (1 + F.col("first") + F.col("part")).alias("leaf"), "size", groups.alias("groups"), (groups * F.col("size")).alias("rows"))
+    single = hist.where("size = 1").select(key, F.lit(0).cast("long").alias("leaf"), "size", F.lit(0).cast("long").alias("groups"), F.col("m").alias("rows"))
+    return leaves.unionByName(single)
 
 
-def _draw_pure_shares(sizes: np.ndarray, counts: np.ndarray, K: int, draws: int, seed: int) -> np.ndarray:
-    """Pure share of multi-row groups for ``draws`` label shuffles.
-
-    Positives are dealt to size classes (multivariate hypergeometric over the
-    class row totals), then within a class to its equal-sized groups.
-    """
-    rng = np.random.default_rng(seed)
-    totals = sizes * counts
-    multi = sizes > 1
-    n_multi = counts[multi].sum()
-    out = np.empty(draws)
-    for d in range(draws):
-        per_class = multivariate_hypergeometric(totals, K, 1, rng)[0]
-        pure = 0
-        for s, m, k in zip(sizes[multi], counts[multi], per_class[multi]):
-            pure += _pure_groups(int(s), int(m), int(k), rng)
-        out[d] = pure / n_multi if n_multi else np.nan
-    return out
-
-
-def purity_null_draws(g: DataFrame, draws: int = 200, seed: int = 0, batches: int = 8) -> DataFrame:
-    """q99 and one-sided p of the observed pure share against label shuffles.
-
-    The size histogram (one row per distinct size) is what every draw needs;
-    batches of draws run as separate tasks, each with its own seed stream.
-    """
-    spark = g.sparkSession
-    hist = g.groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("m"),
-                                                    F.sum("pos").alias("pos"))
-    packed = hist.agg(F.collect_list(F.struct("size", "m")).alias("h"), F.sum("pos").alias("K"))
-    per_batch = -(-draws // batches)
-    jobs = packed.select("h", "K", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            h = r["h"]
-            sizes = np.array([int(x["size"]) for x in h], dtype=np.int64)
-            counts = np.array([int(x["m"]) for x in h], dtype=np.int64)
-            b = int(r["batch"])
-            n = min(per_batch, draws - b * per_batch)
-            if n <= 0:
-                continue
-            vals = _draw_pure_shares(sizes, counts, int(r["K"]), n, seed * 1_000_003 + b)
-            rows.extend((b, float(v)) for v in vals)
-        return pd.DataFrame(rows, columns=["batch", "share"])
-
-    return jobs.groupBy("batch").applyInPandas(run, "batch long, share double")
+def _pure_in_leaf(size: int, groups: int, got: np.ndarray, rng) -> np.ndarray:
+    """Pure ones among equal groups, per draw of ``got`` positives over their rows."""
+    if groups == 1:
+        return ((got == 0) | (got == size)).astype(np.int64)
+    out = []
+    for lo in range(0, len(got), DRAWS_AT_ONCE):
+        pos = marked_places(size * groups, got[lo:lo + DRAWS_AT_ONCE], rng).reshape(-1, groups, size).sum(axis=2)
+        out.append(((pos == 0) | (pos == size)).sum(axis=1))
+    return np.concatenate(out)
+
+
+def purity_null_draws(g: DataFrame, draws: int = 200, seed: int = 0, key: str = "candidate") -> DataFrame:
+    """``(key, draw, share)``: pure share of multi-row groups under label shuffles, for every
+    ``key`` of ``g`` (key, n, pos) at once. Positives are dealt down a tree of equal-sized
+    groups (``plans/dealing.py``); a leaf deals its own to single groups."""
+    leaves = cut_lineage(_leaves(g, key))
+    marked = g.groupBy(key).agg(F.sum("pos").alias("marked"))
+    dealt = deal(leaves.select(key, "leaf", "rows"), marked, draws, seed, key)
+    each = leaves.where("groups > 0").select(F.col(key).alias("of"), F.col("leaf").alias("at"), "size", "groups").join(
+        dealt, (F.col("of") == F.col(key)) & (F.col("at") == F.col("leaf")))
+
+    def run(batches):
+        for pdf in batches:
+            parts = [pd.DataFrame({key: k, "draw": np.arange(draws), "pure": _pure_in_leaf(
+                int(s), int(m), np.asarray(got, np.int64), seeded(seed, k, 2**32 - 1, int(at)))})
+                for k, at, s, m, got in zip(pdf[key], pdf["at"], pdf["size"], pdf["groups"], pdf["got"])]
+            if parts:
+                yield pd.concat(parts)
+
+    kind = g.schema[key].dataType.simpleString()
+    pure = each.select(key, "at", "size", "groups", "got").mapInPandas(run, f"{key} {kind}, draw int, pure long")
+    total = g.where("n > 1").groupBy(key).agg(F.count(F.lit(1)).alias("multi"))
+    return pure.groupBy(key, "draw").agg(F.sum("pure").alias("pure")).join(total, key).select(key, "draw", (F.col("pure") / F.col("multi")).alias("share"))
+
+
+def purity_p_values(g: DataFrame, draws: int = 200, seed: int = 0, key: str = "candidate") -> DataFrame:
+    """``(key, pure_share, null_q99, p_value)``: observed pure share, 99 % quantile of the shuffles and
+    one-sided p ``(1 + #{null >= observed}) / (B + 1)``."""
+    pure = (F.col("pos") == 0) | (F.col("pos") == F.col("n"))
+    obs = g.where(F.col("n") > 1).groupBy(key).agg(F.avg(pure.cast("double")).alias("pure_share"))
+    d = purity_null_draws(g, draws, seed, key).join(obs, key)
+    ge = F.count(F.when(F.col("share") >= F.col("pure_share"), 1))
+    null = d.groupBy(key).agg(F.percentile("share", 0.99).alias("null_q99"), ((1 + ge) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    return obs.join(null, key, "left")
 
 
 def purity_null(g: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
-    obs = purity(g).withColumn("_one", F.lit(1))
+    """Observed pure share, exact null mean, q99 and p-value of one key's groups."""
+    one = purity_p_values(g.withColumn("candidate", F.lit("key")), draws, seed).withColumn("_one", F.lit(1))
     mean = purity_null_mean(g).withColumn("_one", F.lit(1))
-    d = purity_null_draws(g, draws, seed)
-    dn = d.agg(F.count(F.lit(1)).alias("B"), F.percentile(F.col("share"), 0.99).alias("null_q99"),
-               F.collect_list("share").alias("_all")).withColumn("_one", F.lit(1))
-    j = obs.join(mean, "_one").join(dn, "_one")
-    ge = F.size(F.filter("_all", lambda s: s >= F.col("pure_share")))
-    return j.select("pure_share", "null_mean", "null_q99",
-                    ((1 + ge) / (F.col("B") + 1)).alias("p_value"))
+    return one.join(mean, "_one").select("pure_share", "null_mean", "null_q99", "p_value")
 
 
 def coverage(frame: DataFrame, uid, time: str) -> DataFrame:
@@ -265,8 +254,9 @@ def history_share(frame: DataFrame, uid, time: str, id_col: str) -> DataFrame:
 
 
 def compare_keys(frame: DataFrame, candidates: dict, label: str, time: str,
-                 with_draws: bool = False, draws: int = 100) -> DataFrame:
-    """Candidate keys side by side, lift of purity over the exact null mean.
+                 draws: int = 0) -> DataFrame:
+    """Candidate keys side by side, lift of purity over the exact null mean; with
+    ``draws`` label shuffles also the null's 99 % quantile and the p-value.
 
     One pass over the rows for every candidate: each row yields one
     (candidate, key) pair per candidate, reduced at once to one row per entity
@@ -274,7 +264,6 @@ def compare_keys(frame: DataFrame, candidates: dict, label: str, time: str,
     folder. Purity, the null mean, Gini and the medians are then computed with
     the candidate as a group key.
     """
-    from ..session import cut_lineage
     names = list(candidates)
     pairs = F.array(*[F.struct(F.lit(n).alias("candidate"),
                                entity_uid(candidates[n][0], candidates[n][1], time).alias("uid"))
@@ -318,11 +307,6 @@ def compare_keys(frame: DataFrame, candidates: dict, label: str, time: str,
                  F.col("entities").cast("long").alias("entities"), "median_size", "singleton_share", "gini",
                  "median_span_days", "pure_share", "null_mean",
                  (F.col("pure_share") - F.col("null_mean")).alias("lift_over_null"))
-    if with_draws:
-        extra = None
-        for i, n in enumerate(names):
-            gi = g.where(F.col("candidate") == n).select("uid", "n", "pos")
-            pn = purity_null(gi, draws, seed=i + 1).select(F.lit(n).alias("candidate"), "null_q99", "p_value")
-            extra = pn if extra is None else extra.unionByName(pn)
-        r = r.join(extra, "candidate", "left")
+    if draws:
+        r = r.join(purity_p_values(g.select("candidate", "n", "pos"), draws).drop("pure_share"), "candidate", "left")
     return r

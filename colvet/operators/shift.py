@@ -7,24 +7,28 @@ multivariate hypergeometric of the bin counts -- a group of at most
 from the feature name, so features run in parallel and results do not depend
 on column order.
 
-The joint (energy) test and the marginal AD / CvM tests work on a hashed
-sample of each window -- the sampling is part of those tests' definition
-(their power is set by the sample size) -- and spread the permutation work
-over tasks.
+The joint (energy) test and the marginal AD / CvM tests read every row of both
+windows, and so do their permutations: AD and CvM deal the early rows down a
+tree of value ranges (``plans/dealing.py``), the energy test relabels rows by
+keyed permutations along sorted projections.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.permutation import position
+from ..functions.sampling import multivariate_hypergeometric
 from ..plans.cumulative import cumulative
+from ..plans.dealing import deal, marked_places, seeded
 from ..policy import PSI_EPS, DSPolicy
-from ..functions.sampling import multivariate_hypergeometric
 from ..session import cut_lineage
 from . import rank as R
 from . import woe as W
@@ -149,74 +153,144 @@ def noise_floor(report: DataFrame, policy: DSPolicy = DSPolicy()) -> DataFrame:
                       F.max("psi").alias("max_psi"))
 
 
-# ---------------------------------------------------------------- samples ---
+# ------------------------------------------------------------- whole tables ---
 def hashed_sample(frame: DataFrame, id_col: str, n_sub: int, seed: int = 0) -> DataFrame:
     """The ``n_sub`` rows with the smallest seeded hash of their id: a fixed-size
     sample independent of row order (top-k, bounded by ``n_sub``)."""
     return frame.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n_sub)
 
 
-def energy_test(fw: DataFrame, columns, id_col: str, n_sub: int = 1500, perms: int = 199,
-                seed: int = 0, block_rows: int = 256) -> DataFrame:
-    """Energy two-sample test of early vs late on complete rows, standardised
-    on the early sample; permutation p ``(1 + #{E* >= E}) / (R + 1)``.
+#: Rows of one sorted piece of a projection.
+RUN_ROWS = 4096
+
+
+def directions(d: int, many: int, seed: int) -> np.ndarray:
+    """``many`` random unit vectors of length ``d`` (one, and no choice, in one dimension)."""
+    if d == 1:
+        return np.ones((1, 1))
+    v = np.random.default_rng([seed, d]).standard_normal((many, d))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _numbered(rows: DataFrame, order) -> DataFrame:
+    """``rows`` with ``idx`` = 0, 1, ... in the given order (range partitions and an offset each)."""
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    at = cut_lineage(at)
+    part = F.shiftright("at", 33)
+    sizes = at.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per partition
+    first = sizes.select("part", F.coalesce(before, F.lit(0)).alias("first"))
+    return at.join(F.broadcast(first), part == F.col("part")).withColumn(
+        "idx", F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "first")
+
+
+def _projected(rows: DataFrame, axes: np.ndarray, n: int, total: int, perms: int, seed: int) -> DataFrame:
+    """``(k, v, early)`` per row and direction; ``early`` packs one bit per labelling: the
+    given windows first, then ``perms`` keyed permutations of them."""
+    keys = np.random.default_rng([seed, perms]).integers(0, 2**63, perms)
+
+    def run(batches):
+        for pdf in batches:
+            z, idx = np.array(pdf["z"].tolist(), float).reshape(len(pdf), -1), pdf["idx"].to_numpy()
+            marks = np.vstack([pdf["early"].to_numpy(bool)[None], *(position(idx, total, int(key))[None] < n for key in keys)])
+            bits = [b.tobytes() for b in np.packbits(marks, axis=0).T]
+            for k, axis in enumerate(axes):
+                yield pd.DataFrame({"k": k, "v": z @ axis, "early": bits})
+
+    return rows.select("idx", "early", "z").mapInPandas(run, "k int, v double, early binary")
+
+
+_RUN = "k int, run long, rows int, first double, vs binary, bits binary"
+
+
+def _runs(projected: DataFrame) -> DataFrame:
+    """The projections in order, ``RUN_ROWS`` rows to a row."""
+    def run(batches):
+        number, k_now, held = TaskContext.get().partitionId() << 32, None, []
+
+        def flush():
+            v, bits = zip(*held)
+            return pd.DataFrame([(k_now, number, len(v), v[0], np.array(v).tobytes(), b"".join(bits))],
+                                columns=["k", "run", "rows", "first", "vs", "bits"])
+
+        for pdf in batches:
+            for k, v, e in zip(pdf["k"].tolist(), pdf["v"].tolist(), pdf["early"].tolist()):
+                if held and (k != k_now or len(held) >= RUN_ROWS):
+                    yield flush()
+                    number, held = number + 1, []
+                k_now = k
+                held.append((v, e))
+        if held:
+            yield flush()
+
+    return projected.repartitionByRange("k", "v").sortWithinPartitions("k", "v").mapInPandas(run, _RUN)
 
-    The pooled sample (at most 2 x ``n_sub`` rows, a bound set by the test)
-    is broadcast; each task takes a block of rows, computes their distances to
-    all rows and the three within/between sums under every permutation at
-    once (a matrix product with the label vectors); partial sums are added.
+
+def _labels(bits: bytes, rows: int, many: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8).reshape(rows, -1), axis=1)[:, :many]
+
+
+def energy_test(fw: DataFrame, columns, id_col: str, many: int = 16, perms: int = 199, seed: int = 0) -> DataFrame:
+    """Energy two-sample test of early vs late on every complete row, standardised on
+    the early window; permutation p ``(1 + #{E* >= E}) / (R + 1)``.
+
+    Sliced: the energy distance is, up to a constant of the dimension, the mean over
+    directions of the one-dimensional one, ``2nm/N`` times the integral of (F - G)**2,
+    which sorted runs and counts before each run give without pairs. ``many`` random
+    directions estimate that mean; in one dimension it is exact. A permutation
+    relabels whole rows, the same way in every direction.
     """
     spark = fw.sparkSession
     cols = list(columns)
-    complete = fw.where(F.col("window").isin("early", "late"))
+    both = fw.where(F.col("window").isin("early", "late"))
     for c in cols:
-        complete = complete.where(F.col(c).isNotNull())
-    ref = hashed_sample(complete.where(F.col("window") == "early"), id_col, n_sub, seed)
-    cur = hashed_sample(complete.where(F.col("window") == "late"), id_col, n_sub, seed)
-    ref_rows = ref.select(*[F.col(c).cast("double") for c in cols]).collect()
-    cur_rows = cur.select(*[F.col(c).cast("double") for c in cols]).collect()
-    n, m = len(ref_rows), len(cur_rows)
+        both = both.where(F.col(c).isNotNull())
+    early = F.col("window") == "early"
+    stats = both.agg(F.count(F.when(early, 1)).alias("n"), F.count(F.when(~early, 1)).alias("m"),
+                     *[f(F.when(early, F.col(c).cast("double"))).alias(f"{name}{i}") for i, c in enumerate(cols)
+                       for name, f in (("mean", F.avg), ("sd", F.stddev_samp))]).first()
+    n, m = stats["n"], stats["m"]
     if n < 50 or m < 50:
-        return spark.createDataFrame([(None, None, n, m)],
-                                     "statistic double, p_value double, n_ref long, n_cur long")
-    a = np.array(ref_rows, dtype=float)
-    b = np.array(cur_rows, dtype=float)
-    centre = a.mean(axis=0)
-    scale = a.std(axis=0, ddof=1)
-    scale[(scale == 0) | ~np.isfinite(scale)] = 1.0
-    z = np.vstack([(a - centre) / scale, (b - centre) / scale])
-    N = n + m
-    rng = np.random.default_rng(seed)
-    labels = np.zeros((N, perms + 1), dtype=np.float32)
-    labels[:n, 0] = 1.0
-    for r in range(1, perms + 1):
-        labels[rng.permutation(N)[:n], r] = 1.0
-    bz = spark.sparkContext.broadcast(z)
-    bl = spark.sparkContext.broadcast(labels)
-    nblocks = -(-N // block_rows)
-
-    def part(it):
-        zz, gx = bz.value, bl.value
-        gy = 1.0 - gx
-        for pdf in it:
-            for blk in pdf["id"].tolist():
-                lo, hi = blk * block_rows, min(N, (blk + 1) * block_rows)
-                d = np.sqrt(((zz[lo:hi, None, :] - zz[None, :, :]) ** 2).sum(-1))
-                dx, dy = d @ gx, d @ gy           # (rows, perms): distances to X / Y
-                sxy = (gx[lo:hi] * dy).sum(0)
-                sxx = (gx[lo:hi] * dx).sum(0)
-                syy = (gy[lo:hi] * dy).sum(0)
-                yield pd.DataFrame({"perm": np.arange(perms + 1), "sxy": sxy, "sxx": sxx, "syy": syy})
-
-    blocks = spark.range(nblocks).repartition(min(nblocks, 64))
-    parts = blocks.mapInPandas(part, "perm long, sxy double, sxx double, syy double")
-    tot = parts.groupBy("perm").agg(F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
-    e = tot.select("perm", (F.lit(n * m / N) * (F.lit(2.0 / (n * m)) * F.col("sxy")
-                                                - F.col("sxx") / F.lit(n * n) - F.col("syy") / F.lit(m * m))).alias("e"))
-    obs = e.where(F.col("perm") == 0).select(F.col("e").alias("statistic"), F.lit(1).alias("_one"))
-    null = e.where(F.col("perm") > 0).withColumn("_one", F.lit(1))
-    j = null.join(obs, "_one").agg(F.first("statistic").alias("statistic"),
-                                   F.count(F.when(F.col("e") >= F.col("statistic"), F.lit(1))).alias("ge"))
+        return spark.createDataFrame([(None, None, n, m)], "statistic double, p_value double, n_ref long, n_cur long")
+    scale = [s if s and math.isfinite(s) else 1.0 for s in (stats[f"sd{i}"] for i in range(len(cols)))]
+    z = F.array(*[(F.col(c).cast("double") - F.lit(stats[f"mean{i}"])) / F.lit(scale[i]) for i, c in enumerate(cols)])
+    rows = both.select(early.alias("early"), z.alias("z"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), F.col(id_col).alias("id"))
+    axes = directions(len(cols), many, seed)
+    runs = cut_lineage(_runs(_projected(_numbered(rows, ["h", "id"]), axes, n, n + m, perms, seed)))
+
+    def counted(batches):
+        for pdf in batches:
+            got = [_labels(b, r, perms + 1).sum(0, dtype=np.int64) for b, r in zip(pdf["bits"], pdf["rows"])]
+            yield pd.DataFrame({"k": np.repeat(pdf["k"].to_numpy(), perms + 1), "run": np.repeat(pdf["run"].to_numpy(), perms + 1),
+                                "perm": np.tile(np.arange(perms + 1), len(pdf)), "got": np.concatenate(got)})
+
+    counts = runs.select("k", "run", "rows", "bits").mapInPandas(counted, "k int, run long, perm int, got long")
+    upto = Window.partitionBy("k", "perm").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = (counts.select("k", "run", "perm", F.coalesce(F.sum("got").over(upto), F.lit(0)).alias("before"))
+                    .groupBy("k", "run").agg(F.sort_array(F.collect_list(F.struct("perm", "before"))).alias("before")))
+    along = Window.partitionBy("k").orderBy("run")
+    places = runs.select("k", "run", F.lead("first").over(along).alias("after"), F.coalesce(
+        F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
+    factor = 2.0 * n * m / (n + m) * math.sqrt(math.pi) * math.exp(math.lgamma((len(cols) + 1) / 2) - math.lgamma(len(cols) / 2)) / len(axes)
+
+    def partial(batches):
+        total = np.zeros(perms + 1)
+        for pdf in batches:
+            for vs, bits, r, start, upto_run, after in zip(pdf["vs"], pdf["bits"], pdf["rows"], pdf["rows_before"], pdf["before"], pdf["after"]):
+                v = np.frombuffer(vs)
+                gap = np.diff(np.append(v, v[-1] if after is None or np.isnan(after) else after))
+                e = np.cumsum(_labels(bits, r, perms + 1), axis=0, dtype=np.int64) + np.asarray(upto_run, np.int64)
+                place = np.arange(start + 1, start + r + 1)[:, None]
+                total += gap @ (e / n - (place - e) / m) ** 2
+        yield pd.DataFrame({"perm": np.arange(perms + 1), "part": total})
+
+    joined = (runs.join(before, ["k", "run"]).join(places, ["k", "run"])
+                  .select("vs", "bits", "rows", "rows_before", F.col("before.before").alias("before"), "after"))
+    e = joined.mapInPandas(partial, "perm int, part double").groupBy("perm").agg((F.sum("part") * F.lit(factor)).alias("e"))
+    obs = e.where("perm = 0").select(F.col("e").alias("statistic"), F.lit(1).alias("_one"))
+    # the same labelling summed in another order must not count as smaller
+    ge = F.count(F.when(F.col("e") >= F.col("statistic") * (1 - 1e-12), 1))
+    j = e.where("perm > 0").withColumn("_one", F.lit(1)).join(obs, "_one").agg(F.first("statistic").alias("statistic"), ge.alias("ge"))
     return j.select("statistic", ((1 + F.col("ge")) / F.lit(perms + 1.0)).alias("p_value"),
                     F.lit(n).cast("long").alias("n_ref"), F.lit(m).cast("long").alias("n_cur"))
 
@@ -241,38 +315,84 @@ def _ecdf_stats(a: np.ndarray, b: np.ndarray, power: float = 2.0):
     return ad, cvm
 
 
-def marginal_tests(fw: DataFrame, columns, id_col: str, n_sub: int = 5000, nboot: int = 500,
-                   seed: int = 0) -> DataFrame:
-    """AD and CvM two-sample permutation tests on a hashed sample per window
-    (``n_sub`` rows each, the tests' own sample size), one task per column."""
-    longv = fw.select(id_col, "window", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])))
-    longv = longv.where(F.col("x").isNotNull())
-    w = Window.partitionBy("feature", "window").orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col))
-    samp = longv.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= n_sub)
+#: Rows of a leaf of the tree that the permutations deal down (a heavier value is a leaf of its own).
+LEAF_ROWS = 8192
+#: Draws that a leaf handles at once.
+DRAWS_AT_ONCE = 64
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["feature"].iloc[0]
-        a = pdf.loc[pdf["window"] == "early", "x"].to_numpy(float)
-        b = pdf.loc[pdf["window"] == "late", "x"].to_numpy(float)
-        if len(a) < 50 or len(b) < 50 or len(np.unique(np.r_[a, b])) < 3:
-            return pd.DataFrame({"column": [name], "ad_stat": [None], "ad_p": [None],
-                                 "cvm_stat": [None], "cvm_p": [None]})
-        ad0, cvm0 = _ecdf_stats(a, b)
-        rng = np.random.default_rng(seed_of(name, seed))
-        x = np.r_[a, b]
-        ge_ad = ge_cvm = 0
-        for _ in range(nboot):
-            p = rng.permutation(len(x))
-            ad, cvm = _ecdf_stats(x[p[:len(a)]], x[p[len(a):]])
-            ge_ad += ad >= ad0
-            ge_cvm += cvm >= cvm0
-        return pd.DataFrame({"column": [name], "ad_stat": [ad0], "ad_p": [(1 + ge_ad) / (nboot + 1)],
-                             "cvm_stat": [cvm0], "cvm_p": [(1 + ge_cvm) / (nboot + 1)]})
-
-    schema = "column string, ad_stat double, ad_p double, cvm_stat double, cvm_p double"
-    out = cut_lineage(samp.select("feature", "window", "x").groupBy("feature").applyInPandas(run, schema))
-    out = R.bh_adjust(out, "ad_p", "ad_p_bh")
+
+def value_counts_by_window(values: DataFrame, columns) -> DataFrame:
+    """``(feature, vnum, a, b)``: early and late rows per distinct value, with cumulative sums."""
+    v = (values.where(F.col("feature").isin(list(columns)) & F.col("vnum").isNotNull())
+               .groupBy("feature", "vnum")
+               .agg(F.sum(F.when(F.col("window") == "early", F.col("n")).otherwise(0)).alias("a"),
+                    F.sum(F.when(F.col("window") == "late", F.col("n")).otherwise(0)).alias("b")))
+    return cumulative(v, ["feature"], "vnum", ["a", "b"])
+
+
+def _leaf_stats(pdf: pd.DataFrame, got: np.ndarray, before: np.ndarray, rng) -> tuple:
+    """AD and CvM sums over one leaf's values: the observed windows, then every draw."""
+    pdf = pdf.sort_values("vnum")
+    c = (pdf["a"] + pdf["b"]).to_numpy(np.int64)
+    n_a, n_b = int(pdf["a_total"].iloc[0]), int(pdf["b_total"].iloc[0])
+    rows = int(pdf["a_below"].iloc[0] + pdf["b_below"].iloc[0]) + np.cumsum(c)
+    e = rows / (n_a + n_b)
+    weight = np.where((e > 0) & (e < 1), 1 / np.where((e > 0) & (e < 1), e * (1 - e), 1.0), 0.0)
+
+    def stats(early):
+        h = (early / n_a - (rows - early) / n_b) ** 2 * c
+        return h @ weight, h.sum(axis=1)
+
+    out = [stats((pdf["a_below"] + pdf["a"]).to_numpy(np.int64)[None, :])]
+    starts = np.concatenate(([0], np.cumsum(c)[:-1]))
+    for lo in range(0, len(got), DRAWS_AT_ONCE):
+        k, b = got[lo:lo + DRAWS_AT_ONCE], before[lo:lo + DRAWS_AT_ONCE]
+        if len(c) == 1:
+            inside = k[:, None]
+        else:
+            inside = np.cumsum(np.add.reduceat(marked_places(int(c.sum()), k, rng), starts, axis=1, dtype=np.int64), axis=1)
+        out.append(stats(b[:, None] + inside))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def marginal_tests(values: DataFrame, columns, nboot: int = 500, seed: int = 0) -> DataFrame:
+    """Two-sample AD and CvM statistics over every row, their permutation p-values
+    ``(1 + #{null >= stat}) / (B + 1)`` and Cliff's delta, per column; BH over columns.
+
+    A permutation re-deals the early rows over the pooled, ordered values: down the
+    tree to leaves of about LEAF_ROWS rows, inside a leaf to its values. Null
+    where a window has fewer than 50 values or there are fewer than 3 distinct ones.
+    """
+    c = cut_lineage(value_counts_by_window(values, columns))
+    rows = F.col("a") + F.col("b")
+    below = F.col("a_below") + F.col("b_below")
+    c = c.withColumn("leaf", 2 * F.floor(below / LEAF_ROWS).cast("long") + F.when(rows > LEAF_ROWS, 1).otherwise(0))
+    size = c.groupBy("feature").agg(F.first("a_total").alias("marked"), F.first("b_total").alias("others"), F.count(F.lit(1)).alias("distinct"))
+    ok = size.where((F.col("marked") >= 50) & (F.col("others") >= 50) & (F.col("distinct") >= 3))
+    dealt = deal(c.groupBy("feature", "leaf").agg(F.sum(rows).alias("rows")), ok, nboot, seed)
+
+    def run(vals: pd.DataFrame, leaf: pd.DataFrame) -> pd.DataFrame:
+        if leaf.empty or vals.empty:
+            return pd.DataFrame(columns=["feature", "draw", "ad", "cvm"])
+        name, at = leaf["feature"].iloc[0], int(leaf["leaf"].iloc[0])
+        ad, cvm = _leaf_stats(vals, np.asarray(leaf["got"].iloc[0], np.int64), np.asarray(leaf["before"].iloc[0], np.int64),
+                              seeded(seed, name, -1 % 2**32, at))
+        return pd.DataFrame({"feature": name, "draw": np.arange(len(ad)), "ad": ad, "cvm": cvm})
+
+    vals = c.select(F.col("feature").alias("of"), F.col("leaf").alias("at"), "vnum", "a", "b", "a_below", "b_below", "a_total", "b_total")
+    parts = vals.groupBy("of", "at").cogroup(dealt.groupBy("feature", "leaf")).applyInPandas(
+        run, "feature string, draw int, ad double, cvm double")
+    sums = cut_lineage(parts.groupBy("feature", "draw").agg(F.sum("ad").alias("ad"), F.sum("cvm").alias("cvm")))
+    obs = sums.where("draw = 0").select("feature", F.col("ad").alias("ad_stat"), F.col("cvm").alias("cvm_stat"))
+    # the same split summed in another order must not count as smaller
+    p = [((1 + F.count(F.when(F.col(k) >= F.col(f"{k}_stat") * (1 - 1e-12), 1))) / F.lit(nboot + 1.0)).alias(f"{k}_p") for k in ("ad", "cvm")]
+    tests = sums.where("draw > 0").join(obs, "feature").groupBy("feature", "ad_stat", "cvm_stat").agg(*p)
+    delta = R.cliffs_delta(values.where(F.col("feature").isin(list(columns)))).select("feature", "cliffs_delta")
+    out = (size.select("feature", F.col("marked").alias("n_ref"), F.col("others").alias("n_cur"))
+               .join(tests, "feature", "left").join(delta, "feature", "left")
+               .select(F.col("feature").alias("column"), "n_ref", "n_cur", "ad_stat", "ad_p", "cvm_stat", "cvm_p",
+                       F.when(F.col("ad_stat").isNotNull(), F.col("cliffs_delta")).alias("cliffs_delta")))
+    out = R.bh_adjust(cut_lineage(out), "ad_p", "ad_p_bh")
     return R.bh_adjust(out, "cvm_p", "cvm_p_bh")
 
 
@@ -281,11 +401,7 @@ def ecdf_stats_all(values: DataFrame, columns) -> DataFrame:
     VALUES: per distinct value the early and late counts, their exact
     cumulative sums (bucketed plan), then |F_early - F_late|^2 weighted by the
     value's count (CvM) and also divided by E(1 - E) of the pooled ECDF (AD)."""
-    v = (values.where(F.col("feature").isin(list(columns)) & F.col("vnum").isNotNull())
-               .groupBy("feature", "vnum")
-               .agg(F.sum(F.when(F.col("window") == "early", F.col("n")).otherwise(0)).alias("a"),
-                    F.sum(F.when(F.col("window") == "late", F.col("n")).otherwise(0)).alias("b")))
-    c = cumulative(v, ["feature"], "vnum", ["a", "b"])
+    c = value_counts_by_window(values, columns)
     fa = (F.col("a_below") + F.col("a")) / F.col("a_total")
     fb = (F.col("b_below") + F.col("b")) / F.col("b_total")
     e = (F.col("a_below") + F.col("a") + F.col("b_below") + F.col("b")) / (F.col("a_total") + F.col("b_total"))

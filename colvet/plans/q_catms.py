@@ -74,9 +74,9 @@ def q_chisq(spark, sf):
 
 @register("cat_bootstrap_ci")
 def q_boot(spark, sf):
-    """V with a 95 % percentile interval from 300 multinomial cell resamples, chi-squared p."""
+    """V with a 95 % percentile interval from 500 multinomial cell resamples, chi-squared p."""
     a = prepare(spark, sf)
-    return C.bootstrap(C.contingency(a.values, EVENTS_SPEC.text), draws=300)
+    return C.bootstrap(C.contingency(a.values, EVENTS_SPEC.text), draws=500)
 
 
 @register("cat_scan")

@@ -330,6 +330,24 @@ def q_compare_keys(spark, sf):
     return E.compare_keys(early, ENTITY_KEYS, a.spec.label, a.spec.time)
 
 
+@register("en_key_p_values")
+def q_key_p_values(spark, sf):
+    """The key table with the 99 % quantile of 200 label shuffles and the p-value of every candidate key."""
+    a = prepare(spark, sf)
+    early = a.fw.where(F.col("window") == "early")
+    return E.compare_keys(early, ENTITY_KEYS, a.spec.label, a.spec.time, draws=200)
+
+
+@register("en_null_mean", sql=EARLY_SQL + _entity_cte(0, ["user_id"]) + "\nSELECT pure_share, null_mean FROM r0",
+          floats=("pure_share", "null_mean"))
+def q_en_null_mean(spark, sf):
+    """Pure share of the user key's multi-row groups and its exact mean under a label shuffle."""
+    a = prepare(spark, sf)
+    g = E.groups(a.fw.where(F.col("window") == "early"), E.entity_uid(["user_id"]), a.spec.label)
+    one = F.lit(1).alias("_one")
+    return E.purity(g).select("*", one).join(E.purity_null_mean(g).select("*", one), "_one").drop("_one")
+
+
 @register("en_groups", sql=EARLY_SQL + _entity_cte(0, ["user_id"]) + """
 SELECT (SELECT count(*) FROM cv0)::BIGINT AS groups, multi_groups, singleton_share,
        (SELECT sum(n) FROM cv0)::BIGINT AS rows_covered FROM r0""", floats=("singleton_share",))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import rank as R
 from ..operators import shift as SH
 from ..sources.frames import EVENTS_SPEC
 from . import oracle_sql as O
@@ -77,28 +80,49 @@ def q_noise_floor(spark, sf):
 
 @register("ds_energy_test")
 def q_energy(spark, sf):
-    """Energy test of the joint distribution of the always-present numeric columns."""
+    """Energy test of the joint distribution of the always-present numeric columns, over every complete row."""
+    a = prepare(spark, sf)
+    return SH.energy_test(a.fw, ["value", "k", "c_acctbal", "c_nationkey"], a.spec.id)
+
+
+NUMERIC_IN = ", ".join(f"'{f}'" for f in EVENTS_SPEC.numeric)
+
+
+@register("ds_ecdf_stats", sql=P + f""",
+ev AS (SELECT feature, vnum, sum(CASE WHEN "window" = 'early' THEN n ELSE 0 END) AS a,
+              sum(CASE WHEN "window" = 'late' THEN n ELSE 0 END) AS b
+       FROM vals WHERE vnum IS NOT NULL AND feature IN ({NUMERIC_IN}) GROUP BY ALL),
+ec AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY feature) AS na,
+              sum(b) OVER (PARTITION BY feature) AS nb
+       FROM ev WINDOW w AS (PARTITION BY feature ORDER BY vnum)),
+eh AS (SELECT feature, (ca::DOUBLE / na - cb::DOUBLE / nb) * (ca::DOUBLE / na - cb::DOUBLE / nb) * (a + b) AS h,
+              (ca + cb)::DOUBLE / (na + nb) AS e, na, nb,
+              b * ((ca - a) + a / 2.0) AS wins, na * nb AS pairs FROM ec)
+SELECT feature AS "column", sum(CASE WHEN e > 0 AND e < 1 THEN h / (e * (1 - e)) ELSE 0.0 END) AS ad_stat,
+       sum(h) AS cvm_stat, 2 * (sum(wins)::DOUBLE / max(pairs)) - 1 AS cliffs_delta
+FROM eh GROUP BY feature""", floats=("ad_stat", "cvm_stat", "cliffs_delta"))
+def q_ecdf_stats(spark, sf):
+    """Anderson-Darling and Cramer-von Mises statistics and Cliff's delta of each numeric column, over every row."""
     a = prepare(spark, sf)
-    cols = ["value", "k", "c_acctbal", "c_nationkey"]
-    return SH.energy_test(a.fw, cols, a.spec.id, n_sub=1500, perms=199)
+    cols = list(EVENTS_SPEC.numeric)
+    stats = SH.ecdf_stats_all(a.values, cols).select("feature", F.col("ad_stat_all").alias("ad_stat"), F.col("cvm_stat_all").alias("cvm_stat"))
+    delta = R.cliffs_delta(a.values.where(F.col("feature").isin(cols))).select("feature", "cliffs_delta")
+    return stats.join(delta, "feature").withColumnRenamed("feature", "column")
 
 
 def _marginal(spark, sf, kind):
     a = prepare(spark, sf)
-    cols = list(EVENTS_SPEC.numeric)
-    t = SH.marginal_tests(a.fw, cols, a.spec.id, n_sub=5000, nboot=500)
-    full = SH.ecdf_stats_all(a.values, cols).withColumnRenamed("feature", "column")
-    return t.join(full, "column", "left").select("column", f"{kind}_stat_all", f"{kind}_stat", f"{kind}_p",
-                                                 f"{kind}_p_bh")
+    return SH.marginal_tests(a.values, list(EVENTS_SPEC.numeric)).select(
+        "column", "n_ref", "n_cur", f"{kind}_stat", f"{kind}_p", f"{kind}_p_bh", "cliffs_delta")
 
 
 @register("ds_ad_test")
 def q_ad(spark, sf):
-    """Two-sample Anderson-Darling: statistic over all rows, permutation p on the hashed sample."""
+    """Two-sample Anderson-Darling: statistic and 500 permutations over every row, Cliff's delta beside them."""
     return _marginal(spark, sf, "ad")
 
 
 @register("ds_cvm_test")
 def q_cvm(spark, sf):
-    """Two-sample Cramer-von Mises: statistic over all rows, permutation p on the hashed sample."""
+    """Two-sample Cramer-von Mises: statistic and 500 permutations over every row, Cliff's delta beside them."""
     return _marginal(spark, sf, "cvm")

@@ -161,7 +161,7 @@ def test_hypergeometric_moments_at_any_size():
     from colvet.functions.sampling import hypergeometric, multivariate_hypergeometric
     rng = np.random.default_rng(3)
     for good, bad, n, draws in ((3, 5, 4, 4000), (40, 960, 100, 3000), (1_200_000_000, 800_000_000, 700_000_000, 400)):
-        x = np.array([hypergeometric(good, bad, n, rng) for _ in range(draws)], float)
+        x = hypergeometric(np.full(draws, good), bad, n, rng).astype(float)
         total, p = good + bad, good / (good + bad)
         var = n * p * (1 - p) * (total - n) / (total - 1)
         assert abs(x.mean() - n * p) < 4.5 * math.sqrt(var / draws)
@@ -172,14 +172,15 @@ def test_hypergeometric_moments_at_any_size():
 
 
 def test_pure_probability_keeps_its_precision():
-    from colvet.operators.entity import _none_of, _pure_groups
+    from colvet.operators.entity import _none_of, _pure_in_leaf
     total, marked = 10**12, 36_500_000_000
     p = 1 - marked / total
     assert abs(_none_of(2, marked, total) + _none_of(2, total - marked, total) - (p * p + (1 - p) ** 2)) < 1e-9
     assert _none_of(5, 8, 10) == 0.0 and _none_of(10**7, 10**9, 10**12) < 1e-300
     rng = np.random.default_rng(1)
-    share = np.mean([_pure_groups(2, 400_000, 400_000, rng) for _ in range(3)]) / 400_000
-    assert abs(share - 0.5) < 0.01 and _pure_groups(2, 3 * 2**20, 0, rng) == 3 * 2**20
+    share = _pure_in_leaf(2, 8192, np.full(40, 8192), rng).mean() / 8192
+    assert abs(share - 0.5) < 0.01 and _pure_in_leaf(2, 8192, np.zeros(3, int), rng).tolist() == [8192] * 3
+    assert _pure_in_leaf(10**9, 1, np.array([0, 5, 10**9]), rng).tolist() == [1, 0, 1]
 
 
 def test_full_data_ecdf_stats_match_numpy(spark):
