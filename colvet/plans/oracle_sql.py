@@ -9,7 +9,7 @@ is fine for a checker at sf0.01.
 
 from __future__ import annotations
 
-from ..sources.frames import EVENTS_SPEC, LINES_SPEC, FrameSpec
+from ..sources.frames import EVENTS_SPEC, LINES_SPEC, PLANTED_FROM, PLANTED_SPEC, FrameSpec
 
 FRAME_SQL = {
     "events": """
@@ -42,7 +42,16 @@ frame AS (
   JOIN customer c ON o.o_custkey = c.c_custkey)""",
 }
 
-SPECS = {"events": EVENTS_SPEC, "lines": LINES_SPEC}
+FRAME_SQL["planted"] = FRAME_SQL["events"].replace("frame AS (", "whole AS (", 1) + f""",
+noise AS (
+  SELECT *, (row_id * 7919 + 13) % 1009 / 1009.0::DOUBLE AS u1, (row_id * 104729 + 7) % 997 / 997.0::DOUBLE AS u2,
+         (row_id * 15485863 + 3) % 991 / 991.0::DOUBLE AS u3, CASE WHEN t >= {PLANTED_FROM} THEN 1 ELSE 0 END AS late
+  FROM whole),
+frame AS (
+  SELECT * EXCLUDE (u1, u2, u3, late), u1 + 0.35::DOUBLE * y * (1 - 2 * late) AS flip, u2 AS flip_mate,
+         u3 + late AS drift_a, u1 * u2 + late AS drift_b FROM noise)"""
+
+SPECS = {"events": EVENTS_SPEC, "lines": LINES_SPEC, "planted": PLANTED_SPEC}
 
 
 def dbl(x: float) -> str:
@@ -278,3 +287,36 @@ def auc_sql(groups: str, keys, name: str = "auc", z: float = 1.959963984540054)
 
 def r4(x: str) -> str:
     return f"(round_even(({x}) * 1e4::DOUBLE, 0) / 1e4::DOUBLE)"
+
+
+#: Intervals of the Simpson sums behind the tail probabilities.
+STEPS = 2000
+
+
+def _simpson(lo: str, hi: str, f) -> str:
+    at = f"({lo} + ({hi} - {lo}) * i / {STEPS}.0::DOUBLE)"
+    weight = f"(CASE WHEN i = 0 OR i = {STEPS} THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END)"
+    return f"(({hi} - {lo}) / {3 * STEPS}.0::DOUBLE * list_sum(list_transform(range({STEPS + 1}), lambda i: {weight} * {f(at)})))"
+
+
+def t_p(t: str, df: str) -> str:
+    """Two-sided p of Student's t: the density is cos(u)**(df - 1) in u = atan(t / sqrt(df))."""
+    f = lambda u: f"pow(cos({u}), {df} - 1.0::DOUBLE)"
+    angle, reach = f"atan(abs({t}) / sqrt({df}))", f"14.0::DOUBLE / sqrt({df})"
+    tail = _simpson(angle, f"least(pi() / 2, {angle} + {reach})", f)
+    return f"({tail} / {_simpson('0.0::DOUBLE', f'least(pi() / 2, {reach})', f)})"
+
+
+def chi2_p(x: str, df: str) -> str:
+    """Upper tail of chi-squared: the density of its root w is w**(df - 1) exp(-w**2 / 2)."""
+    f = lambda w: f"(pow({w}, {df} - 1.0::DOUBLE) * exp(-{w} * {w} / 2.0::DOUBLE))"
+    tail = _simpson(f"sqrt({x})", f"(greatest(sqrt({x}), sqrt({df})) + 14.0::DOUBLE)", f)
+    return f"({tail} / {_simpson('0.0::DOUBLE', f'(sqrt({df}) + 14.0::DOUBLE)', f)})"
+
+
+def bh_sql(src: str, name: str, p: str, out: str) -> str:
+    """CTE ``name``: ``src`` with the Benjamini-Hochberg adjustment of ``p``."""
+    return f""",
+{name}_r AS (SELECT *, count({p}) OVER () AS bh_m, row_number() OVER (ORDER BY {p} NULLS LAST) AS bh_r FROM {src}),
+{name} AS (SELECT * EXCLUDE (bh_m, bh_r), CASE WHEN {p} IS NOT NULL THEN least(1.0::DOUBLE, min({p} * bh_m / bh_r) OVER (
+             ORDER BY bh_r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS {out} FROM {name}_r)"""

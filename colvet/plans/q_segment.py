@@ -52,7 +52,7 @@ tests AS (
               ELSE '' END AS note
   FROM srows s LEFT JOIN mh USING (feature) LEFT JOIN bd USING (feature))"""
 
-AUC_SQL = BASE + f""",
+AUC_CTE = BASE + f""",
 gnum AS (
   SELECT feature, seg, vnum AS score, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS neg
   FROM svals WHERE feature IN ({NUM}) AND vnum IS NOT NULL AND seg IS NOT NULL GROUP BY ALL
@@ -65,9 +65,34 @@ sct AS (SELECT c.feature, c.seg, w.woe AS score, c.pos, c.neg FROM scells c
 gtxt AS (SELECT feature, seg, score, sum(pos) AS pos, sum(neg) AS neg FROM sct WHERE seg IS NOT NULL GROUP BY ALL
          UNION ALL
          SELECT feature, '__pooled__' AS seg, score, sum(pos), sum(neg) FROM sct GROUP BY ALL),
-gall AS (SELECT * FROM gnum UNION ALL SELECT * FROM gtxt)""" + O.auc_sql("gall", ["feature", "seg"], "dauc") + """
-SELECT feature, seg, CASE WHEN n >= 100 AND pos_total >= 10 AND auc IS NOT NULL THEN greatest(auc, 1 - auc) END AS auc
-FROM dauc"""
+gall AS (SELECT * FROM gnum UNION ALL SELECT * FROM gtxt)""" + O.auc_sql("gall", ["feature", "seg"], "dauc") + """,
+seg_auc AS (SELECT feature, seg, CASE WHEN n >= 100 AND pos_total >= 10 AND auc IS NOT NULL THEN greatest(auc, 1 - auc) END AS auc
+            FROM dauc)"""
+
+AUC_SQL = AUC_CTE + "\nSELECT feature, seg, auc FROM seg_auc"
+
+SCAN_SQL = AUC_CTE + f""",
+sizes AS (SELECT seg, count(*) AS rows FROM early WHERE seg IS NOT NULL GROUP BY seg),
+dominant AS (SELECT seg AS dominant_segment FROM sizes ORDER BY rows DESC, seg LIMIT 1),
+per AS (SELECT feature, count(auc) AS segments_measurable, min(auc) AS min_segment_auc, max(auc) AS max_segment_auc
+        FROM seg_auc WHERE seg <> '__pooled__' GROUP BY feature),
+sr AS (
+  SELECT b.feature AS "column", po.auc AS pooled_auc, d.dominant_segment, da.auc AS dominant_auc,
+         da.auc IS NOT NULL AS measurable_in_dominant, coalesce(per.segments_measurable, 0)::BIGINT AS segments_measurable,
+         (SELECT count(*) FROM sizes)::BIGINT AS segments_total, per.min_segment_auc, per.max_segment_auc,
+         po.auc - da.auc AS gap_dominant, t.cmh_or,
+         CASE WHEN t.cmh_stat IS NOT NULL THEN {O.chi2_p('t.cmh_stat', '1.0::DOUBLE')} END AS cmh_p,
+         CASE WHEN t.bd_stat IS NOT NULL THEN {O.chi2_p('t.bd_stat', 't.bd_df')} END AS bd_p,
+         coalesce(t.strata_used, 0)::BIGINT AS strata_used, coalesce(t.note, 'too few usable rows') AS note
+  FROM binning2 b, dominant d
+  LEFT JOIN (SELECT * FROM seg_auc WHERE seg = '__pooled__') po ON po.feature = b.feature
+  LEFT JOIN seg_auc da ON da.feature = b.feature AND da.seg = d.dominant_segment
+  LEFT JOIN per ON per.feature = b.feature LEFT JOIN tests t ON t.feature = b.feature
+  WHERE b.feature <> '{EVENTS_SPEC.segment}')""" + O.bh_sql("sr", "s1", "cmh_p", "cmh_p_bh") + \
+    O.bh_sql("s1", "s2", "bd_p", "bd_p_bh") + """,
+sq AS (SELECT *, (coalesce(cmh_p_bh > 0.05, FALSE) AND coalesce(pooled_auc > 0.55, FALSE))
+                 OR (NOT measurable_in_dominant AND coalesce(pooled_auc > 0.55, FALSE)) AS segment_artefact,
+              coalesce(bd_p_bh < 0.05, FALSE) AS heterogeneous FROM s2)"""
 
 
 def _audit(spark, sf):
@@ -112,7 +137,9 @@ def q_auc_dirless(spark, sf):
     return SQ.directionless_auc(a, sv)
 
 
-@register("sq_scan")
+@register("sq_scan", sql=SCAN_SQL + "\nSELECT * FROM sq",
+          floats=("pooled_auc", "dominant_auc", "min_segment_auc", "max_segment_auc", "gap_dominant", "cmh_or", "cmh_p", "bd_p",
+                  "cmh_p_bh", "bd_p_bh"))
 def q_sq_scan(spark, sf):
     """Pooled and per-segment AUC, dominant-segment gap, CMH / BD with BH, artefact and heterogeneity flags."""
     return SQ.scan(prepare(spark, sf))

@@ -39,13 +39,16 @@ guards AS (
          WHEN b.degenerate IS NOT NULL THEN b.degenerate END AS guard
   FROM g LEFT JOIN gd USING (feature) LEFT JOIN binning2 b USING (feature))"""
 
-STATS_SQL = GUARDS_SQL + """,
+def stats_sql(numeric) -> str:
+    """Per-feature statistics (CTE ``st``) after a frame's pipeline."""
+    numeric_in = ", ".join(f"'{f}'" for f in numeric)
+    return GUARDS_SQL + """,
 sc AS (SELECT c.feature, c."window", w.woe AS score, sum(c.pos) AS pos, sum(c.neg) AS neg
        FROM cells c JOIN woe w ON w.feature = c.feature AND w.bin_idx = c.bin_idx AND w."window" = 'early'
        GROUP BY ALL)""" + O.auc_sql("sc", ["feature", '"window"'], "sauc") + f""",
 dv AS (SELECT feature, "window", vnum AS score, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS pos,
               sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS neg
-       FROM vals WHERE vnum IS NOT NULL AND feature IN ({NUMERIC_IN}) GROUP BY ALL)""" + \
+       FROM vals WHERE vnum IS NOT NULL AND feature IN ({numeric_in}) GROUP BY ALL)""" + \
     O.auc_sql("dv", ["feature", '"window"'], "dauc") + WOE_AGREE_SQL + """,
 ivs AS (SELECT feature, max(CASE WHEN "window" = 'early' THEN iv END) AS iv_tr,
                max(CASE WHEN "window" = 'late' THEN iv END) AS iv_ho
@@ -68,11 +71,14 @@ st AS (
   FROM st0)"""
 
 
+STATS_SQL = stats_sql(EVENTS_SPEC.numeric)
+
+
 def _keep(x):
     return f"CASE WHEN note = '' THEN {O.r4(x)} END"
 
 
-FEATURE_SQL = P + STATS_SQL + f"""
+FEATURE_SELECT = f"""
 SELECT feature,
   {_keep('a_tr')} AS auc_train, {_keep('a_ho')} AS auc_holdout, {_keep('a_ho - a_tr')} AS delta,
   {_keep('lo_tr')} AS auc_train_lo, {_keep('hi_tr')} AS auc_train_hi,
@@ -89,11 +95,27 @@ SELECT feature,
   note
 FROM st"""
 
+FEATURE_SQL = P + STATS_SQL + FEATURE_SELECT
+
 TC_FLOATS = ("auc_train", "auc_holdout", "delta", "auc_train_lo", "auc_train_hi", "auc_holdout_lo",
              "auc_holdout_hi", "dxy_train", "dxy_holdout", "iv_train", "iv_holdout", "woe_rho",
              "woe_flip_mass", "t_delong", "df_delong", "null_rate_train", "null_rate_holdout")
 
 
+def scan_sql(frame: str) -> str:
+    """The whole scan of a frame (CTE ``tc``): p-values by quadrature, BH, verdicts."""
+    return O.pipeline(frame) + stats_sql(O.SPECS[frame].numeric) + ",\nft AS (" + FEATURE_SELECT + f"""),
+fp AS (SELECT *, CASE WHEN t_delong IS NOT NULL THEN {O.t_p('t_delong', 'df_delong')} END AS p_delong FROM ft)""" + \
+        O.bh_sql("fp", "fb", "p_delong", "p_delong_bh") + """,
+fv AS (SELECT *, (2 * auc_train - 1) - (2 * auc_holdout - 1) AS gini_drop, coalesce(p_delong_bh < 0.05, FALSE) AS sig FROM fb),
+fw2 AS (
+  SELECT *, CASE WHEN note <> '' THEN 'degenerate'
+                 WHEN auc_train_lo > 0.5 AND auc_holdout_hi < 0.5 AND sig AND gini_drop >= 0.04::DOUBLE THEN 'inverted'
+                 WHEN auc_train_lo <= 0.5 AND auc_train_hi >= 0.5 AND auc_holdout_lo <= 0.5 AND auc_holdout_hi >= 0.5 THEN 'weak'
+                 ELSE 'pass' END AS verdict FROM fv),
+tc AS (SELECT * EXCLUDE (gini_drop, sig), coalesce(sig AND verdict <> 'inverted' AND gini_drop >= 0.04::DOUBLE, FALSE) AS unstable FROM fw2)"""
+
+
 @register("tc_guards", sql=P + GUARDS_SQL + """
 SELECT feature, n_train::BIGINT AS n_train, n_holdout::BIGINT AS n_holdout, pos_train::BIGINT AS pos_train,
        pos_holdout::BIGINT AS pos_holdout, null_train::BIGINT AS null_train,
@@ -113,13 +135,17 @@ def q_tc_feature(spark, sf):
     return TC.feature_report(prepare(spark, sf), with_p=False)
 
 
-@register("tc_scan")
+@register("tc_scan", sql=scan_sql("events") + "\nSELECT * FROM tc", floats=(*TC_FLOATS, "p_delong", "p_delong_bh"))
 def q_tc_scan(spark, sf):
     """Whole scan with DeLong p-values, BH and verdicts."""
     return TC.scan(prepare(spark, sf))
 
 
-@register("tc_margin_crosstab")
+@register("tc_margin_crosstab", sql=scan_sql("events") + """
+SELECT CASE WHEN auc_train IS NULL OR auc_holdout IS NULL THEN 'degenerate'
+            WHEN auc_train >= 0.52::DOUBLE AND auc_holdout <= 0.48::DOUBLE THEN 'inverted'
+            WHEN abs(auc_train - 0.5) < 0.02::DOUBLE AND abs(auc_holdout - 0.5) < 0.02::DOUBLE THEN 'weak'
+            ELSE 'pass' END AS margin, verdict AS tested, count(*)::BIGINT AS n FROM tc GROUP BY ALL""")
 def q_tc_margin(spark, sf):
     """Tested verdicts against the fixed-margin rules."""
     return TC.margin_crosstab(TC.scan(prepare(spark, sf)))

@@ -110,6 +110,28 @@ def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nan_to_null(df)
 
 
+#: Seconds from which the planted columns behave as in the late window (mid-January 2024).
+PLANTED_FROM = 1705320000
+
+PLANTED_SPEC = FrameSpec(
+    name="planted", numeric=EVENTS_SPEC.numeric + ("flip", "flip_mate", "drift_a", "drift_b"), text=EVENTS_SPEC.text,
+    id="row_id", time="t", label="y", segment="c_mktsegment", entity="user_id", extra=("event_type",), raw_time="ts",
+)
+
+
+def planted_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events frame with four columns that an audit has to reject: ``flip`` ranks the
+    label up before mid-month and down after it, ``flip_mate`` shares its block,
+    ``drift_a`` and ``drift_b`` move by one."""
+    def spread(times: int, plus: int, of: int):
+        return (F.col("row_id") * times + plus) % of / F.lit(float(of))
+
+    late = F.when(F.col("t") >= PLANTED_FROM, 1).otherwise(0)
+    return events_frame(spark, sf_dir).withColumns({
+        "flip": spread(7919, 13, 1009) + F.lit(0.35) * F.col("y") * (1 - 2 * late), "flip_mate": spread(104729, 7, 997),
+        "drift_a": spread(15485863, 3, 991) + late, "drift_b": spread(7919, 13, 1009) * spread(104729, 7, 997) + late})
+
+
 LINES_SPEC = FrameSpec(
     name="lines",
     numeric=("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber",
@@ -171,6 +193,7 @@ def docs_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES = {
     "events": (events_frame, EVENTS_SPEC),
+    "planted": (planted_frame, PLANTED_SPEC),
     "lines": (lines_frame, LINES_SPEC),
     "docs": (docs_frame, DOCS_SPEC),
 }
