@@ -15,7 +15,6 @@ instead of repeating the lineage.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -81,14 +80,21 @@ class Audit:
 _AUDITS: dict = {}
 
 
-def _data_signature(sf_dir: str) -> tuple:
-    """Names, sizes and modification times of the input files: a cached audit
-    is reused only while its inputs are unchanged."""
-    try:
-        entries = sorted(os.scandir(sf_dir), key=lambda e: e.name)
-        return tuple((e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in entries)
-    except OSError:  # not a local path (object store): key on the path alone
-        return ()
+def _data_signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and modification times of the input files as the file system
+    behind Spark lists them (local, HDFS or an object store): a cached audit is
+    reused only while its inputs are unchanged."""
+    jvm, sc = spark._jvm, spark._jsc
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    out, todo = [], [path]
+    fs = path.getFileSystem(sc.hadoopConfiguration())
+    while todo:
+        for f in fs.listStatus(todo.pop()):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def prepare(spark: SparkSession, sf_dir: str, frame: str = "events", bins: int = 10,
@@ -101,7 +107,7 @@ def prepare(spark: SparkSession, sf_dir: str, frame: str = "events", bins: int =
     inputs and parameters (the intermediates live in the checkpoint folder).
     """
     key = (spark.sparkContext.applicationId, sf_dir, frame, bins, max_levels, tuple(train),
-           tuple(holdout), persist, tuple(features), _data_signature(sf_dir))
+           tuple(holdout), persist, tuple(features), _data_signature(spark, sf_dir))
     if key in _AUDITS:
         return _AUDITS[key]
     df, spec = load_frame(spark, sf_dir, frame)

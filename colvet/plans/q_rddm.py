@@ -14,6 +14,7 @@ from ..sources import readers as RDR
 from ..sources.frames import EVENTS_SPEC
 from . import oracle_sql as O
 from .pipeline import prepare
+from .q_tc import FEATURE_SQL
 from .registry import register
 
 NUM = list(EVENTS_SPEC.numeric)
@@ -99,7 +100,22 @@ def q_grid(spark, sf):
     return spark.createDataFrame(rows, "min_rho2 double, groups long, singletons long, largest long")
 
 
-@register("rd_representatives")
+REPS_SQL = f"""
+WITH rho AS ({SPEAR_SQL} SELECT a, b, rho FROM rho), ft AS ({FEATURE_SQL}),
+nr AS ({O.pipeline("events", woe=False)}
+       SELECT feature, sum(CASE WHEN vnum IS NULL THEN n ELSE 0 END)::DOUBLE / sum(n) AS null_rate FROM vals WHERE "window" = 'early' GROUP BY feature),
+ord(feature, position) AS (VALUES {", ".join(f"('{f}', {i})" for i, f in enumerate(NUM))}),
+-- columns this close are all close to each other here, so linking pairs gives the clusters
+root AS (SELECT r.a AS feature, min(o.position) AS p0 FROM rho r JOIN ord o ON o.feature = r.b
+         WHERE r.a = r.b OR r.rho * r.rho >= 0.8::DOUBLE GROUP BY r.a),
+grp AS (SELECT feature, dense_rank() OVER (ORDER BY p0)::VARCHAR AS "group", count(*) OVER (PARTITION BY p0) AS size FROM root),
+m AS (SELECT g.*, nr.null_rate, ft.iv_train AS iv FROM grp g LEFT JOIN nr USING (feature) LEFT JOIN ft USING (feature))
+SELECT "group", size::BIGINT AS size, feature AS "column", first_value(feature) OVER w AS representative,
+       feature = first_value(feature) OVER w AS is_representative, null_rate, iv
+FROM m WINDOW w AS (PARTITION BY "group" ORDER BY null_rate, iv DESC NULLS FIRST, feature)"""
+
+
+@register("rd_representatives", sql=REPS_SQL, floats=("null_rate", "iv"))
 def q_reps(spark, sf):
     """Group representative: least null, then highest IV, then name."""
     a, rho, members, _ = _clusters(spark, sf, 0.2)

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from ..operators import segment as SQ
 from ..plans import suffstats as S
-from ..sources.frames import EVENTS_SPEC
 from . import oracle_sql as O
 from .pipeline import prepare
 from .registry import register
 
-SEG_FEATS = [f for f in EVENTS_SPEC.features if f != EVENTS_SPEC.segment]
-NUM = ", ".join(f"'{f}'" for f in EVENTS_SPEC.numeric if f != EVENTS_SPEC.segment)
-TXT = ", ".join(f"'{f}'" for f in EVENTS_SPEC.text if f != EVENTS_SPEC.segment)
+def _sql(frame: str) -> tuple:
+    """Reference SQL of a frame: strata and tests, segment AUCs, the whole scan (CTE ``sq``)."""
+    spec = O.SPECS[frame]
+    seg_feats = [f for f in spec.features if f != spec.segment]
+    num = ", ".join(f"'{f}'" for f in spec.numeric if f != spec.segment)
+    txt = ", ".join(f"'{f}'" for f in spec.text if f != spec.segment)
 
-BASE = O.pipeline("events") + """,
+    base = O.pipeline(frame) + """,
 early AS (SELECT *, c_mktsegment::VARCHAR AS seg FROM fw WHERE "window" = 'early')""" + \
-    "," + O.values_sql(EVENTS_SPEC, src="early", by=("seg",), features=SEG_FEATS, name="svals") + \
-    O.cells_sql(src="svals", by=("seg",), name="scells") + """,
+        "," + O.values_sql(spec, src="early", by=("seg",), features=seg_feats, name="svals") + \
+        O.cells_sql(src="svals", by=("seg",), name="scells") + """,
 dich AS (SELECT w.feature, w.bin_idx, (w.woe > 0 AND w.n > 0) AS exposed
          FROM woe w JOIN binning2 b USING (feature) WHERE w."window" = 'early' AND w.bin_idx <> b.n_core),
 strat AS (SELECT c.feature, c.seg,
@@ -52,16 +54,16 @@ tests AS (
               ELSE '' END AS note
   FROM srows s LEFT JOIN mh USING (feature) LEFT JOIN bd USING (feature))"""
 
-AUC_CTE = BASE + f""",
+    auc_cte = base + f""",
 gnum AS (
   SELECT feature, seg, vnum AS score, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN n ELSE 0 END) AS neg
-  FROM svals WHERE feature IN ({NUM}) AND vnum IS NOT NULL AND seg IS NOT NULL GROUP BY ALL
+  FROM svals WHERE feature IN ({num}) AND vnum IS NOT NULL AND seg IS NOT NULL GROUP BY ALL
   UNION ALL
   SELECT feature, '__pooled__' AS seg, vnum AS score, sum(CASE WHEN y = 1 THEN n ELSE 0 END), sum(CASE WHEN y = 0 THEN n ELSE 0 END)
-  FROM svals WHERE feature IN ({NUM}) AND vnum IS NOT NULL GROUP BY ALL),
+  FROM svals WHERE feature IN ({num}) AND vnum IS NOT NULL GROUP BY ALL),
 sct AS (SELECT c.feature, c.seg, w.woe AS score, c.pos, c.neg FROM scells c
         JOIN woe w ON w.feature = c.feature AND w.bin_idx = c.bin_idx AND w."window" = 'early'
-        WHERE c.feature IN ({TXT})),
+        WHERE c.feature IN ({txt})),
 gtxt AS (SELECT feature, seg, score, sum(pos) AS pos, sum(neg) AS neg FROM sct WHERE seg IS NOT NULL GROUP BY ALL
          UNION ALL
          SELECT feature, '__pooled__' AS seg, score, sum(pos), sum(neg) FROM sct GROUP BY ALL),
@@ -69,9 +71,7 @@ gall AS (SELECT * FROM gnum UNION ALL SELECT * FROM gtxt)""" + O.auc_sql("gall",
 seg_auc AS (SELECT feature, seg, CASE WHEN n >= 100 AND pos_total >= 10 AND auc IS NOT NULL THEN greatest(auc, 1 - auc) END AS auc
             FROM dauc)"""
 
-AUC_SQL = AUC_CTE + "\nSELECT feature, seg, auc FROM seg_auc"
-
-SCAN_SQL = AUC_CTE + f""",
+    scan = auc_cte + f""",
 sizes AS (SELECT seg, count(*) AS rows FROM early WHERE seg IS NOT NULL GROUP BY seg),
 dominant AS (SELECT seg AS dominant_segment FROM sizes ORDER BY rows DESC, seg LIMIT 1),
 per AS (SELECT feature, count(auc) AS segments_measurable, min(auc) AS min_segment_auc, max(auc) AS max_segment_auc
@@ -88,11 +88,19 @@ sr AS (
   LEFT JOIN (SELECT * FROM seg_auc WHERE seg = '__pooled__') po ON po.feature = b.feature
   LEFT JOIN seg_auc da ON da.feature = b.feature AND da.seg = d.dominant_segment
   LEFT JOIN per ON per.feature = b.feature LEFT JOIN tests t ON t.feature = b.feature
-  WHERE b.feature <> '{EVENTS_SPEC.segment}')""" + O.bh_sql("sr", "s1", "cmh_p", "cmh_p_bh") + \
-    O.bh_sql("s1", "s2", "bd_p", "bd_p_bh") + """,
+  WHERE b.feature <> '{spec.segment}')""" + O.bh_sql("sr", "s1", "cmh_p", "cmh_p_bh") + \
+        O.bh_sql("s1", "s2", "bd_p", "bd_p_bh") + """,
 sq AS (SELECT *, (coalesce(cmh_p_bh > 0.05, FALSE) AND coalesce(pooled_auc > 0.55, FALSE))
                  OR (NOT measurable_in_dominant AND coalesce(pooled_auc > 0.55, FALSE)) AS segment_artefact,
               coalesce(bd_p_bh < 0.05, FALSE) AS heterogeneous FROM s2)"""
+    return base, auc_cte, scan
+
+
+BASE, AUC_CTE, SCAN_SQL = _sql("events")
+
+
+def segment_scan_sql(frame: str) -> str:
+    return _sql(frame)[2]
 
 
 def _audit(spark, sf):
@@ -130,7 +138,7 @@ def q_bd(spark, sf):
     return SQ.cmh_bd(SQ.strata(a, sc), with_p=False).select("feature", "bd_stat", "bd_df")
 
 
-@register("rank_auc_directionless", sql=AUC_SQL, floats=("auc",))
+@register("rank_auc_directionless", sql=AUC_CTE + "\nSELECT feature, seg, auc FROM seg_auc", floats=("auc",))
 def q_auc_dirless(spark, sf):
     """max(AUC, 1-AUC) per segment and pooled, early window."""
     a, sv, sc = _audit(spark, sf)

@@ -81,10 +81,19 @@ def load_windows(spark: SparkSession, path: str, label: str, time: str, features
     return out, win, list(features)
 
 
+def block_file(name: str) -> list:
+    """The packaged block definitions of a frame."""
+    with open(os.path.join(BLOCKS_DIR, f"{name}.json")) as f:
+        return json.load(f)["blocks"]
+
+
 def load_blocks(spark: SparkSession, name_or_path: str = "events") -> DataFrame:
-    """Pinned column blocks, flattened: (block, group_idx, column)."""
-    path = name_or_path if name_or_path.endswith(".json") else os.path.join(BLOCKS_DIR, f"{name_or_path}.json")
-    doc = spark.read.option("multiLine", True).json(path)
+    """Pinned column blocks, flattened: (block, group_idx, column). A packaged
+    definition is read here on the driver, a path by Spark."""
+    if not name_or_path.endswith(".json"):
+        rows = [(b["block"], i, c) for b in block_file(name_or_path) for i, g in enumerate(b["groups"]) for c in g]
+        return spark.createDataFrame(rows, "block string, group_idx int, column string")
+    doc = spark.read.option("multiLine", True).json(name_or_path)
     b = doc.select(F.explode("blocks").alias("b"))
     g = b.select(F.col("b.block").alias("block"), F.posexplode("b.groups").alias("group_idx", "members"))
     return g.select("block", "group_idx", F.explode("members").alias("column"))
