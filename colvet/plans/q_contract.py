@@ -15,6 +15,7 @@ from ..session import cut_lineage
 from ..sources import readers as RDR
 from . import oracle_sql as O
 from .pipeline import _data_signature, prepare
+from .q_rddm import representatives_sql
 from .q_segment import segment_scan_sql
 from .q_shift import BC_SQL, contrib_sql
 from .q_tc import scan_sql
@@ -236,7 +237,11 @@ def q_first_rej(spark, sf):
     return CT.first_rejection(run_for(spark, sf).rejections)
 
 
-@register("join_report_merge")
+@register("join_report_merge", sql=representatives_sql(FRAME) + """
+SELECT "column", "group", size, representative, is_representative, null_rate, iv,
+       -- no two columns of this frame cluster, and a column alone cannot be redundant
+       CASE WHEN size = 1 THEN FALSE END AS predictable, NULL::DOUBLE AS redun_r2, CASE WHEN size = 1 THEN 'singleton' END AS redun_note
+FROM reps""", floats=("null_rate", "iv", "redun_r2"))
 def q_report_merge(spark, sf):
     """Representatives LEFT JOIN redundancy verdicts."""
     return run_for(spark, sf).rd

@@ -14,14 +14,16 @@ from ..sources import readers as RDR
 from ..sources.frames import EVENTS_SPEC
 from . import oracle_sql as O
 from .pipeline import prepare
-from .q_tc import FEATURE_SQL
+from .q_tc import FEATURE_SELECT, stats_sql
 from .registry import register
 
 NUM = list(EVENTS_SPEC.numeric)
 
-RANK_SQL = "WITH " + O.FRAME_SQL["events"].lstrip() + "," + O.windows_sql() + """,
+def rank_sql(frame: str) -> str:
+    """Mid-ranks of a frame's usable numeric columns in the early window (CTE ``rk``)."""
+    return "WITH " + O.FRAME_SQL[frame].lstrip() + "," + O.windows_sql() + """,
 ev AS (SELECT * FROM fw WHERE "window" = 'early'),
-lng AS (""" + " UNION ALL ".join(f"SELECT row_id, '{f}' AS feature, {f}::DOUBLE AS v FROM ev" for f in NUM) + """),
+lng AS (""" + " UNION ALL ".join(f"SELECT row_id, '{f}' AS feature, {f}::DOUBLE AS v FROM ev" for f in O.SPECS[frame].numeric) + """),
 st AS (SELECT feature, count(v) AS nn, count(DISTINCT v) AS d FROM lng GROUP BY feature),
 use AS (SELECT feature, nn FROM st WHERE nn > 100 AND d >= 2),
 rk AS (SELECT l.row_id, l.feature, l.v,
@@ -29,13 +31,18 @@ rk AS (SELECT l.row_id, l.feature, l.v,
                    ELSE rank() OVER (PARTITION BY l.feature ORDER BY l.v) + (count(*) OVER (PARTITION BY l.feature, l.v) - 1) / 2.0 END AS r
        FROM lng l JOIN use u USING (feature))"""
 
-SPEAR_SQL = RANK_SQL + """,
+
+def spearman_sql(frame: str) -> str:
+    return rank_sql(frame) + """,
 pr AS (SELECT a.feature AS a, b.feature AS b, corr(a.r, b.r) AS c FROM rk a JOIN rk b USING (row_id)
        WHERE a.feature <> b.feature GROUP BY ALL),
 rho AS (SELECT a, b, CASE WHEN c IS NULL OR isnan(c) THEN 0.0 ELSE c END AS rho FROM pr
         UNION ALL SELECT feature, feature, 1.0 FROM use)"""
 
 
+RANK_SQL, SPEAR_SQL = rank_sql("events"), spearman_sql("events")
+
+
 @register("rd_rank_columns", sql=RANK_SQL + """
 SELECT DISTINCT feature, v AS value, r AS rank FROM rk WHERE v IS NOT NULL
 UNION ALL SELECT feature, NULL AS value, (nn + 1) / 2.0 AS rank FROM use""", floats=("value", "rank"))
@@ -100,22 +107,26 @@ def q_grid(spark, sf):
     return spark.createDataFrame(rows, "min_rho2 double, groups long, singletons long, largest long")
 
 
-REPS_SQL = f"""
-WITH rho AS ({SPEAR_SQL} SELECT a, b, rho FROM rho), ft AS ({FEATURE_SQL}),
-nr AS ({O.pipeline("events", woe=False)}
+def representatives_sql(frame: str) -> str:
+    spec = O.SPECS[frame]
+    return f"""
+WITH rho AS ({spearman_sql(frame)} SELECT a, b, rho FROM rho),
+ft AS ({O.pipeline(frame) + stats_sql(spec.numeric) + FEATURE_SELECT}),
+nr AS ({O.pipeline(frame, woe=False)}
        SELECT feature, sum(CASE WHEN vnum IS NULL THEN n ELSE 0 END)::DOUBLE / sum(n) AS null_rate FROM vals WHERE "window" = 'early' GROUP BY feature),
-ord(feature, position) AS (VALUES {", ".join(f"('{f}', {i})" for i, f in enumerate(NUM))}),
+ord(feature, position) AS (VALUES {", ".join(f"('{f}', {i})" for i, f in enumerate(spec.numeric))}),
 -- columns this close are all close to each other here, so linking pairs gives the clusters
 root AS (SELECT r.a AS feature, min(o.position) AS p0 FROM rho r JOIN ord o ON o.feature = r.b
          WHERE r.a = r.b OR r.rho * r.rho >= 0.8::DOUBLE GROUP BY r.a),
 grp AS (SELECT feature, dense_rank() OVER (ORDER BY p0)::VARCHAR AS "group", count(*) OVER (PARTITION BY p0) AS size FROM root),
-m AS (SELECT g.*, nr.null_rate, ft.iv_train AS iv FROM grp g LEFT JOIN nr USING (feature) LEFT JOIN ft USING (feature))
-SELECT "group", size::BIGINT AS size, feature AS "column", first_value(feature) OVER w AS representative,
-       feature = first_value(feature) OVER w AS is_representative, null_rate, iv
-FROM m WINDOW w AS (PARTITION BY "group" ORDER BY null_rate, iv DESC NULLS FIRST, feature)"""
+m AS (SELECT g.*, nr.null_rate, ft.iv_train AS iv FROM grp g LEFT JOIN nr USING (feature) LEFT JOIN ft USING (feature)),
+reps AS (
+  SELECT "group", size::BIGINT AS size, feature AS "column", first_value(feature) OVER w AS representative,
+         feature = first_value(feature) OVER w AS is_representative, null_rate, iv
+  FROM m WINDOW w AS (PARTITION BY "group" ORDER BY null_rate, iv DESC NULLS FIRST, feature))"""
 
 
-@register("rd_representatives", sql=REPS_SQL, floats=("null_rate", "iv"))
+@register("rd_representatives", sql=representatives_sql("events") + "\nSELECT * FROM reps", floats=("null_rate", "iv"))
 def q_reps(spark, sf):
     """Group representative: least null, then highest IV, then name."""
     a, rho, members, _ = _clusters(spark, sf, 0.2)
@@ -211,6 +222,15 @@ def q_tetra(spark, sf):
     return DM.tetrachoric_pairs(rows, BINARY_COLS)
 
 
+@register("dm_tetrachoric_summary")
+def q_tetra_summary(spark, sf):
+    """Mean absolute latent correlation among the columns that turn out to be binary."""
+    a = prepare(spark, sf, frame="lines")
+    rows = a.fw.where(F.col("window") == "early").withColumn("urgent", F.col("o_orderpriority") == "1-URGENT").withColumn(
+        "large", (F.col("p_size") > 25).cast("int"))
+    return DM.tetrachoric_summary(rows, ["l_linestatus", "o_orderpriority", "l_tax", "urgent", "large", "y"])
+
+
 @register("dm_scan")
 def q_dm_scan(spark, sf):
     """Columns, components, compression and first-component share per block."""

@@ -70,7 +70,7 @@ def load_windows(spark: SparkSession, path: str, label: str, time: str, features
         features = [c for c in cols if c not in set(excluded) | {label, time}]
     missing = [f for f in features if f not in cols]
     if missing:
-        raise ValueError(f"not in the parquet: {', '.join(missing[:5])}")
+        raise ValueError(f"the file has no column {missing[:5]}")
     edges = quantile_nearest(ds.select(time), time, [train[0], train[1], holdout[0], holdout[1]])
     win = Windows(tuple(train), tuple(holdout), tuple(edges))
     tt = ds.schema[time].dataType.simpleString()
@@ -107,7 +107,7 @@ def read_fragments(spark: SparkSession, folder: str, order=None) -> DataFrame:
         want = spark.createDataFrame([(c, i) for i, c in enumerate(order)], "check string, precedence int")
         missing = [r["check"] for r in want.join(frags.select("check"), "check", "left_anti").collect()]
         if missing:
-            raise ValueError(f"no fragment for: {', '.join(missing)}")
+            raise ValueError(f"fragments missing for checks {missing}")
         frags = frags.join(want, "check").orderBy("precedence")
     return frags
 

@@ -64,12 +64,44 @@ def test_parallel_analysis_counts_factors(spark):
     one = {f"a{i}": f1 + rng.normal(size=n) * 0.5 for i in range(6)}
     two = {**{f"b{i}": f1 + rng.normal(size=n) * 0.5 for i in range(3)},
            **{f"c{i}": f2 + rng.normal(size=n) * 0.5 for i in range(3)}}
-    df = spark.createDataFrame(pd.DataFrame({**one, **two}))
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), **one, **two}))
     blocks = spark.createDataFrame([("one", c) for c in one] + [("two", c) for c in two],
                                    "block string, column string")
     r = {row["block"]: row for row in DM.scan(df, blocks, n_iter=30).collect()}
     assert r["one"]["components"] == 1 and r["one"]["variance_first_component"] > 0.7
     assert r["two"]["components"] == 2
+    again = {row["block"]: row for row in DM.scan(df.orderBy(F.rand(1)).repartition(7), blocks, n_iter=30).collect()}
+    assert {b: x["components"] for b, x in r.items()} == {b: x["components"] for b, x in again.items()}
+
+
+def test_noise_eigenvalues_follow_column_resampling(spark, monkeypatch):
+    monkeypatch.setattr(DM, "BATCH_ROWS", 300)
+    rng = np.random.default_rng(6)
+    n = 1500
+    x = np.exp(rng.normal(size=(n, 1)) + 0.4 * rng.normal(size=(n, 5)))  # skewed and strongly related
+    x[:, 4] = (x[:, 4] > 1).astype(float)
+    names = [f"x{i}" for i in range(5)]
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), **dict(zip(names, x.T))}))
+    blocks = spark.createDataFrame([("b", c) for c in names], "block string, column string")
+    plan = DM._block_plan(df, blocks)
+    got = np.array([r["ev"] for r in DM.noise_eigenvalues(DM.resampled_products(df, plan, "row_id", 150), plan).collect()])
+    want = np.array([np.sort(np.linalg.eigvalsh(np.corrcoef(
+        np.column_stack([c[rng.integers(0, n, n)] for c in x.T]).T)))[::-1] for _ in range(150)])
+    assert got.shape == want.shape
+    assert np.allclose(got.mean(0), want.mean(0), atol=0.01) and np.allclose(np.quantile(got, 0.95, 0), np.quantile(want, 0.95, 0), atol=0.02)
+    assert np.corrcoef(x.T)[0, 1] > 0.5 and got[:, 0].max() < 1.3
+
+
+def test_binary_columns_are_found_in_any_type(spark):
+    rows = [(i % 2, "yes" if i % 3 else "no", i % 2 == 0, i, 1.0, None if i % 5 == 0 else float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b string, c boolean, d int, e double, f double")
+    two = DM.binary_columns(df, ["a", "b", "c", "d", "e", "f", "absent"])
+    assert two.columns == ["a", "b", "c", "f"]
+    assert [tuple(r) for r in two.limit(2).collect()] == [(0, 0, 1, None), (1, 1, 0, 1)]
+    s = DM.tetrachoric_summary(df, ["a", "b", "c", "d", "e"]).first()
+    pairs = DM.tetrachoric_pairs(two.select("a", "b", "c"), ["a", "b", "c"]).toPandas()
+    assert s["columns"] == 3 and abs(s["mean_off_diagonal"] - pairs["tetrachoric"].abs().mean()) < 1e-12
+    assert DM.tetrachoric_summary(df, ["d", "e", "a"]).first()["note"] == "fewer than two binary columns"
 
 
 def test_tetrachoric_exceeds_pearson(spark):

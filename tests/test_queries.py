@@ -62,25 +62,6 @@ def test_power_law_matches_direct_search(spark):
     assert got["xmin"] == best[1] and abs(got["alpha"] - best[2]) < 1e-9 and got["n_tail"] == best[3]
 
 
-def test_stream_cells_match_batch_cells(spark, tmp_path):
-    from colvet.plans import suffstats as S
-    from colvet.plans.pipeline import prepare
-    from colvet.streaming.monitor import stream_cells
-    a = prepare(spark, SMOKE)
-    frame = a.fw.where(F.col("window") == "late").drop("window") \
-                .withColumn("ts", F.timestamp_seconds("t"))
-    src = str(tmp_path / "src")
-    frame.write.parquet(src)
-    stream = spark.readStream.schema(frame.schema).parquet(src)
-    q = (stream_cells(stream, a.spec, a.binning, "ts", window="1000 days", watermark="1 day")
-         .writeStream.outputMode("update").format("memory").queryName("cells_stream").start())
-    q.processAllAvailable()
-    q.stop()
-    got = spark.sql("SELECT feature, bin_idx, sum(n) AS n FROM cells_stream GROUP BY 1, 2")
-    want = a.cells.where(F.col("window") == "late").select("feature", "bin_idx", "n")
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
-
-
 def test_results_do_not_depend_on_session_time_zone(spark):
     import __spark_entry__ as E
     keys = ("flt_quantile_nearest", "fx_hour_profile", "src_parquet_window")
