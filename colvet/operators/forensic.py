@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import day_of, hour_angle, hour_of, leading_digit
 from ..functions.dist import p_chi2
 from ..plans.cumulative import cumulative
+from ..session import cut_lineage
 from ..sources.frames import FrameSpec
 
 
@@ -169,53 +170,129 @@ def level_breaks(frame: DataFrame, spec: FrameSpec, series_key: str | None = Non
 
 
 # ------------------------------------------------------------- power law ---
-def power_law(frame: DataFrame, spec: FrameSpec, column: str = "value", xmax: float = 1e5,
-              max_distinct: int = 5_000_000, blocks: int = 16) -> DataFrame:
-    """Continuous power-law tail of positive ``column`` among label-1 rows:
-    every distinct value up to ``xmax`` is a candidate xmin; alpha is the MLE
+#: Buckets of the ordered distinct values: a fixed number, so their ends fit any task.
+BUCKETS = 4096
+#: Candidates that one task holds against a bucket's values.
+CANDIDATES_AT_ONCE = 50_000
+
+
+class _Ends:
+    """First and last value of every bucket, their counts, and cumulative counts
+    up to and including them."""
+
+    def __init__(self, rows):
+        rows = sorted(rows, key=lambda r: r["bucket"])
+        self.bucket = np.array([r["bucket"] for r in rows], np.int64)
+        self.first, self.last = (np.array([r[e]["v"] for r in rows], float) for e in ("a", "z"))
+        self.c_first, self.c_last = (np.array([r[e]["c"] for r in rows], float) for e in ("a", "z"))
+        self.upto_first, self.upto_last = (np.array([r[e]["c_below"] + r[e]["c"] for r in rows], float) for e in ("a", "z"))
+
+
+def _fit(v, xmin, alpha):
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        return 1.0 - (v / xmin) ** (1.0 - alpha)
+
+
+def _distance(v, c, upto, xmin, alpha, n, before):
+    """Largest gap between empirical and fitted tail at each value (both ends of its step)."""
+    fit = _fit(v, xmin, alpha)
+    return np.maximum(np.abs((upto - before) / n - fit), np.abs((upto - c - before + 1) / n - fit))
+
+
+def _bounds(e: _Ends, xmin, alpha, n, before) -> tuple:
+    """Of one candidate: a lower bound of its distance (the largest at a bucket's end), and per bucket an
+    upper bound: empirical and fitted tail both only rise inside a bucket."""
+    reach = e.last >= xmin
+    gaps = [np.where(v >= xmin, _distance(v, c, u, xmin, alpha, n, before), -np.inf)
+            for v, c, u in ((e.first, e.c_first, e.upto_first), (e.last, e.c_last, e.upto_last))]
+    start = np.maximum(e.first, xmin)
+    low = (np.maximum(e.upto_first - e.c_first, before) - before + 1) / n
+    high = (e.upto_last - before) / n
+    upper = np.maximum(high - _fit(start, xmin, alpha), _fit(e.last, xmin, alpha) - low)
+    return max(gaps[0].max(), gaps[1].max()), np.where(reach, upper, -np.inf)
+
+
+def _tail_fits(x: DataFrame) -> DataFrame:
+    """``(v, c, c_below, bucket, n_tail, alpha)`` per distinct value: the tail from it on, its MLE from
+    suffix sums (null where all of the tail is one value)."""
+    vc = x.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("l", F.col("c") * F.log("v")).withColumn("one", F.lit(1).cast("long"))
+    t = cumulative(vc, [], "v", ["c", "l", "one"])
+    n = (F.col("c_total") - F.col("c_below")).cast("long")
+    logs = F.col("l_total") - F.col("l_below") - n * F.log("v")
+    bucket = F.floor(F.col("one_below") * F.least(F.lit(BUCKETS), F.col("one_total")) / F.col("one_total")).cast("long")
+    rest = F.col("one_below") < F.col("one_total") - 1
+    return t.select("v", F.col("c").cast("long").alias("c"), F.col("c_below").cast("long").alias("c_below"), bucket.alias("bucket"),
+                    n.alias("n_tail"), F.when(rest & (logs > 1e-12 * n), 1 + n / logs).alias("alpha"))
+
+
+def _exact(tails: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(xmin, ks)``: the largest distance of each candidate over the buckets that ``pairs`` names
+    (bucket, xmin, alpha, n_tail, before). A bucket with many candidates is read by several tasks."""
+    pairs = cut_lineage(pairs)
+    asked = pairs.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES_AT_ONCE).cast("long").alias("parts"))
+    left = tails.join(asked, "bucket").select("bucket", "v", "c", "c_below", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = pairs.join(asked, "bucket").select(F.col("bucket").alias("of"), F.pmod(F.xxhash64("xmin"), "parts").alias("of_part"),
+                                               "xmin", "alpha", "n_tail", "before")
+
+    def run(vals: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        vals = vals.sort_values("v")
+        v, c = vals["v"].to_numpy(float), vals["c"].to_numpy(float)
+        upto = vals["c_below"].to_numpy(float) + c
+        ks = []
+        for xmin, alpha, n, before in zip(cands["xmin"], cands["alpha"], cands["n_tail"], cands["before"]):
+            i = int(np.searchsorted(v, xmin))
+            ks.append(float(_distance(v[i:], c[i:], upto[i:], xmin, alpha, n, before).max()) if i < len(v) else 0.0)
+        return pd.DataFrame({"xmin": cands["xmin"].to_numpy(float), "ks": np.array(ks, float)})
+
+    each = left.groupBy("bucket", "part").cogroup(right.groupBy("of", "of_part")).applyInPandas(run, "xmin double, ks double")
+    return each.groupBy("xmin").agg(F.max("ks").alias("ks"))
+
+
+def power_law(frame: DataFrame, spec: FrameSpec, column: str = "value", xmax: float = 1e5) -> DataFrame:
+    """Continuous power-law tail of positive ``column`` among label-1 rows: every
+    distinct value up to ``xmax`` but the last is a candidate xmin; alpha is the MLE
     ``1 + n / sum ln(x / xmin)`` over the tail, and the chosen xmin has the
     smallest Kolmogorov-Smirnov distance between the tail's empirical CDF and
-    the fitted one.
+    the fitted one (the smaller xmin on ties). ``candidates`` and ``above_xmax``
+    tell how many values were candidates and how many ``xmax`` excluded.
 
-    Every candidate is evaluated exactly. The sorted distinct tail values are
-    broadcast to the candidate tasks behind a size check (``max_distinct``);
-    beyond it the operator refuses rather than thin the candidates.
+    Suffix sums give every alpha. The ends of BUCKETS buckets of values bound every
+    candidate's distance from below; the candidate with the least bound is evaluated
+    over all values, and only candidates whose bound does not exceed its distance are
+    evaluated too, in the buckets that can raise their bound. No value leaves the
+    tasks but the buckets' ends. No label-1 value gives no row.
     """
-    spark = frame.sparkSession
     x = frame.where((F.col(spec.label) == 1) & (F.col(column) > 0)).select(F.col(column).cast("double").alias("v"))
-    vc = x.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    nd = vc.count()
-    if nd > max_distinct:
-        raise ValueError(f"{nd} distinct values exceed the broadcast bound {max_distinct}")
-    rows = vc.orderBy("v").collect()  # bounded by the check above
-    vals = np.array([r["v"] for r in rows], dtype=float)
-    cnts = np.array([r["c"] for r in rows], dtype=float)
-    bv = spark.sparkContext.broadcast((vals, cnts))
-    cand = spark.createDataFrame([(float(v), i) for i, v in enumerate(vals[:-1]) if v <= xmax],
-                                 "xmin double, idx long").repartition(blocks)
-
-    def run(it):
-        v, c = bv.value
-        suffix_n = np.cumsum(c[::-1])[::-1]
-        suffix_l = np.cumsum((c * np.log(v))[::-1])[::-1]
-        for pdf in it:
-            out = []
-            for xmin, i in zip(pdf["xmin"], pdf["idx"]):
-                i = int(i)
-                n = suffix_n[i]
-                lsum = suffix_l[i] - n * np.log(xmin)
-                if lsum <= 0:
-                    out.append((xmin, None, int(n), None))
-                    continue
-                alpha = 1.0 + n / lsum
-                tv, tc = v[i:], c[i:]
-                cum = np.cumsum(tc)
-                fit = 1.0 - (tv / xmin) ** (1.0 - alpha)
-                d = max(np.max(np.abs(cum / n - fit)), np.max(np.abs((cum - tc + 1) / n - fit)))
-                out.append((xmin, float(alpha), int(n), float(d)))
-            yield pd.DataFrame(out, columns=["xmin", "alpha", "n_tail", "ks"])
-
-    fits = cand.mapInPandas(run, "xmin double, alpha double, n_tail long, ks double")
-    order = F.struct(F.col("ks").isNull().alias("none"), "ks", "xmin")
-    best = fits.agg(F.min_by(F.struct("xmin", "alpha", "n_tail", "ks"), order).alias("b")).where("b is not null").select("b.*")
-    return best.select("xmin", "alpha", "n_tail", "ks", (F.col("alpha") > 3).alias("finite_variance"))
+    tails = cut_lineage(_tail_fits(x))
+    end = lambda f: f(F.struct("v", "c", "c_below"))
+    ends = _Ends(tails.groupBy("bucket").agg(end(F.min).alias("a"), end(F.max).alias("z")).collect())  # at most BUCKETS rows
+    cands = tails.where(F.col("alpha").isNotNull() & (F.col("v") <= xmax)).select(
+        F.col("v").alias("xmin"), "alpha", "n_tail", F.col("c_below").alias("before"))
+
+    def bounded(batches):
+        for pdf in batches:
+            pdf["bound"] = [_bounds(ends, *r)[0] for r in zip(pdf["xmin"], pdf["alpha"], pdf["n_tail"], pdf["before"])]
+            yield pdf
+
+    base = "xmin double, alpha double, n_tail long, before long, bound double"
+    cands = cut_lineage(cands.mapInPandas(bounded, base))
+    first = cands.orderBy("bound", "xmin").limit(1)
+    buckets = tails.select("bucket").distinct()
+    best = _exact(tails, first.select(F.lit(1).alias("_one"), "xmin", "alpha", "n_tail", "before").join(
+        buckets.withColumn("_one", F.lit(1)), "_one").drop("_one")).first()
+    limit = best["ks"] if best else 0.0
+
+    def needed(batches):
+        for pdf in batches:
+            rows = []
+            for xmin, alpha, n, before, bound in pdf[["xmin", "alpha", "n_tail", "before", "bound"]].itertuples(index=False):
+                upper = _bounds(ends, xmin, alpha, n, before)[1]
+                rows += [(int(b), xmin, alpha, int(n), int(before)) for b in ends.bucket[upper > bound]]
+            yield pd.DataFrame(rows, columns=["bucket", "xmin", "alpha", "n_tail", "before"])
+
+    near = cands.where(F.col("bound") <= F.lit(limit))
+    exact = _exact(tails, near.mapInPandas(needed, "bucket long, xmin double, alpha double, n_tail long, before long"))
+    fits = near.join(exact, "xmin", "left").withColumn("ks", F.greatest("bound", F.coalesce("ks", "bound")))
+    best = fits.agg(F.min_by(F.struct("xmin", "alpha", "n_tail", "ks"), F.struct("ks", "xmin")).alias("b")).where("b is not null").select("b.*")
+    known = tails.agg(F.count(F.when(F.col("v") <= xmax, 1)).alias("candidates"), F.count(F.when(F.col("v") > xmax, 1)).alias("above_xmax"))
+    return best.withColumn("_one", F.lit(1)).join(known.withColumn("_one", F.lit(1)), "_one").select("xmin", "alpha", "n_tail", "ks", (F.col("alpha") > 3).alias("finite_variance"), "candidates", "above_xmax")

@@ -32,12 +32,9 @@ def placements(groups: DataFrame, keys, score: str = "score", bounded: bool = Tr
                           F.coalesce(F.sum("neg").over(below), F.lit(0)).alias("neg_below"),
                           F.coalesce(F.sum("pos").over(below), F.lit(0)).alias("pos_below"),
                           F.sum("pos").over(whole).alias("pos_total"),
-                          F.sum("neg").over(whole).alias("neg_total"),
-                          F.count(F.lit(1)).over(whole).alias("n_scores"))
+                          F.sum("neg").over(whole).alias("neg_total"))
     else:
         g = cumulative(groups.select(*keys, score, "pos", "neg"), keys, score, ["pos", "neg"])
-        ns = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scores"))
-        g = g.join(ns, keys)
     P, N = F.col("pos_total"), F.col("neg_total")
     return (g.withColumn("v10", F.try_divide(F.col("neg_below") + F.col("neg") / 2.0, N))
              .withColumn("v01", F.try_divide((P - F.col("pos_below") - F.col("pos")) + F.col("pos") / 2.0, P)))
@@ -48,7 +45,8 @@ def auc_delong(groups: DataFrame, keys, score: str = "score", bounded: bool = Tr
     """AUC (direction fixed: higher score = case), DeLong variance and CI.
 
     Null AUC when fewer than two score values, or a class is missing.
-    Output: keys, auc, var, lower, upper, n, pos_total, neg_total.
+    Output: keys, auc, var, lower, upper, n, pos_total, neg_total, n_scores. One pass
+    over the placements.
     """
     keys = list(keys)
     if not keys:
@@ -56,24 +54,24 @@ def auc_delong(groups: DataFrame, keys, score: str = "score", bounded: bool = Tr
         out = auc_delong(groups, ["_k0"], score, bounded, conf_level)
         return out.drop("_k0")
     pl = placements(groups.where((F.col("pos") + F.col("neg")) > 0), keys, score, bounded)
-    first = pl.groupBy(*keys).agg(
+    # squared placements around 1/2: their spread around the AUC, the mean of both, follows
+    out = pl.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("pos") * F.col("v10")), F.first("pos_total")).alias("auc"),
         F.first("pos_total").alias("pos_total"), F.first("neg_total").alias("neg_total"),
-        F.first("n_scores").alias("n_scores"))
-    back = pl.join(first.select(*keys, "auc"), keys)
-    second = back.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("v10") - F.col("auc")) ** 2).alias("sx"),
-        F.sum(F.col("neg") * (F.col("v01") - F.col("auc")) ** 2).alias("sy"))
-    out = first.join(second, keys)
+        F.count(F.lit(1)).alias("n_scores"),
+        F.sum(F.col("pos") * (F.col("v10") - 0.5) * (F.col("v10") - 0.5)).alias("qx"),
+        F.sum(F.col("neg") * (F.col("v01") - 0.5) * (F.col("v01") - 0.5)).alias("qy"))
     P, N = F.col("pos_total"), F.col("neg_total")
     Pd, Nd = P.cast("double"), N.cast("double")
-    var = F.try_divide(F.col("sx"), (Pd - 1) * Pd) + F.try_divide(F.col("sy"), (Nd - 1) * Nd)
+    off = (F.col("auc") - 0.5) * (F.col("auc") - 0.5)
+    sx, sy = F.greatest(F.lit(0.0), F.col("qx") - Pd * off), F.greatest(F.lit(0.0), F.col("qy") - Nd * off)
+    var = F.try_divide(sx, (Pd - 1) * Pd) + F.try_divide(sy, (Nd - 1) * Nd)
     ok = (P > 0) & (N > 0) & (F.col("n_scores") >= 2)
     z = norm_ppf(1 - (1 - conf_level) / 2)
     out = out.select(*keys,
                      F.when(ok, F.col("auc")).alias("auc"),
                      F.when(ok & (P > 1) & (N > 1), var).alias("var"),
-                     (P + N).alias("n"), P.alias("pos_total"), N.alias("neg_total"))
+                     (P + N).alias("n"), P.alias("pos_total"), N.alias("neg_total"), "n_scores")
     half = F.lit(z) * F.sqrt("var")
     return out.select("*",
                       F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("auc") - half)).alias("lower"),

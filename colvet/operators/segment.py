@@ -146,9 +146,6 @@ def directionless_auc(audit, seg_vals: DataFrame, policy: SQPolicy = SQPolicy())
     a_txt = R.auc_delong(t_seg.unionByName(t_all), ["feature", "seg"], bounded=True)
 
     a = a_num.unionByName(a_txt)
-    ns = (g_seg.unionByName(g_all).unionByName(t_seg).unionByName(t_all)
-          .groupBy("feature", "seg").agg(F.count(F.lit(1)).alias("n_scores")))
-    a = a.join(ns, ["feature", "seg"])
     ok = ((F.col("n") >= policy.min_rows) & (F.col("pos_total") >= policy.min_positives)
           & (F.col("n_scores") >= 2) & F.col("auc").isNotNull())
     return a.select("feature", "seg", F.when(ok, F.greatest(F.col("auc"), 1 - F.col("auc"))).alias("auc"))

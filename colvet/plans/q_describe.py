@@ -418,7 +418,20 @@ def q_history(spark, sf):
     return E.history_share(early, E.entity_uid(["user_id", "s_nationkey"]), a.spec.time, a.spec.id)
 
 
-@register("fx_power_law")
+@register("fx_power_law", sql="WITH " + O.FRAME_SQL["events"].lstrip() + """,
+x AS (SELECT value AS v, count(*) AS c FROM frame WHERE y = 1 AND value > 0 GROUP BY value),
+tl AS (SELECT v, c, sum(c) OVER (ORDER BY v) AS upto, sum(c) OVER () - (sum(c) OVER (ORDER BY v) - c) AS n,
+              sum(c * ln(v)) OVER (ORDER BY v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS l,
+              row_number() OVER (ORDER BY v DESC) AS rk FROM x),
+cd AS (SELECT v AS xmin, upto - c AS before, n, 1 + n / (l - n * ln(v)) AS alpha
+       FROM tl WHERE rk > 1 AND v <= 1e5 AND l - n * ln(v) > 1e-12::DOUBLE * n),
+ds AS (SELECT xmin, alpha, cd.n AS n_tail, max(greatest(
+          abs((upto - before)::DOUBLE / cd.n - (1 - pow(v / xmin, 1 - alpha))),
+          abs((upto - c - before + 1)::DOUBLE / cd.n - (1 - pow(v / xmin, 1 - alpha))))) AS ks
+       FROM cd JOIN tl ON tl.v >= cd.xmin GROUP BY ALL)
+SELECT xmin, alpha, n_tail::BIGINT AS n_tail, ks, alpha > 3 AS finite_variance,
+       (SELECT count(*) FROM x WHERE v <= 1e5)::BIGINT AS candidates, (SELECT count(*) FROM x WHERE v > 1e5)::BIGINT AS above_xmax
+FROM ds ORDER BY round(ks * 1e12::DOUBLE), xmin LIMIT 1""", floats=("xmin", "alpha", "ks"))
 def q_power_law(spark, sf):
     """Power-law tail of positive amounts among label-1 rows: xmin by least KS, alpha by MLE."""
     fr, spec = load_frame(spark, sf)

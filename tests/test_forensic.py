@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from colvet.functions.columns import wilson
@@ -73,3 +74,36 @@ def test_split_table_counts_add_up(spark):
     # nearest-rank cuts at round(p * 999): 749, 849, 899 (zero-based) -> values 750, 850, 900
     assert rows["train"]["rows"] == 750 and rows["gap"]["rows"] == 100
     assert rows["validation"]["rows"] == 50 and rows["test"]["rows"] == 100
+
+
+def _direct_power_law(x, xmax):
+    v, c = np.unique(x, return_counts=True)
+    best = None
+    for i in range(len(v) - 1):
+        if v[i] > xmax:
+            break
+        t, k = v[i:], c[i:]
+        n, logs = k.sum(), (k * np.log(t / v[i])).sum()
+        alpha, upto = 1 + n / logs, np.cumsum(k)
+        fit = 1 - (t / v[i]) ** (1 - alpha)
+        d = max(np.abs(upto / n - fit).max(), np.abs((upto - k + 1) / n - fit).max())
+        if best is None or d < best[3]:
+            best = (v[i], alpha, n, d)
+    return best
+
+
+@pytest.mark.parametrize("buckets,at_once", [(4096, 50_000), (7, 3), (1, 20)])
+def test_power_law_search_is_exact_whatever_the_buckets(spark, monkeypatch, buckets, at_once):
+    monkeypatch.setattr(X, "BUCKETS", buckets)
+    monkeypatch.setattr(X, "CANDIDATES_AT_ONCE", at_once)
+    spec = FrameSpec(name="p", numeric=("value",), text=(), label="y")
+    rng = np.random.default_rng(buckets)
+    x = np.round(np.r_[rng.gamma(2, 8, 300), (rng.pareto(1.6, 400) + 1) * 30], 1)
+    df = spark.createDataFrame(pd.DataFrame({"y": 1, "value": x})).unionByName(spark.createDataFrame([(0, 1.0), (1, -5.0), (1, 0.0)], "y long, value double"))
+    got, want = X.power_law(df, spec, "value", xmax=200.0).first(), _direct_power_law(x[x > 0], 200.0)
+    assert (got["xmin"], got["n_tail"]) == (want[0], want[2])
+    assert abs(got["alpha"] - want[1]) < 1e-9 and abs(got["ks"] - want[3]) < 1e-12
+    distinct = np.unique(x[x > 0])
+    assert (got["candidates"], got["above_xmax"]) == ((distinct <= 200).sum(), (distinct > 200).sum())
+    assert X.power_law(df.where("y = 0"), spec, "value").collect() == []
+    assert X.power_law(df.where("value = 1.0"), spec, "value").collect() == []
