@@ -2,14 +2,20 @@
 
 Every document of a source starts with the same expected number of copies,
 target / size of its source. The whole part is given to each; the fractional
-parts are rounded by the pivotal method: two documents with fractional copies
+parts are rounded by the pivotal method: two parties with fractional copies
 trade expected words at random until one of them is integral, so that each
-document's expectation stays and the source's total of words never moves. Each
-hash bucket of a source is settled on its own and passes on one undecided
+document's expectation stays and the source's total of words never moves.
+
+Documents above ``HEAVY`` of their source go first, from long to short: each trades
+with all shorter ones together, so it becomes integral at once and the shorter
+ones take up its residual, an equal part of a copy each. The others trade one to one:
+each hash bucket of a source is settled on its own and passes on one undecided
 document; these are settled again in a tree of groups of ``FAN`` until one is
-left per source, which a last draw decides. A source's words miss its target
-by less than one document; documents are taken from long to short, so that the
-last one is mostly a short one.
+left per source, which a last draw decides. A source's words so miss its target by
+less than one document that holds at most ``HEAVY`` of the source; where all its
+documents are longer than that, by less than its shortest. (Where the shorter ones
+reach 0 copies or the cap they have nothing left to trade: then the document in
+hand is drawn.)
 
 The random numbers come from seeded hashes of the documents, and buckets from
 their content, so reruns agree however the input is partitioned.
@@ -31,6 +37,8 @@ from .common import ascii_word_count, materialize
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 BUCKET = 20_000
+#: Share of its source above which a document is settled against all shorter ones (so at most 1 / HEAVY of a source are).
+HEAVY = 1e-3
 FAN = 4096
 SEED = 5
 #: Below this distance from an integer a copy number is integral.
@@ -87,6 +95,43 @@ def pivot(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def heavy(n: np.ndarray, size: np.ndarray, u: np.ndarray, f: float, total: float, cap: float = CAP) -> tuple:
+    """``(copies, rest)``: copies of each heavy document (``n`` equal rows of ``size`` words, ordered from
+    long to short) and the copies then expected of every other one. ``f`` copies are
+    expected of each, ``total`` words are in the source."""
+    copies, left = np.zeros(len(n)), float(total)
+    for i, (k, s) in enumerate(zip(n.tolist(), size.tolist())):
+        left -= k * s
+        whole = np.floor(f * k + TINY)
+        a = max(0.0, f * k - whole)
+        if a <= TINY or a >= 1 - TINY:
+            copies[i] = whole + round(a)
+            continue
+        # words that can come from the shorter ones, and go to them
+        up, down = min((1 - a) * s, f * left), min(a * s, (cap - f) * left)
+        if up + down > 0:
+            d = up if u[i] * (up + down) < down else -down
+            a, f = a + d / s, min(cap, max(0.0, f - d / left))
+        if TINY < a < 1 - TINY:  # the shorter ones have nothing left to trade
+            a = float(_again(u[i]) < a)
+        copies[i] = whole + round(a)
+    return copies, f
+
+
+def _again(u: float) -> float:
+    """A second random number made from ``u``."""
+    return (u * 1_000_003.0 + 0.123456789) % 1.0
+
+
+def _settle_heavy(cap: float):
+    def run(pdf):
+        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
+        copies, rest = heavy(pdf.n_rows.to_numpy(), pdf["size"].to_numpy(np.float64), pdf.u.to_numpy(), float(pdf.f.iloc[0]),
+                             float(pdf.source_size.iloc[0]), cap)
+        return pdf.assign(whole=copies.astype(np.int64), p=0.0, rest=rest)
+    return run
+
+
 def _settle(pdf):
     pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
     return pdf.assign(p=pivot(pdf.p.to_numpy(), pdf["size"].to_numpy(np.float64), pdf.u.to_numpy()))
@@ -114,10 +159,17 @@ def allocate(df: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED)
         [(s, int(n), float(goal[s]), goal[s] / n if n else 0.0, -(-c // BUCKET)) for s, n, c in per],
         "psource string, source_size long, target double, f double, buckets long")
     rows = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["psource"])).drop("psource")
-    rows = rows.withColumn("all", F.when(F.col("size") > 0, F.col("f") * F.col("n_rows")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("whole", F.floor("all").cast("long")).withColumn("p", F.col("all") - F.col("whole"))
     rows = rows.withColumn("u", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(2**53)) / F.lit(float(2**53)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 2), "key"), "buckets"))
+    long = F.col("size") > HEAVY * F.col("source_size")
+    zero = [F.lit(0).cast("long").alias("whole"), F.lit(0.0).alias("p")]
+    names = ["key", "doc", "source", "size", "source_size", "target", "n_rows", *zero, "u", "bucket", "f"]
+    longs = rows.where(long).select(*names, F.lit(0.0).alias("rest"))
+    longs = materialize(longs.groupBy("source").applyInPandas(_settle_heavy(cap), longs.schema), "heavy")
+    rest = longs.groupBy(F.col("source").alias("rsource")).agg(F.first("rest").alias("rest"))  # one row per source
+    rows = rows.where(~long).join(F.broadcast(rest), rows["source"].eqNullSafe(rest["rsource"]), "left")
+    rows = rows.withColumn("all", F.when(F.col("size") > 0, F.coalesce("rest", "f") * F.col("n_rows")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("whole", F.floor("all").cast("long")).withColumn("p", F.col("all") - F.col("whole"))
     rows = rows.select("key", "doc", "source", "size", "source_size", "target", "n_rows", "whole", "p", "u", "bucket")
     types = rows.schema
     done = materialize(rows.groupBy("source", "bucket").applyInPandas(_settle, types), "settled")
@@ -127,7 +179,7 @@ def allocate(df: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = SEED)
         up = done.where("p > 0 and p < 1").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
         done = materialize(up.groupBy("source", "bucket").applyInPandas(_settle, types), "settled")
         width = -(-width // FAN)
-    for d in parts:
+    for d in [*parts, longs.drop("f", "rest")]:
         done = done.unionByName(d)
     last = F.when(F.col("p").isin(0.0, 1.0), F.col("p")).otherwise((F.col("u") < F.col("p")).cast("double"))
     return done.select("key", F.col("doc").cast("long").alias("doc_id"), "source", "size", "source_size", "target", "n_rows",
