@@ -25,9 +25,14 @@ from . import rank as R
 from .shift import seed_of
 
 
+def _levels(values: DataFrame, features) -> DataFrame:
+    """VALUES of ``features`` with the level in ``vtxt``: a true / false column travels as 1 / 0."""
+    told = F.when(F.col("vnum") == 1, F.lit("TRUE")).when(F.col("vnum") == 0, F.lit("FALSE"))
+    return values.where(F.col("feature").isin(list(features))).withColumn("vtxt", F.coalesce("vtxt", told))
+
+
 def kept_levels(values: DataFrame, features, max_levels: int) -> DataFrame:
-    early = (values.where((F.col("window") == "early") & F.col("vtxt").isNotNull()
-                          & F.col("feature").isin(list(features)))
+    early = (_levels(values, features).where((F.col("window") == "early") & F.col("vtxt").isNotNull())
                    .groupBy("feature", "vtxt").agg(F.sum("n").alias("c")))
     w = Window.partitionBy("feature").orderBy(F.col("c").desc(), F.col("vtxt").asc())
     return early.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_levels) \
@@ -40,7 +45,7 @@ def contingency(values: DataFrame, features, max_levels: int = 50) -> DataFrame:
     # renamed before the join: both sides come from VALUES, so positional
     # references would be ambiguous
     kept = kept_levels(values, features, max_levels).select(F.col("feature").alias("k_feature"), "kept")
-    v = values.where(F.col("feature").isin(list(features)))
+    v = _levels(values, features)
     j = v.join(F.broadcast(kept), (F.col("feature") == F.col("k_feature")) & (F.col("vtxt") == F.col("kept")),
                "left").drop("k_feature")
     lump = (F.when(F.col("vtxt").isNull(), F.lit(NULL_BUCKET))
@@ -132,7 +137,7 @@ def bootstrap(cont: DataFrame, draws: int = 300, conf_level: float = 0.95, min_r
 
 
 def scan(audit, policy: CatPolicy = CatPolicy()) -> DataFrame:
-    feats = list(audit.spec.text)
+    feats = list(audit.spec.categorical)
     cont = cut_lineage(contingency(audit.values, feats, policy.max_levels))
     b = bootstrap(cont, policy.draws, policy.conf_level, policy.min_rows)
     levels = kept_levels(audit.values, feats, policy.max_levels).groupBy("feature") \

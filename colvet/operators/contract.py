@@ -103,14 +103,31 @@ def declare(values: DataFrame, spec, sources: dict) -> DataFrame:
     """(name, source, dtype) per feature: source from the table map, dtype
     bool / int / float / str; a double whose values are all whole is ``int``."""
     spark = values.sparkSession
-    kinds = spark.createDataFrame([(f, spec.kind_of(f), sources.get(f, "derived")) for f in spec.features],
-                                  "name string, kind string, source string")
+    kinds = spark.createDataFrame([(f, "bool" if f in spec.logical else spec.kind_of(f), sources.get(f, "derived"))
+                                   for f in spec.features], "name string, kind string, source string")
     whole = (values.where(F.col("window") == "early").where(F.col("vnum").isNotNull())
                    .groupBy("feature").agg(F.bool_and(F.col("vnum") == F.floor("vnum")).alias("whole")))
     j = kinds.join(whole, kinds["name"] == whole["feature"], "left")
-    dtype = F.when(F.col("kind") == "text", F.lit("str")).when(F.coalesce(F.col("whole"), F.lit(True)), F.lit("int")) \
-             .otherwise(F.lit("float"))
-    return j.select("name", "source", dtype.alias("dtype"))
+    return j.select("name", "source", _dtype().alias("dtype"))
+
+
+def _dtype():
+    return (F.when(F.col("kind") == "text", F.lit("str")).when(F.col("kind") == "bool", F.lit("bool"))
+             .when(F.coalesce(F.col("whole"), F.lit(True)), F.lit("int")).otherwise(F.lit("float")))
+
+
+def declare_rows(rows: DataFrame, spec, sources: dict) -> DataFrame:
+    """``declare`` from the rows of the early window instead of VALUES: one aggregate row,
+    nothing but a flag per column is shuffled."""
+    def whole(f):
+        return F.bool_and(F.col(f) == F.floor(f)) if f in spec.measured else F.lit(None).cast("boolean")
+
+    kind = {f: "bool" if f in spec.logical else spec.kind_of(f) for f in spec.features}
+    one = rows.where(F.col("window") == "early").agg(F.count(F.lit(1)).alias("rows"), *[whole(f).alias(f"w_{i}") for i, f in enumerate(kind)])
+    each = one.select(F.inline(F.array(*[F.struct(
+        F.lit(f).alias("name"), F.lit(sources.get(f, "derived")).alias("source"), F.lit(k).alias("kind"),
+        F.col(f"w_{i}").alias("whole")) for i, (f, k) in enumerate(kind.items())])))
+    return each.select("name", "source", _dtype().alias("dtype"))
 
 
 def first_rejection(rejections: DataFrame, precedence=PRECEDENCE) -> DataFrame:

@@ -276,7 +276,7 @@ def indicator_auc(values: DataFrame, fams: DataFrame) -> DataFrame:
 def scan(audit) -> DataFrame:
     spec = audit.spec
     fams = cut_lineage(families(audit.values, spec.features))
-    refs = [r["feature"] for r in reference_columns(audit.values, spec.numeric).orderBy("position").collect()]
+    refs = [r["feature"] for r in reference_columns(audit.values, spec.measured).orderBy("position").collect()]
     early = audit.fw.where(F.col("window") == "early")
     test = mcar_test(early, fams, refs)
     auc = indicator_auc(audit.values, fams)

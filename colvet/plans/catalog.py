@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_woe", "q_tc", "q_describe", "q_shift", "q_segment", "q_catms", "q_frame", "q_rddm", "q_contract")
+MODULES = ("q_woe", "q_tc", "q_describe", "q_shift", "q_segment", "q_catms", "q_frame", "q_rddm", "q_contract",
+           "q_table")
 
 
 def load():

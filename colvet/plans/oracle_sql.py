@@ -9,7 +9,7 @@ is fine for a checker at sf0.01.
 
 from __future__ import annotations
 
-from ..sources.frames import EVENTS_SPEC, LINES_SPEC, PLANTED_FROM, PLANTED_SPEC, FrameSpec
+from ..sources.frames import EVENTS_SPEC, LINES_SPEC, ORDERS_SPEC, PLANTED_FROM, PLANTED_SPEC, FrameSpec
 
 FRAME_SQL = {
     "events": """
@@ -51,7 +51,16 @@ frame AS (
   SELECT * EXCLUDE (u1, u2, u3, late), u1 + 0.35::DOUBLE * y * (1 - 2 * late) AS flip, u2 AS flip_mate,
          u3 + late AS drift_a, u1 * u2 + late AS drift_b FROM noise)"""
 
-SPECS = {"events": EVENTS_SPEC, "lines": LINES_SPEC, "planted": PLANTED_SPEC}
+FRAME_SQL["orders"] = """
+frame AS (
+  SELECT o.o_orderkey AS row_id, (epoch_us(o.o_orderdate) // 1000000)::BIGINT AS t,
+         CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, o.o_totalprice, c.c_nationkey, c.c_acctbal,
+         CASE WHEN abs(c.c_acctbal) >= 100 THEN c.c_acctbal < 0 END AS in_debt, o.o_orderpriority = '1-URGENT' AS urgent,
+         o.o_orderpriority, c.c_mktsegment, o.o_custkey
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE o.o_orderstatus IS NOT NULL AND o.o_orderdate IS NOT NULL)"""
+
+SPECS = {"events": EVENTS_SPEC, "lines": LINES_SPEC, "planted": PLANTED_SPEC, "orders": ORDERS_SPEC}
 
 
 def dbl(x: float) -> str:

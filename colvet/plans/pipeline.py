@@ -26,7 +26,7 @@ from ..operators import windows as Wn
 from ..operators import woe as W
 from ..policy import AUDIT_HOLDOUT, AUDIT_TRAIN
 from ..session import cut_lineage
-from ..sources.frames import FrameSpec, load_frame
+from ..sources.frames import FrameSpec, audit_frame, load_frame
 from . import suffstats as S
 
 
@@ -116,3 +116,12 @@ def prepare(spark: SparkSession, sf_dir: str, frame: str = "events", bins: int =
     if persist:
         _AUDITS[key] = a
     return a
+
+
+def prepare_table(df: DataFrame, label: str, time: str, exclude=(), features=None, positive=None, id: str | None = None,
+                  segment: str | None = None, entity: str | None = None, bins: int = 10, max_levels: int = 20,
+                  train=AUDIT_TRAIN, holdout=AUDIT_HOLDOUT, persist: bool = True) -> Audit:
+    """``prepare`` for a table of the user's own: parts are read off its schema
+    (``sources.frames.audit_frame``). Keep the returned audit; it is not cached."""
+    frame, spec = audit_frame(df, label, time, exclude, features, positive, id, segment, entity)
+    return Audit(df.sparkSession, spec, frame, Wn.time_windows(frame, spec.time, train, holdout), bins, max_levels, persist)

@@ -12,23 +12,33 @@ from .pipeline import prepare
 from .registry import register
 
 P = "WITH " + O.FRAME_SQL["events"].lstrip() + "," + O.windows_sql() + "," + O.values_sql(EVENTS_SPEC)
-TXT = ", ".join(f"'{f}'" for f in EVENTS_SPEC.text)
 NUM = ", ".join(f"'{f}'" for f in EVENTS_SPEC.numeric)
 
-CONT_SQL = P + f""",
+
+def contingency_sql(frame: str) -> str:
+    """The lumped level tables of a frame's categorical columns (CTE ``cont``)."""
+    spec = O.SPECS[frame]
+    cats = ", ".join(f"'{f}'" for f in spec.categorical)
+    flags = ", ".join(f"'{f}'" for f in spec.logical)
+    told = f"CASE WHEN feature IN ({flags}) THEN CASE vnum WHEN 1 THEN 'TRUE' WHEN 0 THEN 'FALSE' END ELSE vtxt END" if flags else "vtxt"
+    return "WITH " + O.FRAME_SQL[frame].lstrip() + "," + O.windows_sql() + "," + O.values_sql(spec) + f""",
+cvals AS (SELECT feature, "window", y, {told} AS vtxt, n FROM vals WHERE feature IN ({cats})),
 tl AS (SELECT feature, vtxt FROM (
          SELECT feature, vtxt, row_number() OVER (PARTITION BY feature ORDER BY c DESC, vtxt) AS rn
-         FROM (SELECT feature, vtxt, sum(n) AS c FROM vals
-               WHERE "window" = 'early' AND vtxt IS NOT NULL AND feature IN ({TXT}) GROUP BY ALL) x) y
+         FROM (SELECT feature, vtxt, sum(n) AS c FROM cvals
+               WHERE "window" = 'early' AND vtxt IS NOT NULL GROUP BY ALL) x) y
        WHERE rn <= 50),
 lv AS (SELECT v.feature, v."window", v.y,
               CASE WHEN v.vtxt IS NULL THEN '__null__' WHEN tl.vtxt IS NOT NULL THEN v.vtxt ELSE '__other__' END AS a,
               v.n
-       FROM vals v LEFT JOIN tl ON tl.feature = v.feature AND tl.vtxt = v.vtxt WHERE v.feature IN ({TXT})),
+       FROM cvals v LEFT JOIN tl ON tl.feature = v.feature AND tl.vtxt = v.vtxt),
 cont AS (SELECT feature, 'label' AS target, a, y::VARCHAR AS b, sum(n) AS n FROM lv WHERE "window" = 'early' GROUP BY ALL
          UNION ALL
          SELECT feature, 'window' AS target, a, "window" AS b, sum(n) AS n FROM lv GROUP BY ALL)"""
 
+
+CONT_SQL = contingency_sql("events")
+
 V_SQL = CONT_SQL + """,
 ra AS (SELECT feature, target, a, sum(n) AS ra FROM cont GROUP BY ALL),
 cb AS (SELECT feature, target, b, sum(n) AS cb FROM cont GROUP BY ALL),

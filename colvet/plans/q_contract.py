@@ -73,7 +73,7 @@ def _declared_cte(frame: str) -> str:
     """CTE ``decl`` (name, source, dtype) after the frame's windows (CTE ``fw``)."""
     spec = O.SPECS[frame]
     src = ", ".join(f"('{f}', '{s}')" for f, s in SOURCES.items())
-    kinds = ", ".join(f"('{f}', '{spec.kind_of(f)}')" for f in spec.features)
+    kinds = ", ".join(f"('{f}', '{'bool' if f in spec.logical else spec.kind_of(f)}')" for f in spec.features)
     whole = " UNION ALL ".join(
         f"SELECT '{f}' AS feature, bool_and({f}::DOUBLE = floor({f}::DOUBLE)) AS whole FROM fw "
         f"WHERE \"window\" = 'early' AND {f} IS NOT NULL" for f in spec.numeric)
@@ -82,7 +82,7 @@ dsrc(name, source) AS (VALUES {src}),
 dkinds(name, kind) AS (VALUES {kinds}),
 dwh AS ({whole}),
 decl AS (SELECT k.name, coalesce(s.source, 'derived') AS source,
-                CASE WHEN k.kind = 'text' THEN 'str' WHEN coalesce(w.whole, TRUE) THEN 'int' ELSE 'float' END AS dtype
+                CASE WHEN k.kind = 'text' THEN 'str' WHEN k.kind = 'bool' THEN 'bool' WHEN coalesce(w.whole, TRUE) THEN 'int' ELSE 'float' END AS dtype
          FROM dkinds k LEFT JOIN dsrc s USING (name) LEFT JOIN dwh w ON w.feature = k.name)"""
 
 
@@ -286,14 +286,3 @@ def q_src_fragments(spark, sf):
         q_sink_fragment(spark, sf)
     fr = RDR.read_fragments(spark, r.fragment_folder, PRECEDENCE)
     return fr.select("check", "tool", "precedence", F.size("rejections").alias("rejections"))
-
-
-@register("sink_declaration")
-def q_sink_declaration(spark, sf):
-    """Declaration (columns, sources, dtypes, data, derivations) written as JSON and read back."""
-    r = run_for(spark, sf)
-    path = RDR.scratch_path(spark, "declaration")
-    # the events frame has no derived specs of its own
-    RDR.write_declaration(r.declared, path, data={"path": sf, "frame": r.audit.spec.name})
-    d = spark.read.json(path)
-    return d.select("version", F.explode("columns").alias("c")).select("version", "c.name", "c.source", "c.dtype")

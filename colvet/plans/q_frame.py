@@ -261,18 +261,3 @@ def q_blocks(spark, sf):
                                                F.col(c).isNull().cast("double").alias("isnull")) for c in cols])))
     ns = ns.groupBy("column").agg(F.avg("isnull").alias("null_share"))
     return blocks.select("block", F.col("group_idx").cast("int"), "column").join(ns, "column")
-
-
-@register("sink_frame", sql=EV + "\nSELECT row_id, t, y, value, s_acctbal, c_mktsegment, " + " + ".join(
-    f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in BLOCK_COLS) + " AS null_count FROM frame",
-          floats=("value", "s_acctbal"))
-def q_sink_frame(spark, sf):
-    """Frame (with its block null count) written as Parquet, maps as JSON; read back."""
-    fr, _ = load_frame(spark, sf)
-    out = fr.select("row_id", "t", "y", "value", "s_acctbal", "c_mktsegment",
-                    null_count(BLOCK_COLS).alias("null_count"))
-    path = RD.scratch_path(spark, "audit-frame")
-    lines, _ = load_frame(spark, sf, "lines")
-    maps, _ = DV.fit_frequency_maps(lines, ("p_type",))
-    RD.write_audit_frame(out, path, maps, path + "-maps")
-    return spark.read.parquet(path)

@@ -1,4 +1,4 @@
-"""Audit frames built from the supplied tables.
+"""Audit frames built from the supplied tables, or from any table (``audit_frame``).
 
 An audit frame is one wide DataFrame with a row id, an integer-second time
 axis, a 0/1 label, an optional segment and entity column, and the features.
@@ -16,7 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType, TimestampNTZType,
+                               TimestampType)
 
 
 @dataclass(frozen=True)
@@ -30,12 +31,23 @@ class FrameSpec:
     segment: str | None = None
     entity: str | None = None
     extra: tuple = field(default_factory=tuple)
-    raw_time: str | None = None   # source timestamp behind ``time`` (for scan pushdown)
+    raw_time: str | None = None   # source timestamp or date behind ``time`` (for scan pushdown)
+    logical: tuple = ()           # the members of ``numeric`` that are true / false: they travel as 1 / 0
 
     @property
     def features(self) -> tuple:
         return tuple(self.numeric) + tuple(self.text)
 
+    @property
+    def measured(self) -> tuple:
+        """Numeric features that are numbers in the table, not true / false."""
+        return tuple(f for f in self.numeric if f not in self.logical)
+
+    @property
+    def categorical(self) -> tuple:
+        """Features with unordered levels: text and true / false."""
+        return tuple(self.text) + tuple(self.logical)
+
     def kind_of(self, feature: str) -> str:
         return "numeric" if feature in self.numeric else "text"
 
@@ -72,6 +84,85 @@ def _zoneless(df: DataFrame, col: str) -> bool:
     return df.schema[col].dataType.simpleString() == "timestamp_ntz"
 
 
+def _part(t) -> str | None:
+    """The part a column type can play as a feature."""
+    if isinstance(t, BooleanType):
+        return "logical"
+    if isinstance(t, NumericType):
+        return "numeric"
+    return "text" if isinstance(t, StringType) else None
+
+
+def _label01(df: DataFrame, label: str, positive):
+    t, c = df.schema[label].dataType, F.col(label)
+    if positive is not None:
+        return (c == F.lit(positive)).cast("int")
+    if isinstance(t, BooleanType):
+        return c.cast("int")
+    if isinstance(t, NumericType):
+        return F.when(c.isin(0, 1), c.cast("int")).otherwise(F.raise_error(F.lit(f"label {label} has values besides 0 and 1")))
+    raise ValueError(f"label {label!r} is neither logical nor a number: name its positive value")
+
+
+def _seconds(df: DataFrame, time: str):
+    """(time axis, whether the column itself can carry the window filter)."""
+    t, c = df.schema[time].dataType, F.col(time)
+    if isinstance(t, (TimestampType, TimestampNTZType)):
+        return unix_seconds(time, _zoneless(df, time)), True
+    if isinstance(t, DateType):
+        return F.unix_date(c).cast("long") * 86400, True
+    if isinstance(t, NumericType):
+        return c, False
+    raise ValueError(f"time {time!r} is neither a time, a date nor a number")
+
+
+def audit_frame(df: DataFrame, label: str, time: str, exclude=(), features=None, positive=None, id: str | None = None,
+                segment: str | None = None, entity: str | None = None, name: str = "table") -> tuple[DataFrame, FrameSpec]:
+    """Any table as an audit frame, the parts its columns play read off the schema.
+
+    Numbers are numeric features, true / false columns logical ones, strings text;
+    columns of other types (times, arrays, maps, binary) are no features. ``label``,
+    ``time``, ``id``, ``entity`` and ``exclude`` are never features; names in
+    ``exclude`` that the table lacks are ignored. ``features`` names them instead.
+    The label is logical, a number 0 / 1 (any other value stops the job) or equal to
+    ``positive``. Rows without label or time (NaN is missing) cannot be placed and
+    are left out. Without ``id`` a row's id is a hash of its columns, so rows equal
+    in all of them share one: name a unique column where redundancy is asked for.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts = {c: _part(t) for c, t in types.items()}
+    lacking = [c for c in (label, time, id, segment, entity, *(features or ())) if c is not None and c not in types]
+    if lacking:
+        raise ValueError(f"the table has no columns {lacking}")
+    never = {label, time, id, entity, *exclude}
+    if features is None:
+        features = [c for c in types if c not in never and parts[c]]
+    wrong = [c for c in features if c in (label, time) or not parts[c] or "." in c or "`" in c or c.lower() == "window"]
+    if wrong:
+        raise ValueError(f"columns {wrong} cannot be features (their type, their part, a dot, or the name 'window')")
+    seconds, pushes = _seconds(df, time)
+    kept = list(dict.fromkeys([*features, *[c for c in (segment, entity, time if pushes else None) if c]]))
+    taken = {c.lower() for c in kept}
+
+    def free(n: str) -> str:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        return n
+
+    id_name, t_name, y_name = free("row_id"), free("t"), free("y")
+    hashed = [c for c in types if parts[c] or isinstance(types[c], (DateType, TimestampType, TimestampNTZType))]
+    row_id = F.col(id) if id else F.xxhash64(*[F.col(f"`{c}`") for c in hashed])
+    placed = nan_to_null(df.select(*[F.col(f"`{c}`") for c in types])).where(F.col(label).isNotNull() & F.col(time).isNotNull())
+    out = placed.select(row_id.alias(id_name), seconds.alias(t_name), _label01(df, label, positive).alias(y_name),
+                        *[F.col(c) for c in kept])
+    spec = FrameSpec(name=name, numeric=tuple(c for c in features if parts[c] != "text"),
+                     text=tuple(c for c in features if parts[c] == "text"), id=id_name, time=t_name, label=y_name,
+                     segment=segment, entity=entity, raw_time=time if pushes else None,
+                     logical=tuple(c for c in features if parts[c] == "logical"))
+    return out, spec
+
+
 EVENTS_SPEC = FrameSpec(
     name="events",
     numeric=("value", "k", "s_acctbal", "s_nationkey", "c_acctbal", "c_nationkey"),
@@ -191,7 +282,31 @@ def docs_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("doc_id", "lang", "source", "n_chars", "quality", "toxic"))
 
 
+#: What ``audit_frame`` makes of the orders table (a test holds them equal).
+ORDERS_SPEC = FrameSpec(
+    name="orders", numeric=("o_totalprice", "c_nationkey", "c_acctbal", "in_debt", "urgent"),
+    text=("o_orderpriority", "c_mktsegment"), id="row_id", time="t", label="y", segment="c_mktsegment",
+    entity="o_custkey", raw_time="o_orderdate", logical=("in_debt", "urgent"),
+)
+
+
+def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` LEFT ``customer`` with two true / false columns; ``in_debt`` is null for
+    customers with a balance below 100."""
+    o, c = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    return (o.join(c, o.o_custkey == c.c_custkey, "left")
+             .withColumn("in_debt", F.when(F.abs("c_acctbal") >= 100, F.col("c_acctbal") < 0))
+             .withColumn("urgent", F.col("o_orderpriority") == "1-URGENT"))
+
+
+def orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders table as a user would audit it: nothing but its parts is named."""
+    return audit_frame(orders_table(spark, sf_dir), "o_orderstatus", "o_orderdate", exclude=("c_custkey", "c_name"),
+                       positive="F", id="o_orderkey", segment="c_mktsegment", entity="o_custkey", name="orders")[0]
+
+
 FRAMES = {
+    "orders": (orders_frame, ORDERS_SPEC),
     "events": (events_frame, EVENTS_SPEC),
     "planted": (planted_frame, PLANTED_SPEC),
     "lines": (lines_frame, LINES_SPEC),

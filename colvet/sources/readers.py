@@ -31,8 +31,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "colvet-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-
-
 def read_pinned_csv(spark: SparkSession, csv_path: str, fields: list) -> DataFrame:
     """Read a CSV under a pinned schema: every column is read as text, the null
     tokens ``""``, ``NA``, ``NaN`` become null, ``T``/``F`` become booleans
@@ -112,14 +110,6 @@ def read_fragments(spark: SparkSession, folder: str, order=None) -> DataFrame:
     return frags
 
 
-def write_audit_frame(frame: DataFrame, path: str, maps: DataFrame | None = None,
-                      maps_path: str | None = None) -> str:
-    frame.write.mode("overwrite").parquet(path)
-    if maps is not None and maps_path:
-        maps.coalesce(1).write.mode("overwrite").json(maps_path)
-    return path
-
-
 def write_fragment(spark: SparkSession, fragment: dict, report: DataFrame, folder: str) -> dict:
     """Fragment as JSON (missing numbers as null, 10 significant digits) and
     its report as CSV."""
