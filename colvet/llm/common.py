@@ -68,6 +68,17 @@ def texts(batch, column: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+def reach(spans) -> tuple[list, list]:
+    """Starts of ``(start, end)`` spans in order, and for each the furthest end among the
+    spans that start no later: what a span meets or lies in is one binary search."""
+    starts, ends, far = [], [], 0
+    for s, e in sorted(spans):
+        far = max(far, e)
+        starts.append(s)
+        ends.append(far)
+    return starts, ends
+
+
 def utf8(values) -> list:
     """UTF-8 bytes of each text; null is empty."""
     return [v.encode("utf-8", "surrogatepass") if v else b"" for v in values]

@@ -6,9 +6,12 @@ candidate string (a maximal run of ``[A-Za-z0-9+/_=-]`` of ``WINDOW`` or more)
 is read with a window of WINDOW characters whose counts, class counts and
 Shannon entropy are updated by the one character that enters and the one that
 leaves. A window is hot if its entropy reaches the threshold of its character
-class; hot windows that touch are one ``entropy`` span. Runs that look like
-known harmless strings (``ALLOWED``) are suppressed, and so are spans inside
-base spans.
+class; hot windows that touch are one ``entropy`` span. The allow-list judges each
+window, not the whole run: a window is suppressed if it meets a UUID or a
+placeholder (``ALLOWED``), or if every piece of letters and digits that it touches
+is a plain word (``WORD``), as in paths, links and hyphenated names. A secret beside
+a harmless string is still found. Spans inside base spans are dropped. All steps are
+linear in the text.
 
 Positions are code points, end exclusive. Defined results: a null or empty text
 has no spans. Extra columns are ignored; repeated rows stay; an empty table
@@ -20,13 +23,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_texts, texts
+from .common import by_bytes, map_texts, reach, texts
 
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
@@ -38,13 +42,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = (b"passw", b"secret", b"token", b"api")
 #: Least entropy in bits of a window by character class; other classes are never hot.
 THRESHOLDS = {"hex": 3.3, "alnum": 3.7, "base64": 3.9}
-#: Harmless strings: UUIDs, paths and links, hyphenated or underscored words,
-#: placeholders, alphabets in order.
+#: Harmless strings: UUIDs, placeholders, alphabets in order.
 ALLOWED = re.compile(
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z"
-    r"|.*(?:example|placeholder|changeme|xxxx|abcdefgh|01234567|lorem).*"
-    r"|/*(?:[A-Za-z_.-]*/)+[A-Za-z0-9_.-]*\Z"
-    r"|(?:[A-Za-z]+[-_=+])*[A-Za-z]*[0-9]{0,4}\Z", re.S)
+    r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])"
+    r"|example|placeholder|changeme|x{4,}|abcdefgh|01234567|lorem")
+#: A plain word: letters, then at most four digits.
+WORD = re.compile(r"[A-Za-z]*[0-9]{0,4}")
+PIECE = re.compile(r"[A-Za-z0-9]+")
 
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
@@ -56,8 +60,25 @@ def _groups(c: str) -> tuple:
     return (c in "0123456789abcdef", "a" <= c <= "z", "A" <= c <= "Z", "0" <= c <= "9")
 
 
-def hot_spans(run: str) -> list:
-    """``[(start, end)]`` of touching hot windows of ``run``."""
+def quiet_windows(run: str):
+    """Whether the window at each start of ``run`` is suppressed by the allow-list;
+    None if all are."""
+    odd = np.zeros(len(run) + 1, np.int64)
+    for m in PIECE.finditer(run):
+        if not WORD.fullmatch(run, m.start(), m.end()):
+            odd[m.start() + 1:m.end() + 1] = 1
+    if not odd.any():
+        return None
+    known = np.zeros(len(run) + 1, np.int64)
+    for m in ALLOWED.finditer(run):
+        known[m.start() + 1:m.end() + 1] = 1
+    odd, known = np.cumsum(odd), np.cumsum(known)
+    return (odd[WINDOW:] == odd[:-WINDOW]) | (known[WINDOW:] > known[:-WINDOW])
+
+
+def hot_spans(run: str, quiet=None) -> list:
+    """``[(start, end)]`` of touching hot windows of ``run``; windows that begin where
+    ``quiet`` holds are not hot."""
     if len(run) < WINDOW:
         return []
     counts: dict = {}
@@ -84,8 +105,8 @@ def hot_spans(run: str) -> list:
                 kind = "alnum" if digit >= 2 and lower + upper else None
             else:
                 kind = "base64" if digit >= 2 and lower and upper else None
-            if kind and entropy >= THRESHOLDS[kind]:
-                begin = i - WINDOW + 1
+            begin = i - WINDOW + 1
+            if kind and entropy >= THRESHOLDS[kind] and (quiet is None or not quiet[begin]):
                 if out and begin <= out[-1][1]:
                     out[-1] = (out[-1][0], i + 1)
                 else:
@@ -121,9 +142,14 @@ def scan(text: str) -> list:
             at = b if ascii_ else int(before[b]) - 1
             found += [(1, at + m.start(), at + m.end()) for m in ACCESS.finditer(run) if m.end() - m.start() >= 20]
             found += [(2, at + m.start(), at + m.end()) for m in HEX.finditer(run)]
-            if not ALLOWED.match(run):
-                extra += [(3, at + s, at + t) for s, t in hot_spans(run)]
-        found += [x for x in extra if not any(s <= x[1] and x[2] <= t for _, s, t in found)]
+            quiet = quiet_windows(run)
+            if quiet is not None:
+                extra += [(3, at + s, at + t) for s, t in hot_spans(run, quiet.tolist())]
+        starts, ends = reach(x[1:] for x in found)
+        for x in extra:
+            i = bisect_right(starts, x[1])
+            if not i or ends[i - 1] < x[2]:
+                found.append(x)
     return found
 
 

@@ -218,6 +218,38 @@ def test_secrets_equal_brute_force(spark):
     assert secret_scan.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_allow_list_judges_windows_not_whole_runs():
+    secret = "Zx9Qw3Er7Ty5Ui1Op2As8Df4"
+
+    def found(text):
+        return [text[s:e] for k, s, e in secret_scan.scan(text) if k == 3]
+
+    for text in (f"services/{secret}", f"{secret}/xxxx", f"f81d4fae-7dec-11d0-a765-00a0c91e6bf6/{secret}", f"see example/path/{secret} there"):
+        assert any(secret in x for x in found(text)), text
+    for text in ("src/Components/HeaderSection2/indexPage2024/MainView", "Zx9Qw3ExampleTy5Ui1Op2", "Zx9Qw3Er7xxxxTy5Ui1Op2",
+                 "f81d4fae-7dec-11d0-a765-00a0c91e6bf6", "Very-Long-Hyphenated-Name-12-34", "/" * 500 + "+"):
+        assert found(text) == [], text
+    # windows one by one: met placeholder or nothing but plain words
+    run = "conf/Zx9Qw3Er7Ty5Ui1Op2As8/lorem/Name2024-Other"
+    quiet = secret_scan.quiet_windows(run)
+    for i in range(len(run) - secret_scan.WINDOW + 1):
+        known = any(i < m.end() and m.start() < i + secret_scan.WINDOW for m in secret_scan.ALLOWED.finditer(run))
+        touched = [m.group() for m in secret_scan.PIECE.finditer(run) if i < m.end() and m.start() < i + secret_scan.WINDOW]
+        assert quiet[i] == (known or all(secret_scan.WORD.fullmatch(w) for w in touched))
+
+
+def test_secret_scan_takes_linear_time():
+    import time
+    for unit in ("/" * 999 + "+", "Zx9Qw3Er7Ty5Ui1Op2As8Df4 ", "token=abcdefg9 Zx9Qw3Er7Ty5Ui1Op2As8Df4 "):
+        took = []
+        for n in (200_000, 800_000):
+            text = (unit * (n // len(unit) + 1))[:n]
+            t = time.process_time()
+            secret_scan.scan(text)
+            took.append(time.process_time() - t)
+        assert took[1] < 10 * took[0] + 0.5, (unit[:20], took)
+
+
 def test_sliding_entropy_equals_direct_counts():
     import math
     rng = np.random.default_rng(6)
