@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_texts, texts
+from .common import by_bytes, map_texts, reach, texts
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 LABELERS = 4
@@ -156,7 +157,11 @@ def candidates(text: str) -> list:
     base match are dropped. ``votes`` numbers the vote pattern in base 3."""
     base = base_spans(text)
     spans = [(*b, True) for b in base]
-    spans += [(*w, False) for w in _wider(text) if not any(w[1] < e and s < w[2] for _, s, e in base)]
+    starts, ends = reach(b[1:] for b in base)
+    for w in _wider(text):
+        i = bisect_left(starts, w[2])
+        if not i or ends[i - 1] <= w[1]:
+            spans.append((*w, False))
     out = []
     for kind, s, e, strict in spans:
         part = text[s:e]
