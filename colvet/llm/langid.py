@@ -56,7 +56,7 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 
 def _letters() -> np.ndarray:
     t = np.zeros(0x110000, bool)
-    t[[c for c in range(0x32000) if unicodedata.category(chr(c))[0] == "L"]] = True
+    t[[c for c in range(len(t)) if unicodedata.category(chr(c))[0] == "L"]] = True
     return t
 
 

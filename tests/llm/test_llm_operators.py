@@ -250,6 +250,27 @@ def test_secret_scan_takes_linear_time():
         assert took[1] < 10 * took[0] + 0.5, (unit[:20], took)
 
 
+def test_wider_candidates_that_meet_a_base_span_are_dropped_in_linear_time():
+    import time
+    unit = "a.b@c.de call (212) 555-0147 or +1 (212) 555-0147; 4111 1111 1111 1111; x at y dot com 123-45-6789 "
+    base = pii.base_spans(unit * 3)
+    want = {w for w in pii._wider(unit * 3) if not any(w[1] < e and s < w[2] for _, s, e in base)}
+    got = {c[:3] for c in pii.candidates(unit * 3) if not c[3]}
+    assert got == want and got and len(pii._wider(unit * 3)) > len(want)
+    took = []
+    for n in (400, 1600):
+        t = time.process_time()
+        pii.candidates(unit * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 10 * took[0] + 0.5, took
+
+
+def test_letters_reach_the_last_code_point():
+    letters = ["\U00031360", "\U00032000", "\U0002ebf0", "z"]
+    *_, n = langid.words([*letters, "\U0010ffff", "1", None])
+    assert n.tolist() == [1, 1, 1, 1, 0, 0, 0]
+
+
 def test_sliding_entropy_equals_direct_counts():
     import math
     rng = np.random.default_rng(6)
