@@ -12,8 +12,9 @@ counts differ by one at most and slots have no gaps. Nothing depends on how
 the input is partitioned: reruns and retried tasks give the same result.
 
 Defined results: a null text has no bytes (size 1) and checksum 0; a null id
-is a value like any other. Equal rows are interchangeable, each gets a place
-of its own; they share a bucket. Extra columns travel inside ``record``. An
+is a value like any other. Rows equal in all columns are interchangeable, each gets
+a place of its own; they share a bucket. Rows that differ in any column are told
+apart by a hash of the whole record. Extra columns travel inside ``record``. An
 empty table gives an empty result.
 """
 
@@ -42,6 +43,11 @@ def fisher_yates(n: int, rng) -> np.ndarray:
     return order
 
 
+def _hashable(df: DataFrame) -> list:
+    """The columns of ``df`` in a form that Spark can hash (maps as JSON)."""
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]
+
+
 def external_shuffle(df: DataFrame, seed: int = SEED) -> DataFrame:
     """``(record struct, doc_id, size, crc, place)``: every record of ``df`` and its
     place in the permutation, from 0."""
@@ -51,7 +57,7 @@ def external_shuffle(df: DataFrame, seed: int = SEED) -> DataFrame:
                       F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"))
     r = sized.agg(F.sum("size"), F.count(F.lit(1))).first()
     nb = max(1, -(-(r[0] or 0) // BUCKET_BYTES), -(-r[1] // BUCKET_ROWS))
-    key = F.xxhash64(F.lit(seed), "doc_id", "crc", "size")
+    key = F.xxhash64(F.lit(seed), "doc_id", "crc", "size", F.xxhash64(*_hashable(df)))
     rows = sized.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(nb)).cast("int"))
     spread = rows.repartition(nb, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "crc", "size")
     names = ["record", "doc_id", "size", "crc", "bucket"]

@@ -437,6 +437,14 @@ def test_shuffle_laws_and_reruns(spark, monkeypatch):
     assert sorted(sharding.fisher_yates(50, np.random.default_rng(1)).tolist()) == list(range(50))
 
 
+def test_records_alike_but_for_other_columns_keep_their_places(spark):
+    rows = [(None if i % 2 else 1, "same text", f"s{i}", {"k": i % 3}) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string, int>")
+    places = [{r["record"]["source"]: (r["shard"], r["slot"]) for r in sharding.assign(x, 4).collect()}
+              for x in (d.coalesce(1), d.repartition(5, "source"), d.orderBy(F.col("source").desc()))]
+    assert places[0] == places[1] == places[2] and len(places[0]) == len(set(places[0].values())) == 40
+
+
 def test_written_shards_hold_every_record(spark, tmp_path):
     d = docs(spark, [(k, f"text {k}") for k in range(60)])
     sharding.write_shards(d, str(tmp_path / "out"), 4)
