@@ -54,10 +54,11 @@ def external_shuffle(df: DataFrame, seed: int = SEED) -> DataFrame:
     text = F.col("text").cast("string")
     sized = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"), F.col("doc_id").cast("long").alias("doc_id"),
                       (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-                      F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"))
+                      F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"),
+                      F.xxhash64(*_hashable(df)).alias("mark"))
     r = sized.agg(F.sum("size"), F.count(F.lit(1))).first()
     nb = max(1, -(-(r[0] or 0) // BUCKET_BYTES), -(-r[1] // BUCKET_ROWS))
-    key = F.xxhash64(F.lit(seed), "doc_id", "crc", "size", F.xxhash64(*_hashable(df)))
+    key = F.xxhash64(F.lit(seed), "doc_id", "crc", "size", "mark")
     rows = sized.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(nb)).cast("int"))
     spread = rows.repartition(nb, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "crc", "size")
     names = ["record", "doc_id", "size", "crc", "bucket"]
