@@ -15,7 +15,7 @@ from ..operators import entity as E
 from ..operators.categorical import kept_levels
 from ..operators.shift import hashed_sample
 from ..sources import readers as RD
-from ..sources.frames import load_frame, read_table
+from ..sources.frames import lines_frame, load_frame, read_table
 from . import oracle_sql as O
 from .pipeline import prepare
 from .registry import register
@@ -97,6 +97,7 @@ def q_freq_encode(spark, sf):
     """Replace p_type by its fitted training count (unseen -> null)."""
     fr, _ = load_frame(spark, sf, "lines")
     maps, _ = DV.fit_frequency_maps(fr, FREQ_COLUMNS)
+    fr = lines_frame(spark, sf, DV.lookups(maps, ("p_type",)))
     spec = [DV.Derivation("p_type_freq", "frequency_encode", ("p_type",))]
     return DV.apply_derivations(fr, spec, maps).select("l_orderkey", "l_partkey", "p_type", "p_type_freq")
 
@@ -120,7 +121,9 @@ def _apply_sql():
 def q_apply(spark, sf):
     """The declared list: start day, one-hot indicators, frequency encodings."""
     fr, _ = load_frame(spark, sf, "lines")
-    maps, _ = DV.fit_frequency_maps(fr, DV.frequency_encoded_columns(LINE_SPECS))
+    encoded = DV.frequency_encoded_columns(LINE_SPECS)
+    maps, _ = DV.fit_frequency_maps(fr, encoded)
+    fr = lines_frame(spark, sf, DV.lookups(maps, encoded))
     out = DV.apply_derivations(fr, LINE_SPECS, maps)
     return out.select("l_orderkey", "l_partkey", *[s.name for s in LINE_SPECS])
 

@@ -234,20 +234,29 @@ LINES_SPEC = FrameSpec(
 )
 
 
-def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` joined to ``orders``, ``part`` and ``customer``.
+def lines_frame(spark: SparkSession, sf_dir: str, lookups: dict | None = None) -> DataFrame:
+    """``lineitem`` joined to ``part`` and to ``orders`` with their ``customer``.
 
     The volume frame. Label: ``l_returnflag = 'R'``; time: ship date. There is
-    no unique key, so the row id is a hash of the full lineitem row.
+    no unique key, so the row id is a hash of the full lineitem row. Customers meet
+    the orders first, so the lines move once by part and once by order. ``lookups``
+    (``operators.derive``) add counts to the part and order tables in the same way.
     """
     l = read_table(spark, sf_dir, "lineitem")
     o = read_table(spark, sf_dir, "orders")
     p = read_table(spark, sf_dir, "part")
     c = read_table(spark, sf_dir, "customer")
     lcols = [F.col(x) for x in l.columns]
-    df = (l.join(o, l.l_orderkey == o.o_orderkey, "inner")
-           .join(p, l.l_partkey == p.p_partkey, "inner")
-           .join(c, o.o_custkey == c.c_custkey, "inner")
+    o, found = o.join(c, o.o_custkey == c.c_custkey, "inner"), []
+    for column, add in (lookups or {}).items():
+        before = {*o.columns, *p.columns}
+        if column in o.columns:
+            o = add(o, column)
+        else:
+            p = add(p, "p_partkey" if column == "l_partkey" else column)
+        found += [x for x in (*o.columns, *p.columns) if x not in before]
+    df = (l.join(p, F.col("l_partkey") == F.col("p_partkey"), "inner")
+           .join(o, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
            .select(F.xxhash64(*lcols).alias("row_id"),
                    unix_seconds("l_shipdate", _zoneless(l, "l_shipdate")).alias("t"), F.col("l_shipdate"),
                    F.col("l_orderkey"), F.col("l_partkey"),
@@ -261,7 +270,7 @@ def lines_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.col("p_size").cast("long"), F.col("p_retailprice").cast("double"),
                    F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("long"),
                    F.col("l_linestatus"), F.col("o_orderstatus"), F.col("o_orderpriority"),
-                   F.col("p_brand"), F.col("p_type"), F.col("c_mktsegment")))
+                   F.col("p_brand"), F.col("p_type"), F.col("c_mktsegment"), *[F.col(x) for x in found]))
     return nan_to_null(df)
 
 
