@@ -14,7 +14,7 @@ from ..operators import tc as TC
 from ..operators.windows import time_windows, with_window
 from ..sources import audit_store as ST
 from ..sources import readers as RD
-from ..sources.frames import audit_frame, load_frame
+from ..sources.frames import audit_frame, lines_frame, load_frame
 from . import oracle_sql as O
 from .pipeline import prepare
 from .q_catms import contingency_sql
@@ -34,8 +34,10 @@ KEYS = ("l_orderkey", "l_partkey", "o_custkey")
 
 def built_lines(spark, sf) -> ST.Built:
     """The lines frame with its block null count and every declared column."""
-    fr, _ = load_frame(spark, sf, "lines")
-    return ST.build(fr.drop("l_shipdate"), LINE_SPECS, LINE_BLOCKS)
+    def frame(lookups=None):
+        return lines_frame(spark, sf, lookups).drop("l_shipdate")
+
+    return ST.build(frame(), LINE_SPECS, LINE_BLOCKS, again=frame)
 
 
 _BASE = ("t", "y", "l_orderkey", "l_partkey", "o_custkey", "days_since_order", "l_quantity", "l_extendedprice", "l_discount", "l_tax",

@@ -15,6 +15,7 @@ The manifest has one row per file; it is the only thing the driver reads.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,6 @@ from ..operators import derive as DV
 from ..operators.windows import Windows, check_windows, nearest_rank
 from ..plans.cumulative import order_statistics
 from ..policy import AUDIT_HOLDOUT, AUDIT_TRAIN
-from ..session import cut_lineage
 
 NULL_COUNT = "null_count"
 
@@ -37,19 +37,27 @@ class Built:
     maps: DataFrame | None
     summary: DataFrame | None
     specs: tuple
+    bare: DataFrame | None = None      # the frame before ``derive``, where that needs no join
+    derive: Callable | None = None
 
 
-def build(frame: DataFrame, specs=(), blocks=(), time: str = "t") -> Built:
+def build(frame: DataFrame, specs=(), blocks=(), time: str = "t", again=None) -> Built:
     """``frame`` with ``null_count`` over the ``blocks`` columns that it has and the columns
-    of ``specs``; maps are fitted on the frame before any column is derived."""
+    of ``specs``; maps are fitted on the frame before any column is derived. ``again``
+    gives the same frame with the counts of ``DV.lookups`` added where its tables hold the keys."""
     present = [c for c in blocks if c in frame.columns]
-    frame = frame.withColumn(NULL_COUNT, null_count(present).cast("int"))
     encoded = DV.frequency_encoded_columns(specs)
     maps = summary = None
     if encoded:
         maps, summary = DV.fit_frequency_maps(frame, encoded, time)
-        maps = cut_lineage(maps)
-    return Built(DV.apply_derivations(frame, specs, maps, time), maps, summary, tuple(specs))
+        frame = again(DV.lookups(maps, encoded)) if again else frame
+
+    def derive(rows: DataFrame) -> DataFrame:
+        return DV.apply_derivations(rows.withColumn(NULL_COUNT, null_count(present).cast("int")), specs, maps, time)
+
+    row_local = all(DV.looked_up(s.inputs[0]) in frame.columns and s.params.get("map_key", s.inputs[0]) == s.inputs[0]
+                    for s in specs if s.tool == "frequency_encode")
+    return Built(derive(frame), maps, summary, tuple(specs), frame if row_local else None, derive)
 
 
 def map_digests(maps: DataFrame) -> DataFrame:
@@ -67,10 +75,12 @@ def write(built: Built, path: str, time: str = "t", rows_per_file: int = 2_000_0
     consecutive times and one time value that holds many rows still spreads over files.
     """
     frame, spark = built.frame, built.frame.sparkSession
-    plain = [c for c, t in frame.dtypes if not t.startswith(("map", "variant"))]
+    # what follows from a row alone is derived after the rows have moved
+    rows = frame if built.bare is None else built.bare
+    plain = [c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
-    (frame.repartitionByRange(F.col(time), spread).sortWithinPartitions(F.col(time))
-          .write.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/data"))
+    dealt = rows.repartitionByRange(F.col(time), spread).sortWithinPartitions(F.col(time))
+    ((dealt if built.bare is None else built.derive(dealt)).write.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/data"))
     back = spark.read.schema(frame.schema).parquet(f"{path}/data")
     per_file = back.groupBy(F.col("_metadata.file_name").alias("file")).agg(
         F.count(F.lit(1)).alias("rows"), F.count(time).alias("timed_rows"), F.min(time).alias("first"), F.max(time).alias("last"),

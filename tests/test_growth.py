@@ -78,3 +78,14 @@ def test_maps_are_fitted_in_one_pass_over_the_frame(spark):
     assert sorted((r["column"], r["level"], r["n"]) for r in maps.collect()) == [("k", "0", 10), ("k", "1", 10), ("k", "2", 10), ("s", "a", 30)]
     assert {r["train_rows"] for r in summary.collect()} == {30}
     assert seen.value == 40
+
+
+def test_written_frame_derives_after_the_rows_moved(spark, tables, tmp_path):
+    specs = [DV.Derivation("l_partkey_freq", "frequency_encode", ("l_partkey",)), DV.Derivation("is_o", "one_hot", ("l_linestatus",), {"level": "O"})]
+    again = lambda lookups=None: FR.lines_frame(spark, tables, lookups).drop("l_shipdate")
+    near, late = (ST.build(again(), specs, ["p_size"], again=a) for a in (again, None))
+    assert near.bare is not None and "is_o" not in near.bare.columns and late.bare is None
+    got = [spark.read.parquet(ST.write(b, f"{tmp_path}/{i}") + "/data") for i, b in enumerate((near, late))]
+    assert set(got[0].columns) == set(got[1].columns)
+    cols = sorted(got[0].columns)
+    assert sorted(map(str, got[0].select(cols).collect())) == sorted(map(str, got[1].select(cols).collect()))
