@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import corr_long
 from ..plans.cumulative import cumulative
 from ..policy import RHO2_GRID, RDPolicy
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .binning import type7_quantiles
 
 
@@ -44,24 +44,42 @@ def rank_columns(values: DataFrame, numeric, window: str = "early", min_nonnull:
     return ranked.unionByName(means)
 
 
+#: The ranks of columns with so many values or fewer are broadcast: each value may hold many rows.
+FEW_VALUES = 5_000
+
+
 def ranked_wide(frame_w: DataFrame, id_col: str, ranks: DataFrame, window: str = "early"):
     """Rows of the window with every usable column replaced by its rank
-    (null -> mean rank). Returns (wide DataFrame, feature list)."""
-    feats = sorted(r["feature"] for r in ranks.select("feature").distinct().collect())  # column names
-    rows = frame_w.where(F.col("window") == window)
-    longv = rows.select(id_col, F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in feats])))
-    r = ranks.select(F.col("feature").alias("r_feature"), F.col("value").alias("r_value"), "rank")
-    j = longv.join(r, (F.col("feature") == F.col("r_feature")) & F.col("value").eqNullSafe(F.col("r_value"))) \
-             .select(id_col, "feature", "rank")
-    wide = j.groupBy(id_col).pivot("feature", feats).agg(F.first("rank"))
-    return wide, feats
+    (null -> mean rank). Returns (wide DataFrame, feature list).
+
+    Nulls are filled in from the mean ranks (one number per column) and columns of
+    few values look theirs up in a broadcast table, so only columns of many values
+    are shuffled by value and no value that holds most rows is met by one task."""
+    per = {r["feature"]: r for r in ranks.groupBy("feature").agg(
+        F.count("value").alias("values"), F.max(F.when(F.col("value").isNull(), F.col("rank"))).alias("mean")).collect()}
+    feats = sorted(per)  # column names
+    rows = frame_w.where(F.col("window") == window).select(F.col(id_col).alias("_id"), *[F.col(f).cast("double").alias(f) for f in feats])
+    at = {f: i for i, f in enumerate(feats)}
+    number = F.coalesce(*[F.when(F.col("feature") == f, F.lit(i)) for f, i in at.items()]) if feats else F.lit(0)
+    r = ranks.where(F.col("value").isNotNull()).select(number.alias("f"), "value", "rank")
+    none = F.lit(None).cast("int"), F.lit(None).cast("double")
+    found = rows.select("_id", none[0].alias("f"), none[1].alias("rank"))  # an id without any value keeps its row
+    for few in (True, False):
+        names = [f for f in feats if (per[f]["values"] <= FEW_VALUES) == few]
+        if names:
+            longv = rows.select("_id", F.inline(F.array(*[F.struct(F.lit(at[f]).alias("f"), F.col(f).alias("value")) for f in names])))
+            mine = r.where(F.col("f").isin([at[f] for f in names]))
+            found = found.unionByName(longv.where(F.col("value").isNotNull()).join(F.broadcast(mine) if few else mine, ["f", "value"])
+                                           .select("_id", "f", "rank"))
+    wide = found.groupBy(F.col("_id").alias(id_col)).agg(F.count(F.lit(1)).alias("_rows"), *[
+        F.coalesce(F.max(F.when(F.col("f") == at[f], F.col("rank"))), F.lit(per[f]["mean"])).alias(f) for f in feats])
+    return wide.drop("_rows"), feats
 
 
 def spearman_long(frame_w: DataFrame, id_col: str, ranks: DataFrame) -> DataFrame:
     """(a, b, rho) for every ordered pair of usable columns, diagonal 1,
     non-finite correlations 0."""
-    wide, feats = ranked_wide(frame_w, id_col, ranks)
+    wide, feats = ranked_wide(frame_w, id_col, cut_lineage(ranks))
     wide = cut_lineage(wide)
     row = corr_long(wide, feats).select("a", "b", F.col("r").alias("rho"))
     row = row.select("a", "b", F.when(F.col("rho").isNull() | F.isnan("rho"), F.lit(0.0))
@@ -244,7 +262,8 @@ def redundancy_within_groups(frame_w: DataFrame, groups: DataFrame, r2: float =
     if not eligible:
         return spark.createDataFrame(out, schema)
     cols = sorted({m for mem in eligible.values() for m in mem})
-    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # one pass over the frame and its joins; what follows reads these columns only
+    rows = stored(rows.select(*[F.col(c).cast("double").alias(c) for c in cols]))
 
     # members that say nothing (USABLE or fewer values, or constant) leave their group
     seen = rows.agg(*[f for c in cols for f in (F.count(c).alias(f"n_{c}"), (F.min(c) != F.max(c)).alias(f"v_{c}"))]).first()
@@ -271,7 +290,7 @@ def redundancy_within_groups(frame_w: DataFrame, groups: DataFrame, r2: float =
             parts.append(F.struct(F.lit(g).alias("group"), F.lit(m).alias("feature"),
                                   F.when(complete, F.col(m)).alias("vnum")))
     longv = rows.select(F.inline(F.array(*parts))).where(F.col("vnum").isNotNull())
-    counts = longv.groupBy("group", "feature", "vnum").agg(F.count(F.lit(1)).alias("c"))
+    counts = stored(longv.groupBy("group", "feature", "vnum").agg(F.count(F.lit(1)).alias("c")))
     nn = counts.groupBy("group", "feature").agg(F.sum("c").alias("nonnull"))
     q = type7_quantiles(counts.join(nn, ["group", "feature"]), ["group", "feature"], [0.1, 0.5, 0.9]).collect()
     knots = {}
@@ -353,7 +372,7 @@ def pinned_blocks(rho: DataFrame, blocks: DataFrame) -> DataFrame:
 def scan(audit, iv: DataFrame | None = None, policy: RDPolicy = RDPolicy()):
     """Full report: groups, representatives, redundancy verdicts."""
     spec = audit.spec
-    ranks = cut_lineage(rank_columns(audit.values, spec.numeric))
+    ranks = rank_columns(audit.values, spec.numeric)
     rho = cut_lineage(spearman_long(audit.fw, spec.id, ranks))
     members, merges = variable_clusters(rho, 1 - policy.min_rho2)
     groups = numbered_groups(members, list(spec.numeric))

@@ -89,3 +89,37 @@ def test_written_frame_derives_after_the_rows_moved(spark, tables, tmp_path):
     assert set(got[0].columns) == set(got[1].columns)
     cols = sorted(got[0].columns)
     assert sorted(map(str, got[0].select(cols).collect())) == sorted(map(str, got[1].select(cols).collect()))
+
+
+def test_ranks_of_nulls_and_few_values_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(RD, "FEW_VALUES", 50)
+    rows = [(i, None if i % 10 else float(i), float(i % 3), float((i * 37) % 400)) for i in range(400)] + [(1000, None, None, None), (1000, None, None, None)]
+    fw = spark.createDataFrame(rows, "id long, a double, b double, c double").withColumn("window", F.lit("early")).withColumn("y", F.lit(1))
+    spec = FR.FrameSpec(name="x", numeric=("a", "b", "c"), text=(), id="id")
+    ranks = RD.rank_columns(S.values_table(fw, spec), spec.numeric, min_nonnull=10)
+    wide, feats = RD.ranked_wide(fw, "id", ranks)
+    assert feats == ["a", "b", "c"]
+    got = {r["id"]: (r["a"], r["b"], r["c"]) for r in wide.collect()}
+    mean = {r["feature"]: r["rank"] for r in ranks.where("value is null").collect()}
+    rank = {(r["feature"], r["value"]): r["rank"] for r in ranks.collect()}
+    assert len(got) == 401 and got[1000] == (mean["a"], mean["b"], mean["c"])
+    for i, *vs in rows[:400]:
+        assert got[i] == tuple(rank[f, v] for f, v in zip("abc", vs))
+    # no null goes into a join by value
+    assert "<=>" not in plan_of(wide)
+
+
+def test_group_redundancy_reads_the_frame_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    fw = spark.range(300).select(F.lit("early").alias("window"), F.col("id").cast("double").alias("a"), (F.col("id") * 2 + F.col("id") % 2).cast("double").alias("b"))
+    fw = fw.mapInPandas(look, "window string, a double, b double")
+    groups = spark.createDataFrame([("g", "a"), ("g", "b")], "group string, feature string")
+    got = RD.redundancy_within_groups(fw, groups).collect()
+    assert sum(bool(r["predictable"]) for r in got) == 1
+    assert seen.value == 300
