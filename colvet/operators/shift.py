@@ -200,18 +200,20 @@ def _projected(rows: DataFrame, axes: np.ndarray, n: int, total: int, perms: int
     return rows.select("idx", "early", "z").mapInPandas(run, "k int, v double, early binary")
 
 
-_RUN = "k int, run long, rows int, first double, vs binary, bits binary"
+_RUN = "k int, run long, rows int, first double, vs binary, bits binary, got array<long>"
 
 
-def _runs(projected: DataFrame) -> DataFrame:
-    """The projections in order, ``RUN_ROWS`` rows to a row."""
+def _runs(projected: DataFrame, many: int) -> DataFrame:
+    """The projections in order, ``RUN_ROWS`` rows to a row; ``got``: early ones in each of ``many`` labellings."""
     def run(batches):
         number, k_now, held = TaskContext.get().partitionId() << 32, None, []
 
         def flush():
             v, bits = zip(*held)
-            return pd.DataFrame([(k_now, number, len(v), v[0], np.array(v).tobytes(), b"".join(bits))],
-                                columns=["k", "run", "rows", "first", "vs", "bits"])
+            packed = b"".join(bits)
+            got = _labels(packed, len(v), many).sum(0, dtype=np.int64)
+            return pd.DataFrame([(k_now, number, len(v), v[0], np.array(v).tobytes(), packed, got)],
+                                columns=["k", "run", "rows", "first", "vs", "bits", "got"])
 
         for pdf in batches:
             for k, v, e in zip(pdf["k"].tolist(), pdf["v"].tolist(), pdf["early"].tolist()):
@@ -256,15 +258,9 @@ def energy_test(fw: DataFrame, columns, id_col: str, many: int = 16, perms: int
     z = F.array(*[(F.col(c).cast("double") - F.lit(stats[f"mean{i}"])) / F.lit(scale[i]) for i, c in enumerate(cols)])
     rows = both.select(early.alias("early"), z.alias("z"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), F.col(id_col).alias("id"))
     axes = directions(len(cols), many, seed)
-    runs = cut_lineage(_runs(_projected(_numbered(rows, ["h", "id"]), axes, n, n + m, perms, seed)))
+    runs = cut_lineage(_runs(_projected(_numbered(rows, ["h", "id"]), axes, n, n + m, perms, seed), perms + 1))
 
-    def counted(batches):
-        for pdf in batches:
-            got = [_labels(b, r, perms + 1).sum(0, dtype=np.int64) for b, r in zip(pdf["bits"], pdf["rows"])]
-            yield pd.DataFrame({"k": np.repeat(pdf["k"].to_numpy(), perms + 1), "run": np.repeat(pdf["run"].to_numpy(), perms + 1),
-                                "perm": np.tile(np.arange(perms + 1), len(pdf)), "got": np.concatenate(got)})
-
-    counts = runs.select("k", "run", "rows", "bits").mapInPandas(counted, "k int, run long, perm int, got long")
+    counts = runs.select("k", "run", F.posexplode("got").alias("perm", "got"))
     upto = Window.partitionBy("k", "perm").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     before = (counts.select("k", "run", "perm", F.coalesce(F.sum("got").over(upto), F.lit(0)).alias("before"))
                     .groupBy("k", "run").agg(F.sort_array(F.collect_list(F.struct("perm", "before"))).alias("before")))
@@ -273,20 +269,21 @@ def energy_test(fw: DataFrame, columns, id_col: str, many: int = 16, perms: int
         F.sum("rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
     factor = 2.0 * n * m / (n + m) * math.sqrt(math.pi) * math.exp(math.lgamma((len(cols) + 1) / 2) - math.lgamma(len(cols) / 2)) / len(axes)
 
-    def partial(batches):
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(perms + 1)
-        for pdf in batches:
-            for vs, bits, r, start, upto_run, after in zip(pdf["vs"], pdf["bits"], pdf["rows"], pdf["rows_before"], pdf["before"], pdf["after"]):
-                v = np.frombuffer(vs)
-                gap = np.diff(np.append(v, v[-1] if after is None or np.isnan(after) else after))
-                e = np.cumsum(_labels(bits, r, perms + 1), axis=0, dtype=np.int64) + np.asarray(upto_run, np.int64)
-                place = np.arange(start + 1, start + r + 1)[:, None]
-                total += gap @ (e / n - (place - e) / m) ** 2
-        yield pd.DataFrame({"perm": np.arange(perms + 1), "part": total})
+        for vs, bits, r, start, upto_run, after in zip(pdf["vs"], pdf["bits"], pdf["rows"], pdf["rows_before"], pdf["before"], pdf["after"]):
+            v = np.frombuffer(vs)
+            gap = np.diff(np.append(v, v[-1] if after is None or np.isnan(after) else after))
+            e = np.cumsum(_labels(bits, r, perms + 1), axis=0, dtype=np.int64) + np.asarray(upto_run, np.int64)
+            place = np.arange(start + 1, start + r + 1)[:, None]
+            total += gap @ (e / n - (place - e) / m) ** 2
+        return pd.DataFrame({"perm": np.arange(perms + 1), "part": total})
 
     joined = (runs.join(before, ["k", "run"]).join(places, ["k", "run"])
-                  .select("vs", "bits", "rows", "rows_before", F.col("before.before").alias("before"), "after"))
-    e = joined.mapInPandas(partial, "perm int, part double").groupBy("perm").agg((F.sum("part") * F.lit(factor)).alias("e"))
+                  .select("k", "run", "vs", "bits", "rows", "rows_before", F.col("before.before").alias("before"), "after"))
+    # one run at a time: a batch of whole runs grows with the rows of its partition
+    parts = joined.groupBy("k", "run").applyInPandas(partial, "perm int, part double")
+    e = parts.groupBy("perm").agg((F.sum("part") * F.lit(factor)).alias("e"))
     obs = e.where("perm = 0").select(F.col("e").alias("statistic"), F.lit(1).alias("_one"))
     # the same labelling summed in another order must not count as smaller
     ge = F.count(F.when(F.col("e") >= F.col("statistic") * (1 - 1e-12), 1))

@@ -109,6 +109,23 @@ def test_ranks_of_nulls_and_few_values_are_not_shuffled(spark, monkeypatch):
     assert "<=>" not in plan_of(wide)
 
 
+def test_energy_hands_runs_over_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(SH, "RUN_ROWS", 8)
+    fw = spark.range(200).select("id", (F.col("id") * 13 % 101).cast("double").alias("v"), F.when(F.col("id") < 100, "early").otherwise("late").alias("window"))
+    out = SH.energy_test(fw, ["v"], "id", perms=19)
+    plan = plan_of(out)
+    r = out.collect()[0]
+    assert "FlatMapGroupsInPandas" in plan and "MapInPandas partial" not in plan and "counted" not in plan
+    v = [(i * 13 % 101, i < 100) for i in range(200)]
+    early, late = [x for x, e in v if e], [x for x, e in v if not e]
+    m = sum(early) / 100
+    sd = (sum((x - m) ** 2 for x in early) / 99) ** 0.5
+    mean = lambda a, b: sum(abs(x - y) for x in a for y in b) / (len(a) * len(b))
+    want = 100 * 100 / 200 * (2 * mean(early, late) - mean(early, early) - mean(late, late)) / sd
+    assert r["statistic"] == pytest.approx(want, rel=1e-9)
+    assert (r["n_ref"], r["n_cur"]) == (100, 100)
+
+
 def test_group_redundancy_reads_the_frame_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
