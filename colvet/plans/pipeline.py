@@ -25,7 +25,7 @@ from ..operators import binning as B
 from ..operators import windows as Wn
 from ..operators import woe as W
 from ..policy import AUDIT_HOLDOUT, AUDIT_TRAIN
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from ..sources.frames import FrameSpec, audit_frame, load_frame
 from . import suffstats as S
 
@@ -40,10 +40,12 @@ class Audit:
     max_levels: int = 20
     persist: bool = True
     features: tuple = field(default_factory=tuple)
+    store: bool = False  # write the windows' rows once: for audits that read them many times
 
     @cached_property
     def fw(self) -> DataFrame:
-        return Wn.with_window(self.frame, self.spec.time, self.win, self.spec.raw_time)
+        fw = Wn.with_window(self.frame, self.spec.time, self.win, self.spec.raw_time)
+        return stored(fw) if self.store else fw
 
     @cached_property
     def values(self) -> DataFrame:
@@ -99,7 +101,7 @@ def _data_signature(spark: SparkSession, sf_dir: str) -> tuple:
 
 def prepare(spark: SparkSession, sf_dir: str, frame: str = "events", bins: int = 10,
             max_levels: int = 20, train=AUDIT_TRAIN, holdout=AUDIT_HOLDOUT,
-            persist: bool = True, features=()) -> Audit:
+            persist: bool = True, features=(), store: bool = False) -> Audit:
     """The audit's shared intermediates for one frame.
 
     One audit run reads the same VALUES, binning and CELLS in every check, so
@@ -107,12 +109,12 @@ def prepare(spark: SparkSession, sf_dir: str, frame: str = "events", bins: int =
     inputs and parameters (the intermediates live in the checkpoint folder).
     """
     key = (spark.sparkContext.applicationId, sf_dir, frame, bins, max_levels, tuple(train),
-           tuple(holdout), persist, tuple(features), _data_signature(spark, sf_dir))
+           tuple(holdout), persist, tuple(features), store, _data_signature(spark, sf_dir))
     if key in _AUDITS:
         return _AUDITS[key]
     df, spec = load_frame(spark, sf_dir, frame)
     win = Wn.time_windows(df, spec.time, train, holdout)
-    a = Audit(spark, spec, df, win, bins, max_levels, persist, tuple(features))
+    a = Audit(spark, spec, df, win, bins, max_levels, persist, tuple(features), store)
     if persist:
         _AUDITS[key] = a
     return a

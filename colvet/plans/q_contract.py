@@ -40,7 +40,7 @@ class ContractRun:
     """
 
     def __init__(self, spark, sf):
-        a = prepare(spark, sf, frame=FRAME)
+        a = prepare(spark, sf, frame=FRAME, store=True)  # four audits read its rows
         self.audit = a
         self.blocks = RDR.load_blocks(spark, FRAME)
         self.tc = cut_lineage(TC.scan(a))
