@@ -1,6 +1,7 @@
 """What the passes over large tables move, join and hold: one pass per frame, no hot key."""
 
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,36 @@ def test_written_frame_derives_after_the_rows_moved(spark, tables, tmp_path):
     assert sorted(map(str, got[0].select(cols).collect())) == sorted(map(str, got[1].select(cols).collect()))
 
 
+def test_written_frame_moves_packed_by_slices_of_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "SLICE_ROWS", 300)
+    monkeypatch.setattr(ST, "PACK_BYTES", 20_000)
+
+    def no(*_):
+        raise AssertionError("the rows are dealt one by one")
+
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", no)
+    day = dt.date(2024, 1, 1)
+    kinds = "t long, lv string, d date, at timestamp, ntz timestamp_ntz, n decimal(20,4), b binary, a array<string>, m map<string,int>, o double"
+    rows = []
+    for i in range(3000):
+        t = None if i % 10 == 0 else (1 << 60) + 7 if i % 3 == 0 else (1 << 60) + i * 37 % 1000 * 1001  # a tenth without, a third alike, beyond a double's steps
+        rows.append((t, None if i % 7 == 0 else f"l{i % 4}", day + dt.timedelta(days=i % 50), dt.datetime(2024, 1, 1, i % 24), dt.datetime(2024, 1, 1, i % 24),
+                     None if i % 5 == 0 else decimal.Decimal(i) / 8, None if i % 6 == 0 else bytes([i % 256]), ["x", None] if i % 2 else None, {"k": i} if i % 4 else None,
+                     float("nan") if i % 9 == 0 else None if i % 8 == 0 else -0.5 * i))
+    df = spark.createDataFrame(rows, kinds).repartition(5)
+    for frame, time in ((df, "t"), (df.withColumn("t", F.timestamp_micros(F.col("t") - (1 << 60))), "t"), (df, "d"), (df, "o")):
+        built = ST.build(frame, [DV.Derivation("lv_n", "frequency_encode", ("lv",))] if frame is df and time == "t" else [], ["lv"], time)
+        built.times = built.times or frame.select(time)
+        path = ST.write(built, f"{tmp_path}/{time}-{frame.schema['t'].dataType.simpleString()}", time)
+        back = spark.read.parquet(f"{path}/data")
+        assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in built.frame.schema]
+        assert sorted(map(str, back.collect())) == sorted(map(str, built.frame.collect()))
+        files = ST.read_manifest(spark, path).collect()
+        assert len(files) >= 8 and max(f["rows"] for f in files) <= 900  # neither the common time nor none lands in one file
+        timed = sorted((f["first"], f["last"]) for f in files if f["timed_rows"])
+        assert all(x[1] <= y[0] for x, y in zip(timed, timed[1:]))
+
+
 def test_ranks_of_nulls_and_few_values_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(RD, "FEW_VALUES", 50)
     rows = [(i, None if i % 10 else float(i), float(i % 3), float((i * 37) % 400)) for i in range(400)] + [(1000, None, None, None), (1000, None, None, None)]
