@@ -29,6 +29,7 @@ from ..operators import derive as DV
 from ..operators.windows import Windows, check_windows, nearest_rank
 from ..plans.cumulative import order_statistics
 from ..policy import AUDIT_HOLDOUT, AUDIT_TRAIN
+from ..session import shuffles_dropped
 
 NULL_COUNT = "null_count"
 #: Rows that one slice of time aims for, and bytes of rows that a Python worker holds while it packs them.
@@ -182,7 +183,8 @@ def write(built: Built, path: str, time: str = "t", rows_per_file: int = 2_000_0
     # what follows from a row alone is derived after the rows have moved
     dealt = _by_time(frame if built.bare is None else built.bare, time, built.times)
     data = dealt if built.bare is None else built.derive(dealt)
-    data.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(f"{path}/data")
+    with shuffles_dropped(spark):
+        data.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(f"{path}/data")
     back = spark.read.schema(frame.schema).parquet(f"{path}/data")
     per_file = back.groupBy(F.col("_metadata.file_name").alias("file")).agg(
         F.count(F.lit(1)).alias("rows"), F.count(time).alias("timed_rows"), F.min(time).alias("first"), F.max(time).alias("last"),

@@ -122,6 +122,23 @@ def test_written_frame_moves_packed_by_slices_of_time(spark, tmp_path, monkeypat
         assert all(x[1] <= y[0] for x, y in zip(timed, timed[1:]))
 
 
+def test_large_writes_drop_their_shuffles(spark, tmp_path, monkeypatch):
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    kind = type(spark.range(0).write)
+    plain, asked = kind.parquet, spark.conf.get(key)
+
+    def spy(self, path, *a, **b):
+        seen.append((path.rsplit("/")[-1][:5], spark.conf.get(key)))
+        return plain(self, path, *a, **b)
+
+    monkeypatch.setattr(kind, "parquet", spy)
+    rows = spark.range(6000).select(F.col("id").alias("t"), (F.col("id") % 3).alias("k")).repartition(5)
+    path = ST.write(ST.build(rows, [DV.Derivation("k_n", "frequency_encode", ("k",))], ["k"]), f"{tmp_path}/frame")
+    assert spark.read.parquet(f"{path}/data").where("k_n is not null").count() == 6000
+    assert ("data", "true") in seen and [on for name, on in seen if name == "rows-"] == ["true"] * 2
+    assert spark.conf.get(key) == asked
+
+
 def test_ranks_of_nulls_and_few_values_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(RD, "FEW_VALUES", 50)
     rows = [(i, None if i % 10 else float(i), float(i % 3), float((i * 37) % 400)) for i in range(400)] + [(1000, None, None, None), (1000, None, None, None)]
